@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from kbspark.llm import bpe, token_counts, token_output, toxicity
+from kbspark.llm import ann, bpe, decontam, html_extract, lines, minhash, pii, token_counts, token_output, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_pii": pii.op1_pii,
+        "op2_ann": ann.op2_ann,
+        "op3_decontamination": decontam.op3_decontamination,
+        "op4_minhash": minhash.op4_minhash,
+        "op5_html": html_extract.op5_html,
         "op6_bpe": bpe.op6_bpe,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_token_output": token_output.op9_token_output,
+        "op10_line_templates": lines.op10_line_templates,
     }
 
 

@@ -316,6 +316,20 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, score double, predicted int, margin double")
 
 
+def keep_clean(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs whose text scores below 0.5; all columns pass through."""
+    if model is None:
+        return docs
+    key = str(zlib.crc32(model.weights.tobytes()))
+    send = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(b: pa.RecordBatch) -> dict:
+        keep = pa.array([send.value.score(m) < 0.5 for m in text_margins(send.value, key, texts(b))])
+        return {c: b.column(c).filter(keep) for c in docs.columns}
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
