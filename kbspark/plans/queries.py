@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
 
+from kbspark.plans import chats, graphs, retrieval, streams, texts
 
-def queries() -> dict:
-    return {}
+PLANS = (retrieval, graphs, texts, chats, streams)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.flagship(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plan in PLANS for name, sql in plan.SQL.items()}
