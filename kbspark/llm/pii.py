@@ -31,6 +31,7 @@ from kbspark.llm.common import map_arrow, texts
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 2000  #: documents that the weights are fitted on, at most
 ROUNDS = 8
+REPEATS = 20.0  #: prior count of agreeing repeats for each label
 OBSERVED = 8.0  #: log odds of a base span's label
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -252,6 +253,7 @@ def fit(many: list[str]) -> Field:
             p = np.exp(patterns @ w - _log_sum(patterns @ w, 1)[:, None])
             w += 2.0 * (patterns.T @ (count - p * count.sum(axis=1, keepdims=True)) / len(y) - 1e-3 * w)
     pairs = np.ones((2, labels, labels)) * 0.5
+    pairs[1] += REPEATS * np.eye(labels)  # before any evidence, repeats are taken to agree
     for g in graphs:
         for i, j, k in g.edges:
             pairs[k, g.observed[i], g.observed[j]] += 1
