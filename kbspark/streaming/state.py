@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kbspark.operators.chunking import chunk_documents
 from kbspark.operators.dialogue import CLARIFIED, TTL_SECONDS, clarify_step, ttl_step
-from kbspark.sources.io import new_files, write_chunks
+from kbspark.sources.io import new_files
 
 LEDGER = "sha256 string, path string, status string, completed_at timestamp"
 
@@ -36,7 +36,7 @@ def import_batch(files: DataFrame, sink: str, ledger: str, chunker: Callable[[Da
     try:
         title = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]+$", "")
         docs = fresh.select(F.col("sha256").alias("doc_id"), title.alias("file_title"), F.col("content").cast("string").alias("md_content"))
-        write_chunks(chunker(docs).withColumn("item_name", F.col("file_title")), sink, "append")
+        chunker(docs).write.mode("append").parquet(sink)  # items are named later, from the chunks
         fresh.select("sha256", "path", F.lit("completed").alias("status"), F.current_timestamp().alias("completed_at")).write.mode("append").parquet(ledger)
     finally:
         fresh.unpersist()
@@ -47,9 +47,12 @@ def ingest_stream(stream: DataFrame, sink: str, ledger: str, checkpoint: str, ch
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: import_batch(batch, sink, ledger, chunker)).trigger(availableNow=True).start()
 
 
-def clarify_stream(turns: DataFrame, timeout: str = "30 minutes") -> DataFrame:
-    """The streaming form of dialogue.clarify; a pending choice is forgotten after `timeout` without a turn."""
-    wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
+def clarify_stream(turns: DataFrame, timeout: str | None = None) -> DataFrame:
+    """The streaming form of dialogue.clarify; with a timeout ("30 minutes") a pending choice is forgotten after so long without a turn.
+
+    A timeout is for streams that go on: Spark wakes such a query again and again to look for what has run out.
+    """
+    wait = int(pd.Timedelta(timeout).total_seconds() * 1000) if timeout else 0
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -62,12 +65,13 @@ def clarify_stream(turns: DataFrame, timeout: str = "30 minutes") -> DataFrame:
             rows.append((key[0], t["turn"], out["action"], out["item"], out["query"]))
         if pending:
             state.update((pending[0], pending[1]))
-            state.setTimeoutDuration(wait)
+            if wait:
+                state.setTimeoutDuration(wait)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(rows, columns=["session_id", "turn", "action", "item", "query"])
 
-    return turns.groupBy("session_id").applyInPandasWithState(run, CLARIFIED, "options array<string>, query string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return turns.groupBy("session_id").applyInPandasWithState(run, CLARIFIED, "options array<string>, query string", "append", GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout)
 
 
 def ttl_cache_stream(requests: DataFrame, ttl: float = TTL_SECONDS) -> DataFrame:
