@@ -321,11 +321,11 @@ def keep_clean(docs: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         return docs
     key = str(zlib.crc32(model.weights.tobytes()))
-    send = docs.sparkSession.sparkContext.broadcast(model)
+    send, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def run(b: pa.RecordBatch) -> dict:
         keep = pa.array([send.value.score(m) < 0.5 for m in text_margins(send.value, key, texts(b))])
-        return {c: b.column(c).filter(keep) for c in docs.columns}
+        return {c: b.column(c).filter(keep) for c in names}
 
     return map_arrow(docs, run, docs.schema)
 
