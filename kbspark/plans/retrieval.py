@@ -37,8 +37,8 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return q.join(c, "token").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("weight")).alias("tf"), F.count("*").alias("shared"), F.count_if("rare").alias("rare"))
 
 
-def hits(spark: SparkSession, d: str) -> DataFrame:
-    p = pairs(spark, d)
+def hits(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
+    p = pairs(spark, d) if p is None else p
     out = None
     for source, score in (("vector", "tf"), ("hyde", "shared"), ("graph", "rare")):
         one = search.top_k(p.where(F.col(score) > 0).select("query_id", "chunk_id", F.col(score).alias("score")), K).select("query_id", F.lit(source).alias("source"), "rank", "chunk_id", "score")
@@ -46,19 +46,20 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-def gold(spark: SparkSession, d: str) -> DataFrame:
+def gold(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
     """Gold questions with at least one gold document; category = parity of the question's length."""
     q, _ = postings(spark, d)
     sizes = q.groupBy("query_id").agg(F.count("*").alias("size"))
-    ids = pairs(spark, d).join(sizes, "query_id").where("shared = size").groupBy("query_id").agg(F.array_sort(F.collect_set(F.col("chunk_id").cast("string"))).alias("gold_chunk_ids"))
+    p = pairs(spark, d) if p is None else p
+    ids = p.join(sizes, "query_id").where("shared = size").groupBy("query_id").agg(F.array_sort(F.collect_set(F.col("chunk_id").cast("string"))).alias("gold_chunk_ids"))
     questions = spark.read.parquet(f"{d}/benchmark.parquet").join(ids.withColumnRenamed("query_id", "item_id"), "item_id", "left")
     rows = questions.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.lit("item").alias("item_name"), F.when(F.length("text") % 2 == 0, "even").otherwise("odd").alias("category"), "gold_chunk_ids")
     return check_gold(rows)[0].select("question_id", "category", "gold_chunk_ids")
 
 
-def modes(spark: SparkSession, d: str) -> DataFrame:
+def modes(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
     """mode, question_id, rank, chunk_id: the retrievers, their fusion, and the fusion cut at a cliff."""
-    h = hits(spark, d).persist()
+    h = hits(spark, d, p).persist()
     fused = fusion.rrf(h)
     runs = h.where("rank <= 5").select(F.col("source").alias("mode"), "query_id", "rank", "chunk_id")
     runs = runs.unionByName(fused.where("rank <= 5").select(F.lit("rrf").alias("mode"), "query_id", "rank", "chunk_id"))
@@ -69,7 +70,13 @@ def modes(spark: SparkSession, d: str) -> DataFrame:
 
 def flagship(spark, d):
     """Recall and MRR of every mode: retrieval, fusion, cut and evaluation end to end."""
-    return ev.summarize(ev.question_scores(modes(spark, d), gold(spark, d)))
+    return ev.summarize(_scores(spark, d))
+
+
+def _scores(spark, d) -> DataFrame:
+    """Each question's measures in each mode, from one retrieval (kept while the query runs)."""
+    p = pairs(spark, d).persist()
+    return ev.question_scores(modes(spark, d, p), gold(spark, d, p))
 
 
 def _emb(spark, d):
@@ -147,12 +154,11 @@ def q_rerank(spark, d):
 
 
 def q_scores(spark, d):
-    s = ev.question_scores(modes(spark, d), gold(spark, d))
-    return s.select("mode", "question_id", *[F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_3", "recall_at_5", "rr")])
+    return _scores(spark, d).select("mode", "question_id", *[F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_3", "recall_at_5", "rr")])
 
 
 def q_category(spark, d):
-    return ev.summarize(ev.question_scores(modes(spark, d), gold(spark, d)), ("mode", "category"))
+    return ev.summarize(_scores(spark, d), ("mode", "category"))
 
 
 def q_compare(spark, d):
@@ -164,8 +170,9 @@ def q_digest(spark, d):
 
 
 def q_pool(spark, d):
-    stages = hits(spark, d).where("rank <= 5").select(F.col("query_id").alias("question_id"), F.col("source").alias("stage"), "chunk_id")
-    return ev.pool_diagnostics(stages, gold(spark, d), "vector", ["hyde", "graph"])
+    p = pairs(spark, d).persist()
+    stages = hits(spark, d, p).where("rank <= 5").select(F.col("query_id").alias("question_id"), F.col("source").alias("stage"), "chunk_id")
+    return ev.pool_diagnostics(stages, gold(spark, d, p), "vector", ["hyde", "graph"])
 
 
 def q_prefix(spark, d):
@@ -175,15 +182,17 @@ def q_prefix(spark, d):
 
 
 def q_ablation(spark, d):
-    h = hits(spark, d)
+    p = pairs(spark, d).persist()
+    h = hits(spark, d, p).persist()
     dense = h.where("source = 'vector'").withColumn("source", F.lit("dense"))
-    p = pairs(spark, d).select("query_id", "chunk_id", (F.col("tf") + F.col("rare")).cast("double").alias("score"))
+    p = p.select("query_id", "chunk_id", (F.col("tf") + F.col("rare")).cast("double").alias("score"))
     return fusion.ablation_runs(h.unionByName(dense), p)
 
 
 def q_confirm(spark, d):
-    g = gold(spark, d).select(F.col("question_id").alias("query_id"), F.explode("gold_chunk_ids").alias("chunk_id"))
-    top = hits(spark, d).where("source = 'hyde' and rank = 1").withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    p = pairs(spark, d).persist()
+    g = gold(spark, d, p).select(F.col("question_id").alias("query_id"), F.explode("gold_chunk_ids").alias("chunk_id"))
+    top = hits(spark, d, p).where("source = 'hyde' and rank = 1").withColumn("chunk_id", F.col("chunk_id").cast("string"))
     seen = top.join(g.withColumn("confirmed", F.lit(True)), ["query_id", "chunk_id"], "left")
     return ev.confirm_rate(seen.select(F.coalesce("confirmed", F.lit(False)).alias("confirmed")))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kbspark.operators import models
+from kbspark.operators import models, search
 from kbspark.plans import chats
 from kbspark.plans.chats import _turns, messages
 from kbspark.sources.shared import new_path
@@ -21,6 +21,20 @@ def q_encode(spark, d):
     return out.select("doc_id", F.col("dense")[0].cast("double").alias("first"), F.map_keys("sparse")[0].alias("token"))
 
 
+def _letters():
+    """A stand-in encoder: how often each of eight letters stands in a text."""
+    return lambda texts: ([[1.0 + t.count(c) for c in "aeinorst"] for t in texts], [{0: 1.0}] * len(texts))
+
+
+def q_hyde(spark, d):
+    """Every second question with a stand-in answer (itself, twice), searched in one language's documents."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    chunks = models.encode(docs.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("item_name"), "text"), "text", _letters).select("chunk_id", "item_name", "dense")
+    asked = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("item_id") % 4 + 1).cast("int")).alias("item_name"), F.col("text").alias("query"))
+    answers = asked.select("query_id", F.when(F.col("query_id") % 2 == 0, F.concat_ws(" ", "query", "query")).otherwise("").alias("document"))
+    return search.hyde_topk(asked, answers, chunks, _letters).withColumn("score", F.round("score", 6))
+
+
 def _writer():
     def model(prompt: str) -> str:
         if prompt.startswith("A"):
@@ -77,7 +91,7 @@ def q_history_stream(spark, d):
     return out.select("session_id", F.array_join("history", "|").alias("history"))
 
 
-QUERIES = {"encode": q_encode, "generate": q_generate, "ingest_stream": q_ingest, "clarify_stream": q_clarify_stream, "ttl_cache_stream": q_ttl_stream, "history_stream": q_history_stream}
+QUERIES = {"encode": q_encode, "hyde_topk": q_hyde, "generate": q_generate, "ingest_stream": q_ingest, "clarify_stream": q_clarify_stream, "ttl_cache_stream": q_ttl_stream, "history_stream": q_history_stream}
 
 SQL = {
     "ttl_cache_stream": chats.SQL["ttl_cache"],
