@@ -10,8 +10,8 @@ than d would then have stayed hidden with a chance below 1 - CONFIDENCE. Every r
 Spark deals candidates and queries into blocks of bounded size; each block pair is one group with its own
 tree, and a window keeps the best k of a query over its blocks.
 
-Cases: vectors that are null, of length zero, or hold null or non-finite components take no part; vectors
-of another length than a query's are no candidates of it; ties go to the smaller id; with fewer candidates
+Cases: vectors that are null, of length zero, or hold null or non-finite components take no part, nor do rows
+without an id; vectors of another length than a query's are no candidates of it; ties go to the smaller id; with fewer candidates
 than k all are returned; repeated ids are separate candidates (a query skips every row of its own id);
 empty tables give no rows; other columns are ignored.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 M = 8
-LEAF = 32
+LEAF = 256
 CONFIDENCE = 0.99
 BLOCK_ROWS, BLOCK_QUERIES = 20_000, 1_000
 
@@ -73,7 +73,7 @@ class Tree:
         return n
 
     def leaves(self, q: np.ndarray):
-        """(squared distance that all later rows reach, rows), nearest boxes first."""
+        """(squared distance that all later rows reach, first and last place in the order), nearest boxes first."""
         gap = lambda n: float((np.maximum(0, np.maximum(self.low[n] - q, q - self.high[n])) ** 2).sum())
         heap = [(gap(0), 0)]
         while heap:
@@ -82,8 +82,7 @@ class Tree:
                 for c in self.child[n]:
                     heapq.heappush(heap, (gap(c), c))
             else:
-                a, b = self.span[n]
-                yield r, self.order[a:b]
+                yield r, *self.span[n]
 
 
 def projection(dim: int, m: int = M) -> np.ndarray:
@@ -96,25 +95,27 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, querie
     unit = vectors / length[:, None]
     a = projection(vectors.shape[1])
     tree, stop = Tree(unit @ a), _threshold(confidence)
+    unit, named = unit[tree.order], ids[tree.order]  # a leaf's rows lie together
     out = []
     for q_id, q in zip(q_ids.tolist(), queries, strict=True):
         qn = math.sqrt(float((q * q).sum()))
-        qa = (q / qn) @ a
-        best_s = np.zeros(0)
-        best_i = np.zeros(0, np.int64)
-        worst = math.inf
-        for r, rows in tree.leaves(qa):
-            if len(best_s) >= k and r >= stop * worst:
+        qu = q / qn
+        pool_s, pool_at, kth = np.zeros(0), np.zeros(0, np.int64), -math.inf
+        for r, x, y in tree.leaves(qu @ a):
+            if r >= stop * max(1e-12, 2 - 2 * kth):
                 break
-            rows = rows[ids[rows] != q_id]
-            s = (vectors[rows] * q).sum(axis=1) / (length[rows] * qn)
-            best_s, best_i = np.concatenate([best_s, s]), np.concatenate([best_i, ids[rows]])
-            if len(best_s) > k:
-                keep = np.lexsort((best_i, -best_s))[:k]
-                best_s, best_i = best_s[keep], best_i[keep]
-            if len(best_s) >= k:
-                worst = max(1e-12, 2 - 2 * float(best_s.min()))
-        out += [(q_id, int(i), float(s)) for i, s in zip(best_i, best_s, strict=True)]
+            s = unit[x:y] @ qu
+            near = np.flatnonzero(s >= kth - 1e-9)  # what may be among the best, with room for rounding
+            near = near[named[x + near] != q_id]
+            if len(near):
+                pool_s, pool_at = np.concatenate([pool_s, s[near]]), np.concatenate([pool_at, x + near])
+                if len(pool_s) >= k:
+                    kth = float(np.partition(pool_s, -k)[-k])
+                    keep = pool_s >= kth - 1e-9
+                    pool_s, pool_at = pool_s[keep], pool_at[keep]
+        rows = tree.order[pool_at]
+        exact, found = (vectors[rows] * q).sum(axis=1) / (length[rows] * qn), ids[rows]
+        out += [(q_id, int(found[n]), float(exact[n])) for n in np.lexsort((found, -exact))[:k]]
     return out
 
 
@@ -127,7 +128,7 @@ def usable(df: DataFrame, column: str) -> DataFrame:
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int = 5, confidence: float = CONFIDENCE) -> DataFrame:
     """query_id, rank, vec_id, score from queries(query_id, v) and rows(vec_id, v)."""
-    rows, queries = usable(rows, "v"), usable(queries, "v")
+    rows, queries = usable(rows.where("vec_id is not null"), "v"), usable(queries.where("query_id is not null"), "v")
     n, m = rows.count(), queries.count()
     blocks, parts = max(1, -(-n // BLOCK_ROWS)), max(1, -(-m // BLOCK_QUERIES))
     c = rows.select(F.col("vec_id").alias("id"), "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("j"), F.lit(False).alias("asks"))
