@@ -191,21 +191,24 @@ def _strong(evidence: DataFrame) -> DataFrame:
     return evidence.where((pos > 1) & (pos / n_pos > 20 * neg / n_neg)).withColumn("gain", gain).where(F.col("gain") > 2 * float(np.log(tried)) + 4)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """L2-SVM with squared hinge loss, by Newton steps on the examples inside the margin."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w = np.zeros(x.shape[1])
-    keep = np.eye(x.shape[1])
-    keep[-1, -1] = 1e-3
-    inside = None
-    for _ in range(rounds):
-        now = y * (x @ w) < 1
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Weights of an L2-SVM with squared hinge loss (last column of x: the constant), by Newton steps on the examples inside the margin."""
+    w, inside = np.zeros(x.shape[1]), None
+    for n in range(rounds):
+        now = y * (x @ w.astype(np.float32)) < 1
         if inside is not None and (now == inside).all():
             break
         inside = now
-        a = x[inside] * cost[inside, None]
-        w = 0.5 * w + 0.5 * np.linalg.solve(keep + a.T @ x[inside], a.T @ y[inside]) if _ else np.linalg.solve(keep + a.T @ x[inside], a.T @ y[inside])
-    return w[:-1], float(w[-1])
+        gram, pull = np.eye(x.shape[1]), np.zeros(x.shape[1])
+        gram[-1, -1] = 1e-3
+        for at in range(0, len(x), 2048):  # in slices, so that the driver holds one copy of x
+            of = at + np.flatnonzero(inside[at : at + 2048])
+            part = x[of].astype(np.float64)
+            weighted = part * cost[of, None]
+            gram += weighted.T @ part
+            pull += weighted.T @ y[of]
+        w = np.linalg.solve(gram, pull) if n == 0 else 0.5 * w + 0.5 * np.linalg.solve(gram, pull)
+    return w
 
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model | None:
@@ -279,13 +282,16 @@ def fit_words(positive: list[str], negative: list[str], hard: list[str] = ()) ->
     values, vectors = np.linalg.eigh((marks.maps.T @ marks.maps).astype(np.float64))
     kept = values > 1e-6 * values[-1]
     whiten = vectors[:, kept] / np.sqrt(values[kept])
-    x = np.concatenate([marks.kernel(positive), marks.kernel(negative)]).astype(np.float64) @ whiten
+    words, whiten = positive + negative, whiten.astype(np.float32)
+    x = np.ones((len(words), whiten.shape[1] + 1), np.float32)
+    for at in range(0, len(words), 2048):
+        x[at : at + 2048, :-1] = marks.kernel(words[at : at + 2048]) @ whiten
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
     cost = np.where(y > 0, 0.5 * len(y) / len(positive), 0.5 * len(y) / max(1, len(negative)))
-    w, bias = _svm(x, y, cost)
+    w = _svm(x, y, cost)
     weights = np.zeros(BASE**3, np.float32)
-    weights[marks.triples] = (marks.maps[:-1] @ (whiten @ w)).astype(np.float32)
-    return Model(weights, bias, 4.0, 0.0)
+    weights[marks.triples] = (marks.maps[:-1] @ (whiten @ w[:-1])).astype(np.float32)
+    return Model(weights, float(w[-1]), 4.0, 0.0)
 
 
 def _curve(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
