@@ -19,6 +19,8 @@ and get the same text; an empty table gives no rows; other columns pass through.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -67,12 +69,14 @@ def parse_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
                 if len(tokens) < min_tokens:
                     continue
                 sig = bytes(map(_bytes.__getitem__, tokens))
-                lead = " ".join("\0" if sig[k] == 0 else tokens[k] for k in range(LEAD))
-                masked = " ".join("\0" if s == 0 else t for s, t in zip(sig, tokens, strict=True)) if 0 in sig else " ".join(tokens)
+                lead, masked = tokens[:LEAD], line
+                if 0 in sig:
+                    lead = ["\0" if s == 0 else t for s, t in zip(sig, lead, strict=False)]
+                    masked = " ".join("\0" if s == 0 else t for s, t in zip(sig, tokens, strict=True))
                 out["doc_id"].append(doc)
                 out["line_no"].append(n)
                 out["copy"].append(copy)
-                out["leaf"].append(_signed(xxhash.xxh64_intdigest(f"{len(tokens)} {lead}".encode("utf-8", "surrogatepass"))))
+                out["leaf"].append(_signed(xxhash.xxh64_intdigest(f"{len(tokens)} {' '.join(lead)}".encode("utf-8", "surrogatepass"))))
                 out["line"].append(_signed(xxhash.xxh64_intdigest(masked.encode("utf-8", "surrogatepass"))))
                 out["sig"].append(sig)
         return out
@@ -81,56 +85,73 @@ def parse_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
 
 
 def group_templates(sigs: list[bytes], similar: float = SIMILAR) -> list[int]:
-    """The template number of each line of a leaf; lines come in a fixed order."""
-    if not sigs:
-        return []
+    """For each line of a leaf the place of the first line of its template; lines come in a fixed order."""
+    if len(sigs) < 2:
+        return [0] * len(sigs)
     size = len(sigs[0])
-    templates = np.zeros((0, size), np.uint8)
-    out = []
-    for s in sigs:
-        row = np.frombuffer(s, np.uint8)
-        if len(templates):
-            same = ((templates == row) | (templates == 0)).sum(axis=1)
-            firm = (templates != 0).sum(axis=1)
-            ok = np.flatnonzero((same >= similar * size) & (firm * 2 >= size))
-            if len(ok):
-                k = int(ok[np.argmax(same[ok])])
-                templates[k] = np.where(templates[k] == row, row, 0)
-                out.append(k)
-                continue
-        templates = np.concatenate([templates, row[None]])
-        out.append(len(templates) - 1)
+    rows = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), size)
+    templates, first, out = rows[:1].copy(), [0], [0]
+    for n in range(1, len(rows)):
+        row = rows[n]
+        same = ((templates == row) | (templates == 0)).sum(axis=1)
+        ok = np.flatnonzero((same >= similar * size) & ((templates != 0).sum(axis=1) * 2 >= size))
+        if len(ok):
+            k = int(ok[np.argmax(same[ok])])
+            templates[k] = np.where(templates[k] == row, row, 0)
+            out.append(first[k])
+        else:
+            templates = np.concatenate([templates, row[None]])
+            first.append(n)
+            out.append(n)
     return out
 
 
-def _assign(lines: DataFrame, similar: float) -> DataFrame:
-    """leaf, line, template of the distinct lines(leaf, line, sig) of leaves with at least two of them."""
-    sizes = lines.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = lines.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("line"), F.ceil(F.col("n") / PART)).cast("int"))
+def _grouped(rows: DataFrame, keys: list[str], similar: float, out: str) -> DataFrame:
+    """rows(leaf, line, sig, n and keys) with `out`, the first line of each line's template within its keys.
 
-    def within(_key, g):
-        import pandas as pd
+    Rows are dealt and sorted by the keys; a task holds one group at a time.
+    """
 
-        g = g.sort_values("line", kind="stable")
-        g["first"] = g["line"].to_numpy()[np.array(pd.Series(k := group_templates(g["sig"].tolist(), similar)).drop_duplicates().index)[np.array(k)]]
-        return g[["leaf", "line", "first", "sig", "n"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group = None, []
 
-    parts = cut(dealt.groupBy("leaf", "part").applyInPandas(within, "leaf long, line long, first long, sig binary, n long"), "templates")
+        def finish() -> pa.RecordBatch:
+            at = group_templates([g[2] for g in group], similar)
+            return pa.RecordBatch.from_pydict({"leaf": [g[0] for g in group], "line": [g[1] for g in group], out: [group[k][1] for k in at], "sig": [g[2] for g in group], "n": [g[3] for g in group]}, schema=schema)
 
-    def merge(_key, g):
-        g = g.sort_values("line", kind="stable")
-        k = np.array(group_templates(g["sig"].tolist(), similar))
-        first = {}
-        for t, line in zip(k.tolist(), g["line"].tolist(), strict=True):
-            first.setdefault(t, line)
-        g["template"] = [first[t] for t in k.tolist()]
-        return g[["leaf", "line", "template"]]
+        schema = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), (out, pa.int64()), ("sig", pa.binary()), ("n", pa.int64())])
+        done: list[pa.RecordBatch] = []
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in ("leaf", "line", "sig", "n")]
+            for key, row in zip(zip(*(b.column(k).to_pylist() for k in keys), strict=True), zip(*columns, strict=True), strict=True):
+                if key != held and group:
+                    done.append(finish())
+                    group = []
+                held = key
+                group.append(row)
+            if len(done) > 200:
+                yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+                done = []
+        if group:
+            done.append(finish())
+        if done:
+            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
 
+    need = list(dict.fromkeys([*keys, "leaf", "line", "sig", "n"]))
+    dealt = rows.select(*need).repartition(*keys).sortWithinPartitions(*keys, "line")
+    return dealt.mapInArrow(run, f"leaf long, line long, {out} long, sig binary, n long")
+
+
+def _assign(lines: DataFrame, similar: float) -> DataFrame:
+    """leaf, line, template of the distinct lines(leaf, line, sig) of leaves with at least two of them."""
+    sizes = lines.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = lines.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("line"), F.ceil(F.col("n") / PART)).cast("int"))
+    parts = cut(_grouped(dealt, ["leaf", "part"], similar, "first"), "templates")
     # one line stands for each template of a part; only leaves of several parts need the second round
     heads = parts.where("line = first")
-    merged = heads.where(F.col("n") > PART).groupBy("leaf").applyInPandas(merge, "leaf long, line long, template long")
-    merged = merged.unionByName(heads.where(F.col("n") <= PART).select("leaf", "line", F.col("line").alias("template")))
-    return parts.select("leaf", "line", "first").join(merged.withColumnRenamed("line", "first"), ["leaf", "first"]).select("leaf", "line", "template")
+    merged = _grouped(heads.where(F.col("n") > PART), ["leaf"], similar, "template").select("leaf", F.col("line").alias("first"), "template")
+    merged = merged.unionByName(heads.where(F.col("n") <= PART).select("leaf", "first", F.col("line").alias("template")))
+    return parts.select("leaf", "line", "first").join(merged, ["leaf", "first"]).select("leaf", "line", "template")
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similar: float = SIMILAR) -> DataFrame:
