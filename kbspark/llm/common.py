@@ -58,6 +58,41 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema, rows:
     return df.mapInArrow(run, schema)
 
 
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """fn over the rows of each group, one group in memory at a time: rows are dealt and sorted by the keys.
+
+    For many small groups this costs far less than a pandas frame for each.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow, names = to_arrow_schema(StructType.fromDDL(schema)), df.columns
+    at = [names.index(k) for k in keys]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], f.type) for n, f in enumerate(arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group, out = None, [], []
+        for b in batches:
+            for row in zip(*(b.column(n).to_pylist() for n in names), strict=True):
+                key = tuple(row[n] for n in at)
+                if key != held:
+                    if group:
+                        out += fn(group)
+                    held, group = key, []
+                group.append(row)
+                if len(out) >= 20_000:
+                    yield batch(out)
+                    out = []
+        if group:
+            out += fn(group)
+        if out:
+            yield batch(out)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column as strings; null becomes the empty text."""
     return [t or "" for t in batch.column(column).to_pylist()]

@@ -10,16 +10,18 @@ found without ever listing the pairs of a bucket:
 1. Each class is compared with one leader, the smallest id among all its buckets: by signature first, then
    by the full sets. Components of these links settle nearly all copies.
 2. Buckets whose members are still in different components are the rest. There, the members outside the
-   bucket's largest component are compared with the members of other components, in blocks of bounded
-   size, by signature, and what passes by the full sets. Members of one component need no more comparing,
-   so a large group of copies costs what its size is, not the square.
+   bucket's largest component are compared with the members of other components by signature, in blocks of
+   bounded size. In two rounds each of them names its most alike partner only, which joins what is left of
+   large groups; in the last round all pairs that pass are named, each in the first bucket it shares. What
+   is named is verified on the full sets. Members of one component need no more comparing.
 
 Components are found by alternating large-star and small-star steps on the link table; every step is
 written to the shared folder, so a lost executor costs a step at most.
 
 Cases: null, empty and blank texts have the empty set and link with nothing; a text under five words is
 one shingle, its whole word sequence; repeated rows of one doc_id count as one class; ties cannot occur,
-ids order everything; an empty table gives no rows; other columns are ignored.
+ids order everything; an empty table gives no rows; other columns are ignored; a row without a doc_id
+links with nothing but its exact copies.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import cut, map_arrow, texts
+from kbspark.llm.common import cut, map_arrow, map_groups, texts
 from kbspark.llm.shingles import shingle_set
 
 BANDS, ROWS = 51, 5
@@ -144,8 +146,17 @@ def components(links: DataFrame) -> DataFrame:
     return own.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def contested_pairs(members: DataFrame, comps: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b, of members(key, id) that share a key, are in different components and pass by signature."""
+def first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first band in which two signatures agree (BANDS if none): where a pair that shares several buckets is named once."""
+    same = (a == b).reshape(len(b), BANDS, ROWS).all(axis=2)
+    return np.where(same.any(axis=1), same.argmax(axis=1), BANDS)
+
+
+def contested_pairs(members: DataFrame, comps: DataFrame, sketches: DataFrame, threshold: float, best_only: bool) -> DataFrame:
+    """(a, b), a < b, of members(key, band, id) that share a bucket, are in different components and pass by signature.
+
+    With best_only each member outside its bucket's largest component names just its most alike partner.
+    """
     placed = members.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
     rows = cut(placed.join(open_keys, "key"), "contested")
@@ -153,24 +164,33 @@ def contested_pairs(members: DataFrame, comps: DataFrame, sketches: DataFrame, t
     largest = sizes.groupBy("key").agg(F.max(F.struct("c", F.col("component").alias("main"))).alias("x"), F.sum("c").alias("all")).select("key", "x.main", (F.col("all") - F.col("x.c")).alias("outside"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     rows = rows.join(largest, "key").join(sketches.select(F.col("doc_id").alias("id"), "sig"), "id").withColumn("h", F.xxhash64("id"))
-    whole = rows.select("key", "id", "component", "sig", F.pmod("h", blocks("n")).alias("i"), F.explode(F.sequence(F.lit(0), blocks("outside") - 1)).alias("j"), F.lit(False).alias("out"))
-    outside = rows.where("component <> main").select("key", "id", "component", "sig", F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("i"), F.pmod("h", blocks("outside")).alias("j"), F.lit(True).alias("out"))
-
-    def run(_key, group):
-        import pandas as pd
-
-        x, y = group[group["out"]], group[~group["out"]]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sx, sy = (np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(-1, HASHES) for g in (x, y))
-        ix, iy, cx, cy = x["id"].to_numpy(), y["id"].to_numpy(), x["component"].to_numpy(), y["component"].to_numpy()
+    whole = rows.select("key", "band", "id", "component", "sig", F.pmod("h", blocks("n")).alias("i"), F.explode(F.sequence(F.lit(0), blocks("outside") - 1)).alias("j"), F.lit(False).alias("out"))
+    outside = rows.where("component <> main").select("key", "band", "id", "component", "sig", F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("i"), F.pmod("h", blocks("outside")).alias("j"), F.lit(True).alias("out"))
+    least = int((threshold - SLACK) * 255 + 1) * HASHES // 256  # equal bytes that a pair must have
+
+    def run(group: list[tuple]) -> list[tuple]:
+        x, y = [r for r in group if r[-1]], [r for r in group if not r[-1]]
+        if not x or not y:
+            return []
+        sy = np.frombuffer(b"".join(r[4] for r in y), np.uint8).reshape(-1, HASHES)
+        columns = np.ascontiguousarray(sy.T)
+        iy, cy = np.array([r[2] for r in y]), np.array([r[3] for r in y])
         found = []
-        for k in range(len(x)):
-            ok = (agreement(sx[k], sy) >= threshold - SLACK) & (cy != cx[k])
-            found += [(min(ix[k], v), max(ix[k], v)) for v in iy[ok]]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
-
-    return whole.unionByName(outside).groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+        for _, band, u, component, sig, *_ in x:
+            own = np.frombuffer(sig, np.uint8)
+            equal = (columns == own[:, None]).view(np.uint8).sum(axis=0, dtype=np.uint8)
+            at = np.flatnonzero((equal >= least) & (cy != component))
+            if len(at) and best_only:
+                at = at[np.lexsort((iy[at], -equal[at].astype(int)))[:1]]
+            elif len(at):
+                at = at[first_band(own[None], sy[at]) == band]
+            found += [(u, min(u, v), max(u, v), e) for v, e in zip(iy[at].tolist(), equal[at].tolist(), strict=True)]
+        return found
+
+    found = map_groups(whole.unionByName(outside), ["key", "i", "j"], run, "u long, a long, b long, equal long")
+    if best_only:
+        found = found.groupBy("u").agg(F.max(F.struct("equal", -F.col("a"), -F.col("b"), "a", "b")).alias("x")).select("x.a", "x.b")
+    return found.select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -182,7 +202,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     member = cut(small.join(classes, ["n_shingles", "h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
     reps = cut(sketches.where("n_shingles > 0").join(member.select("doc_id", "rep").where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "representatives")
 
-    rows = reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
+    rows = reps.select(F.col("doc_id").alias("id"), F.posexplode("keys").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1").select("key", "lead")
     members = cut(rows.join(shared, "key"), "bucket-members")
 
@@ -190,12 +210,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     first = members.groupBy("id").agg(F.min("lead").alias("lead")).where("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b"))
     links = cut(exact_pass(signature_pass(first, reps, threshold), own, percent), "links")
     comps = cut(components(links), "components")
-
-    more = contested_pairs(members.select("key", "id"), comps, reps, threshold).join(first, ["a", "b"], "left_anti")
-    # pairs of components, not of members, would lose links: every remaining pair is verified
-    late = cut(exact_pass(more, own, percent), "late-links")
-    if not late.isEmpty():
-        comps = cut(components(links.unionByName(late)), "components")
+    members = members.select("key", "band", "id")
+    for best_only in (True, True, False):
+        more = contested_pairs(members, comps, reps, threshold, best_only)
+        late = cut(exact_pass(more, own, percent), "late-links")
+        if not late.isEmpty():
+            known = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
+            comps = cut(components(known.unionByName(late)), "components")
     final = member.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return final.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
