@@ -36,7 +36,7 @@ from kbspark.llm.shingles import shingle_set
 
 BANDS, ROWS = 51, 5
 HASHES = BANDS * ROWS
-SLACK = 0.15  #: a signature may fall this far below the threshold (over five standard deviations)
+SLACK = 0.11  #: a signature may fall this far below the threshold (four standard deviations)
 BLOCK = 256  #: members in a block of a contested bucket
 
 _rng = np.random.default_rng(20240229)
@@ -138,7 +138,6 @@ def components(links: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: every smaller neighbour, and the node, move to the smallest
-        large = cut(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = cut(moved.where("u <> v").distinct(), "small-star")
@@ -165,7 +164,11 @@ def contested_pairs(members: DataFrame, comps: DataFrame, sketches: DataFrame, t
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     rows = rows.join(largest, "key").join(sketches.select(F.col("doc_id").alias("id"), "sig"), "id").withColumn("h", F.xxhash64("id"))
     whole = rows.select("key", "band", "id", "component", "sig", F.pmod("h", blocks("n")).alias("i"), F.explode(F.sequence(F.lit(0), blocks("outside") - 1)).alias("j"), F.lit(False).alias("out"))
-    outside = rows.where("component <> main").select("key", "band", "id", "component", "sig", F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("i"), F.pmod("h", blocks("outside")).alias("j"), F.lit(True).alias("out"))
+    asking = rows.where("component <> main")
+    if best_only:  # one bucket of each member will do here, its fullest
+        fullest = asking.groupBy("id").agg(F.max(F.struct("n", "key")).alias("x")).select("id", "x.key")
+        asking = asking.join(fullest, ["id", "key"], "left_semi")
+    outside = asking.select("key", "band", "id", "component", "sig", F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("i"), F.pmod("h", blocks("outside")).alias("j"), F.lit(True).alias("out"))
     least = int((threshold - SLACK) * 255 + 1) * HASHES // 256  # equal bytes that a pair must have
 
     def run(group: list[tuple]) -> list[tuple]:
