@@ -1,6 +1,6 @@
 """BPE encoding and decoding through a minimal acyclic transducer of the corpus' frequent words.
 
-Words are counted over all documents. The most frequent `lexicon_words` (a bound on the lexicon, not on
+Words are counted over all documents. The most frequent, at most `lexicon_words` (a bound on the lexicon, not on
 the data: other words are merged exactly) go into a minimal acyclic automaton with shared suffixes. Each
 arc carries the number of words that sort before it, so a word's path sums to its index, and the index
 leads to the word's ids. The automaton is one flat byte string, sent to the executors as a broadcast of
@@ -10,7 +10,7 @@ A text with characters at or above U+0250, or with a special token's string, tak
 normaliser and splitter first.
 
 Cases: null text is the empty text (no ids, empty decoding); an empty table gives no rows and an empty
-lexicon; repeated rows stay; ties in frequency go to the smaller word; other columns are ignored.
+lexicon; repeated rows stay; words of one frequency go in together or not at all; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.llm.charset import LATER, WORD_SPLIT, byte_alphabet
-from kbspark.llm.common import map_arrow, slices, texts
+from kbspark.llm.common import cut, map_arrow, slices, texts
 
 LEXICON_WORDS = 60_000
 KEPT_WORDS = 400_000
@@ -240,9 +240,15 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS) -> bytes:
-    """The compiled lexicon of the corpus' most frequent words (at most lexicon_words of at most 64 bytes)."""
-    frequent = word_counts(docs, path).where("n > 1 and octet_length(word) <= 64").orderBy(F.desc("n"), "word").limit(lexicon_words)
-    words = [r["word"] for r in frequent.select("word").collect()]
+    """The compiled lexicon of the corpus' most frequent words of at most 64 bytes.
+
+    The lowest frequency that keeps the lexicon within lexicon_words comes from the table of frequencies, so
+    only the chosen words reach the driver.
+    """
+    counts = cut(word_counts(docs, path).where("n > 1 and octet_length(word) <= 64"), "word-counts")
+    so_far = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)  # a row for each frequency
+    least = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("total", F.sum("words").over(so_far)).where(F.col("total") <= lexicon_words).agg(F.min("n")).first()[0]
+    words = [r["word"] for r in counts.where(F.col("n") >= least).select("word").collect()] if least is not None else []
     v = vocabulary(path)
     return compile_lexicon(words, [v.merge(w) for w in words])
 
