@@ -11,7 +11,7 @@ The benchmark's seeds go to the executors only while its text has at most BROADC
 measured; beyond that the seeds of both sides meet in a shuffled join, each document's seeds distinct.
 
 Items shorter than MATCH tokens count as one seed of their whole length. Cases: null and empty texts and
-items match nothing; repeated rows give repeated results on the document side, and equal item_ids are read
+items, and items without an id, match nothing; repeated rows give repeated results on the document side, and equal item_ids are read
 as one item each by their text; ties between tiles go to the earlier place; empty tables give no rows;
 other columns are ignored.
 """

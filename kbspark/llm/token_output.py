@@ -10,12 +10,13 @@ kept; a text with characters at or above U+0250 or with the string of a special
 
 Cases: null text is the empty text (only the end id); empty table gives no rows; repeated rows and ids
 each keep their own place (ties in doc_id lie side by side in no fixed order); other columns are ignored;
-a document of any length lies in one segment.
+a document of any length lies in one segment; rows with a null doc_id come first.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,10 +26,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.llm import pfor
-from kbspark.llm.charset import BYTE_SPLIT, LATER
+from kbspark.llm.charset import BYTE_SPLIT, LATER, byte_alphabet
 from kbspark.llm.common import new_path, slices
 
-KEPT_WORDS = 400_000  #: words a worker remembers before it starts anew
+NO_ID = -(1 << 63)  #: stands for a null doc_id in a file
+KEPT_WORDS = 800_000  #: words a worker remembers before it starts anew
+
+
+class _Words(dict):
+    """Pre-token to its ids as bytes. A pre-token stands for itself, so the library's merges run on it directly."""
+
+    def __init__(self, tokenizer, kind: str):
+        super().__init__()
+        self.merge, self.kind = tokenizer.model.tokenize, kind
+        self.alphabet = {b: ord(c) for b, c in byte_alphabet().items()}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        found = self.merge(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet))
+        ids = self[word] = array(self.kind, [x.id for x in found]).tobytes()
+        return ids
 
 
 class ByteEncoder:
@@ -42,31 +60,24 @@ class ByteEncoder:
         self.tok.no_truncation()
         self.kind = "<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, self.kind).tobytes()
+        self.known = _Words(self.tok, "H" if self.kind == "<u2" else "I")
+
+    def _whole(self, text: str) -> bool:
+        """Whether a text has characters or special strings that the split by words does not cover."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            if LATER.search(text):
+                return True
+        return any(s in text for s in self.special)
+
+    def encode(self, text: str) -> np.ndarray:
+        if self._whole(text):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, BYTE_SPLIT.findall(text))), self.kind)
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if LATER.search(t) or any(s in t for s in self.special)]
-        for i in whole:
-            out[i] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, self.kind)
-        split = {i: BYTE_SPLIT.findall(t) for i, t in enumerate(texts) if out[i] is None}
-        words = set()
-        for ws in split.values():
-            words.update(ws)
-        known = self.known
-        if new := [w for w in words if w not in known]:
-            self._learn(new)
-            if missing := [w for w in words if w not in known]:  # forgotten just now
-                self._learn(missing)
-        for i, ws in split.items():
-            out[i] = np.frombuffer(b"".join(map(known.__getitem__, ws)), self.kind)
-        return out
+        return [self.encode(t) for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -99,7 +110,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
         for b in slices(batches, 256):
             found = enc.encode_many([t or "" for t in b.column("text").to_pylist()])
             for k, x in zip(b.column("doc_id").to_pylist(), found, strict=True):
-                keys.append(k)
+                keys.append(NO_ID if k is None else k)
                 lengths.append(len(x) + 1)
                 ids += [x, end]
                 held += len(x) + 1
@@ -125,7 +136,7 @@ def read_token_files(spark, path: str) -> DataFrame:
             raw = ids.astype("<u4").tobytes()
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array(np.full(len(keys), b.column("part")[0].as_py(), np.int32)), "seg": pa.array(np.full(len(keys), b.column("seg")[0].as_py(), np.int32)),
-                "doc_id": pa.array(keys), "within": pa.array(starts), "n_tokens": pa.array(lengths.astype(np.int64)),
+                "doc_id": pa.array(keys, mask=keys == NO_ID), "within": pa.array(starts), "n_tokens": pa.array(lengths.astype(np.int64)),
                 "ids_crc32": pa.array([zlib.crc32(memoryview(raw)[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], pa.int64()),
             })
 

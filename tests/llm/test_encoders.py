@@ -74,3 +74,10 @@ def test_counts_are_the_unigram_tokenizer(spark, odd, none):
     got = {r.doc_id: r.n_pieces for r in token_counts.token_counts(odd, PIECES).collect()}
     assert got[2] == got[3] == got[4] == 0 and got[1] == got[6] > 0
     assert token_counts.token_counts(none, PIECES).count() == 0
+
+
+def test_null_ids_keep_their_place(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "a b"), (3, "c"), (3, "c")], "doc_id long, text string")
+    token_output.write_token_files(docs, str(tmp_path / "c"), BYTES)
+    rows = token_output.read_token_files(spark, str(tmp_path / "c")).collect()
+    assert sorted((r.start, r.doc_id, r.n_tokens) for r in rows) == [(0, None, 3), (3, 3, 2), (5, 3, 2)]

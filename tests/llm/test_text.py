@@ -172,3 +172,10 @@ def test_toxicity_learns_and_tolerates_gaps(spark, none):
     assert [got[k].predicted for k, _ in odd] == [1, 0, 0, 0, 1, 1] and all(0 <= r.score <= 1 for r in got.values())
     assert toxicity.score(none, model).count() == 0 and toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic").where("toxic = 0")) is None
     assert toxicity.score(df, None).where("predicted = 1").count() == 0
+
+
+def test_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "one two three four five six"), (4, "one two three four five six"), (None, None)], "doc_id long, text string")
+    assert sorted(r.n_shingles for r in minhash.near_duplicates(docs).collect()) == [0, 2, 2]
+    assert lines.drop_lines(docs).count() == pii.find_spans(docs).count() == 3
+    assert decontam.clean(docs, spark.createDataFrame([(None, "one two"), (1, "four")], "item_id long, text string")).where("doc_id = 4").count() == 0
