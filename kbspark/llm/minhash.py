@@ -12,8 +12,8 @@ found without ever listing the pairs of a bucket:
 2. Buckets whose members are still in different components are the rest. There, the members outside the
    bucket's largest component are compared with the members of other components by signature, in blocks of
    bounded size. In two rounds each of them names its most alike partner only, which joins what is left of
-   large groups; in the last round all pairs that pass are named, each in the first bucket it shares. What
-   is named is verified on the full sets. Members of one component need no more comparing.
+   large groups; in the last round all pairs that pass are named, each in the first bucket it shares by
+   the full keys. What is named is verified on the full sets. Members of one component need no more comparing.
 
 Components are found by alternating large-star and small-star steps on the link table; every step is
 written to the shared folder, so a lost executor costs a step at most.
@@ -36,7 +36,7 @@ from kbspark.llm.shingles import shingle_set
 
 BANDS, ROWS = 51, 5
 HASHES = BANDS * ROWS
-SLACK = 0.11  #: a signature may fall this far below the threshold (four standard deviations)
+SLACK = 0.15  #: a signature may fall this far below the threshold (five and a half standard deviations)
 BLOCK = 256  #: members in a block of a contested bucket
 
 _rng = np.random.default_rng(20240229)
@@ -146,8 +146,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first band in which two signatures agree (BANDS if none): where a pair that shares several buckets is named once."""
-    same = (a == b).reshape(len(b), BANDS, ROWS).all(axis=2)
+    """The first band whose keys are equal (BANDS if none): where a pair that shares several buckets is named once."""
+    same = a == b
     return np.where(same.any(axis=1), same.argmax(axis=1), BANDS)
 
 
@@ -162,13 +162,15 @@ def contested_pairs(members: DataFrame, comps: DataFrame, sketches: DataFrame, t
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("c", F.col("component").alias("main"))).alias("x"), F.sum("c").alias("all")).select("key", "x.main", (F.col("all") - F.col("x.c")).alias("outside"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    rows = rows.join(largest, "key").join(sketches.select(F.col("doc_id").alias("id"), "sig"), "id").withColumn("h", F.xxhash64("id"))
-    whole = rows.select("key", "band", "id", "component", "sig", F.pmod("h", blocks("n")).alias("i"), F.explode(F.sequence(F.lit(0), blocks("outside") - 1)).alias("j"), F.lit(False).alias("out"))
+    hexes = F.transform("keys", lambda k: F.lpad(F.hex(k), 16, "0"))
+    bands = F.lit(None).cast("binary") if best_only else F.unhex(F.array_join(hexes, ""))
+    rows = rows.join(largest, "key").join(sketches.select(F.col("doc_id").alias("id"), "sig", bands.alias("bands")), "id").withColumn("h", F.xxhash64("id"))
+    whole = rows.select("key", "band", "id", "component", "sig", "bands", F.pmod("h", blocks("n")).alias("i"), F.explode(F.sequence(F.lit(0), blocks("outside") - 1)).alias("j"), F.lit(False).alias("out"))
     asking = rows.where("component <> main")
     if best_only:  # one bucket of each member will do here, its fullest
         fullest = asking.groupBy("id").agg(F.max(F.struct("n", "key")).alias("x")).select("id", "x.key")
         asking = asking.join(fullest, ["id", "key"], "left_semi")
-    outside = asking.select("key", "band", "id", "component", "sig", F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("i"), F.pmod("h", blocks("outside")).alias("j"), F.lit(True).alias("out"))
+    outside = asking.select("key", "band", "id", "component", "sig", "bands", F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("i"), F.pmod("h", blocks("outside")).alias("j"), F.lit(True).alias("out"))
     least = int((threshold - SLACK) * 255 + 1) * HASHES // 256  # equal bytes that a pair must have
 
     def run(group: list[tuple]) -> list[tuple]:
@@ -178,15 +180,16 @@ def contested_pairs(members: DataFrame, comps: DataFrame, sketches: DataFrame, t
         sy = np.frombuffer(b"".join(r[4] for r in y), np.uint8).reshape(-1, HASHES)
         columns = np.ascontiguousarray(sy.T)
         iy, cy = np.array([r[2] for r in y]), np.array([r[3] for r in y])
+        by = None if best_only else np.frombuffer(b"".join(r[5] for r in y), ">u8").reshape(-1, BANDS)
         found = []
-        for _, band, u, component, sig, *_ in x:
+        for _, band, u, component, sig, keys, *_ in x:
             own = np.frombuffer(sig, np.uint8)
             equal = (columns == own[:, None]).view(np.uint8).sum(axis=0, dtype=np.uint8)
             at = np.flatnonzero((equal >= least) & (cy != component))
             if len(at) and best_only:
                 at = at[np.lexsort((iy[at], -equal[at].astype(int)))[:1]]
             elif len(at):
-                at = at[first_band(own[None], sy[at]) == band]
+                at = at[first_band(np.frombuffer(keys, ">u8"), by[at]) == band]
             found += [(u, min(u, v), max(u, v), e) for v, e in zip(iy[at].tolist(), equal[at].tolist(), strict=True)]
         return found
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from kbspark.llm import decontam, html_extract, lines, minhash, pii, shingles, toxicity
 
@@ -82,6 +83,22 @@ def test_near_duplicates_over_odd_documents(odd, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_the_last_round_names_every_pair(spark):
+    """4000 pairs of similarity 101 / 131, each in components of its own."""
+    rng, docs = random.Random(8), []
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    for n in range(4000):
+        w = [word() for _ in range(120)]
+        other = list(w)
+        for at in (20, 60, 90):
+            other[at] = "x" + word()
+        docs += [(2 * n, " ".join(w)), (2 * n + 1, " ".join(other))]
+    reps = minhash.cut(minhash.sketch(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)), "test")
+    members = reps.select(F.col("doc_id").alias("id"), F.posexplode("keys").alias("band", "key")).select("key", "band", "id")
+    got = minhash.contested_pairs(members, spark.createDataFrame([], "node long, component long"), reps, 0.75, False)
+    assert {(r.a, r.b) for r in got.collect()} >= {(2 * n, 2 * n + 1) for n in range(4000)}
+
+
 def test_shingle_words():
     assert shingles.words("A\x1cb É\x85x\x0bY") == ["a\x1cb".encode(), "É\x85x".encode(), b"y"]
 
