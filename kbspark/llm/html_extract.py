@@ -14,7 +14,8 @@ A block whose terminal capacity exceeds all its edges together must take its own
 cut, so such blocks are settled first; the flow runs over the rest.
 
 Cases: null, empty and tag-only pages give the empty text; unclosed and stray tags are repaired as the
-reader goes; a page without semantic containers is judged by looks and neighbours; ties go to
+reader goes (controls and embedded objects, which are not read, end with their parent, and without an
+end tag at the next block); a page without semantic containers is judged by looks and neighbours; ties go to
 boilerplate; repeated rows give equal results; an empty table gives no rows; other columns are ignored.
 """
 
@@ -36,7 +37,8 @@ SAMPLE_PAGES = 300  #: pages that the classifier is fitted on, at most
 SAMPLE_CHARS = 50_000  #: longer pages do not teach
 
 # HTML element names by their role.
-RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "template", "svg", "math", "object", "select", "button", "canvas", "audio", "video"))
+RAW = frozenset(("script", "style", "textarea", "title", "iframe", "noembed", "noframes"))
+UNREAD = frozenset(("noscript", "template", "svg", "math", "object", "select", "button", "canvas", "audio", "video"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -51,6 +53,8 @@ SIDE_NAMES = frozenset(
     breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended
     recommendations widget widgets toolbar pagination pager copyright disclaimer skip paywall""".split()
 )
+#: side names in which an article is a comment or a teaser, not the page's own
+SIDE_ARTICLES = frozenset("comment comments commentlist reply replies respond disqus discussion related recommended recommendations".split())
 MAIN_NAMES = frozenset(("article", "content", "story", "post", "entry", "body", "main", "text"))
 # Log odds of containers.
 IN_MAIN, IN_SIDE, NAMED_MAIN, HEADER_IN_MAIN = 3.0, -9.0, 1.0, -1.0
@@ -59,12 +63,15 @@ NEAR, FAR, SECOND = 1.0, 0.4, 0.3  #: edge capacities: one parent, another paren
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _PART = re.compile(r"[a-z]+")
+_LAYOUT = re.compile(r"(?<!\S)(?:no|has|with|without)[-_]\S*")  # names that tell of other elements
+_UNREAD = re.compile(rf"<(/?)({'|'.join(sorted(UNREAD))})(?=[\s/>])([^>]*)>", re.I)
 
 
 @dataclass
 class Node:
     tag: str
     side: bool
+    firm: bool  # side by more than a class or id name that an article clears
     main: bool
     hint: float
     key: int
@@ -84,32 +91,35 @@ class Part:
 
 def _element(tag: str, attributes: str, parent: Node | None, key: int) -> Node:
     side, main, hint = bool(parent and parent.side), bool(parent and parent.main), parent.hint if parent else 0.0
+    firm = bool(parent and parent.firm)
     if tag in MAIN:
+        side = firm or side and main and tag == "article"
         main = True
     elif tag in SIDE:
-        side = True
+        firm = True
     elif tag == "header":
         if main:
             hint += HEADER_IN_MAIN
         else:
-            side = True
+            firm = True
     if attributes and tag not in ("html", "body"):
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
-                words = set(_PART.findall(value))
+                words = set(_PART.findall(_LAYOUT.sub(" ", value)))
                 if not words.isdisjoint(SIDE_NAMES) and tag not in MAIN:
                     side = True
+                    firm = firm or not words.isdisjoint(SIDE_ARTICLES)
                 elif not words.isdisjoint(MAIN_NAMES):
                     hint += NAMED_MAIN
             elif name == "role":
-                side = side or value in SIDE_ROLES
+                firm = firm or value in SIDE_ROLES
                 main = main or value in ("main", "article")
             elif name == "style":
-                side = side or "display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", "")
+                firm = firm or "display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", "")
             elif name == "hidden" or value == "true":
-                side = True
-    return Node(tag, side, main, hint, key, parent.depth + 1 if parent else 0, parent)
+                firm = True
+    return Node(tag, side or firm, firm, main, hint, key, parent.depth + 1 if parent else 0, parent)
 
 
 def _tag_end(html: str, at: int) -> int:
@@ -134,30 +144,54 @@ def _tag_end(html: str, at: int) -> int:
     return end + 1  # an unclosed quote: the first '>' ends the tag
 
 
+def closed_unread(html: str) -> set[int]:
+    """The places of the UNREAD start tags that have an end tag of their own."""
+    out, open_at = set(), {}
+    for m in _UNREAD.finditer(html):
+        at = open_at.setdefault(m[2].lower(), [])
+        if not m[1]:
+            if not m[3].endswith("/"):
+                at.append(m.start())
+        elif at:
+            out.add(at.pop())
+    return out
+
+
 def blocks(html: str) -> list[Part]:
     """The blocks of a page, in page order."""
     keys = 0
     stack = [_element("#", "", None, 0)]
     out: list[Part] = []
     held: list[str] = []
-    linked, in_link = 0, 0
+    linked, in_link, unread = 0, 0, 0
+    closed, loose = closed_unread(html), None  # loose: the open UNREAD element that has no end tag
 
     def flush() -> None:
         nonlocal linked
         if held:
             text = " ".join("".join(held).split())
             if text:
-                node = next((n for n in reversed(stack) if n.tag in BLOCK or n.tag == "#"), stack[0])
+                read = stack[: next((n for n, x in enumerate(stack) if x.tag in UNREAD), len(stack))] if unread else stack
+                node = next((n for n in reversed(read) if n.tag in BLOCK or n.tag == "#"), stack[0])
                 out.append(Part(text, linked, node, node.tag))
             held.clear()
         linked = 0
 
+    def pop_at(n: int) -> None:
+        nonlocal in_link, unread, loose
+        if unread and stack[n].tag in BLOCK and any(x.tag in UNREAD for x in stack[n:]):
+            flush()  # blocks inside an unread element end no text; its parent's end does
+        for x in stack[n:]:
+            in_link -= x.tag == "a"
+            unread -= x.tag in UNREAD
+            if x is loose:
+                loose = None
+        del stack[n:]
+
     def pop_to(tag: str, within: tuple[str, ...] = ()) -> bool:
-        nonlocal in_link
         for n in range(len(stack) - 1, 0, -1):
             if stack[n].tag == tag:
-                in_link -= sum(x.tag == "a" for x in stack[n:])
-                del stack[n:]
+                pop_at(n)
                 return True
             if stack[n].tag in within:
                 return False
@@ -168,7 +202,7 @@ def blocks(html: str) -> list[Part]:
         lt = html.find("<", at)
         if lt < 0:
             lt = size
-        if lt > at:
+        if lt > at and not unread:
             piece = unescape(html[at:lt])
             held.append(piece)
             if in_link > 0:
@@ -191,15 +225,18 @@ def blocks(html: str) -> list[Part]:
                 end = html.find(">", lt)
                 at = size if end < 0 else end + 1
             else:
-                held.append("<")
+                if not unread:
+                    held.append("<")
                 at = lt + 1
             continue
         tag, end = m[0].lower(), _tag_end(html, m.end())
         if end < 0:  # the page ends inside a tag
             break
         at = end
+        if loose and tag in BLOCK:
+            pop_at(next(n for n, x in enumerate(stack) if x is loose))
         if closing:
-            if tag in BLOCK:
+            if tag in BLOCK and not unread:
                 flush()
             if tag == "a" and in_link <= 0:
                 continue
@@ -209,11 +246,12 @@ def blocks(html: str) -> list[Part]:
             held.append(" ")
             continue
         if tag in BLOCK:
-            flush()
+            if not unread:
+                flush()
             if tag in ENDS_P:
-                pop_to("p", ("td", "th", "div", "article", "section"))
+                pop_to("p", ("td", "th", "div", "article", "section", *UNREAD))
             if tag in ITEM:
-                pop_to(tag, ITEM[tag])
+                pop_to(tag, (*ITEM[tag], "template", "object"))
         if tag in VOID or html[end - 2 : end] == "/>" and tag not in BLOCK:
             continue
         if tag in RAW:
@@ -226,6 +264,10 @@ def blocks(html: str) -> list[Part]:
         keys += 1
         stack.append(_element(tag, html[m.end() : end - 1], stack[-1], keys))
         in_link += tag == "a"
+        if tag in UNREAD:
+            unread += 1
+            if lt not in closed and not loose:
+                loose = stack[-1]
     flush()
     return out
 

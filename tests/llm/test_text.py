@@ -153,6 +153,24 @@ def test_page_text():
     assert [html_extract.main_text(x, w) for x in ("", "<p>", "<div", "<!-- x", "</p></div>")] == [""] * 5
 
 
+def test_unclosed_controls_lose_no_text():
+    w, text = html_extract.fit([]), "<article><h1>Head</h1><p>First text.</p><ul><li>One</li></ul></article>"
+    for tag in ("button", "video", "svg", "select", "object", "noscript", "template"):
+        for start in (f"<header><{tag}>Menu</header>", f"<{tag}>Menu", f"<div><{tag}>Menu</div>"):
+            assert html_extract.main_text(start + text, w) == "Head\nFirst text.\nOne", start
+            assert html_extract.main_text(f"{start}{text}<div><{tag}>x</{tag}></div>", w) == "Head\nFirst text.\nOne", start
+    assert html_extract.main_text("<article><p>Some <button><div>Copy</div></button> text <svg><svg/><title>t</title></svg>here.</p></article>", w) == "Some text here."
+
+
+def test_an_article_clears_names_of_its_wrappers():
+    w, text = html_extract.fit([]), "<h1>Head</h1><p>First text.</p><ul><li>One</li></ul>"
+    for name in ("layout no-sidebar", "sidebar", "page-header", "cookie", "share", "widget"):
+        for tag in ("article", "main"):
+            assert html_extract.main_text(f"<div class='{name}'><p>Side.</p><{tag}>{text}</{tag}></div>", w).endswith("Head\nFirst text.\nOne"), name
+    for page in ("<div id=comments><article>{}</article></div>", "<nav><article>{}</article></nav>", "<article><div class=widget><article>{}</article></div></article>"):
+        assert html_extract.main_text(page.format(text), w) == "", page
+
+
 def test_min_cut_is_a_minimum():
     rng = random.Random(2)
     for _ in range(300):
