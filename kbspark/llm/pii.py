@@ -5,10 +5,11 @@ digit counts) and dropped without retry where the check fails.
 
 The field's nodes are the tokens that hold a digit or '@' (all other tokens are outside any entity).
 Potentials: a token's shape features; neighbouring nodes; and skip edges between nodes of the same
-normal form (lower case, digits and letters only) anywhere in the document, each occurrence tied to the
-next one, so n repeats make n - 1 edges. Base spans are observed. Loopy message passing (sum-product,
-ROUNDS rounds) spreads the labels; tokens whose best label is an entity and that touch no base span are
-joined to added spans. Weights are fitted on a sample of at most SAMPLE documents, whose base spans give
+normal form (lower case, digits and letters only) anywhere in the document, each occurrence tied to one
+hub variable of its form, so n repeats make n edges and any two are two steps apart. Base spans are
+observed, and with them their form's hub, which unobserved occurrences then cannot outvote. Loopy message
+passing (sum-product, until the messages of a document settle) spreads the labels; tokens whose best label
+is an entity and that touch no base span are joined to added spans. Weights are fitted on a sample of at most SAMPLE documents, whose base spans give
 the labels: shapes by logistic regression, both kinds of edges from label co-occurrence.
 
 Cases: null and empty texts have no spans; repeated rows get equal results; ties between labels go to
@@ -30,7 +31,7 @@ from kbspark.llm.common import map_arrow, texts
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 2000  #: documents that the weights are fitted on, at most
-ROUNDS = 8
+SETTLED, MOST_ROUNDS = 1e-4, 1000  #: messages that change by less are settled; a bound for those that never do
 REPEATS = 20.0  #: prior count of agreeing repeats for each label
 OBSERVED = 8.0  #: log odds of a base span's label
 
@@ -133,7 +134,8 @@ class Graph:
     spans: list[tuple[int, int]]
     features: list[list[int]]
     observed: list[int]  # 0, or 1 + kind of a base span
-    edges: list[tuple[int, int, int]]  # node, node, 0 neighbour or 1 skip
+    edges: list[tuple[int, int, int]]  # node, node, 0 neighbour or 1 skip (each repeat to the next; these teach)
+    forms: list[list[int]]  # nodes of each normal form that repeats
 
 
 def graph(text: str, base: list[tuple[int, int, int]]) -> Graph:
@@ -147,7 +149,7 @@ def graph(text: str, base: list[tuple[int, int, int]]) -> Graph:
             if bs < e and be > s:
                 observed[n] = 1 + kind
                 break
-    edges, last = [], {}
+    edges, last, forms = [], {}, {}
     for n, (s, e) in enumerate(spans):
         if n and s - spans[n - 1][1] <= 2:
             edges.append((n - 1, n, 0))
@@ -156,7 +158,8 @@ def graph(text: str, base: list[tuple[int, int, int]]) -> Graph:
             if form in last and (not edges or edges[-1][:2] != (last[form], n)):
                 edges.append((last[form], n, 1))
             last[form] = n
-    return Graph(spans, [shape(text[s:e]) for s, e in spans], observed, edges)
+            forms.setdefault(form, []).append(n)
+    return Graph(spans, [shape(text[s:e]) for s, e in spans], observed, edges, [f for f in forms.values() if len(f) > 1])
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -175,25 +178,40 @@ def infer(graphs: list[Graph], field: Field) -> list[np.ndarray]:
     np.add.at(unary, rows, field.shape[[x for g in graphs for f in g.features for x in f]])
     seen = np.array([o for g in graphs for o in g.observed])
     unary[np.flatnonzero(seen), seen[seen > 0]] += OBSERVED
-    base, ends = 0, []
-    for g, n in zip(graphs, sizes, strict=True):
-        ends += [(base + i, base + j, k) for i, j, k in g.edges]
+    base, ends, hubs = 0, [], []  # ends: node, node, 0 neighbour or 1 skip, graph, 1 if the first node alone speaks
+    for at, (g, n) in enumerate(zip(graphs, sizes, strict=True)):
+        ends += [(base + i, base + j, k, at, 0) for i, j, k in g.edges if k == 0]
+        for form in g.forms:
+            hub, potential = total + len(hubs), np.zeros(labels)
+            for i in form:
+                if g.observed[i]:
+                    potential[g.observed[i]] += OBSERVED
+            hubs.append(potential)
+            ends += [(hub, base + i, 1, at, int(potential.any())) for i in form]
         base += n
-    belief = unary
+    belief = unary = np.concatenate([unary, *(h[None] for h in hubs)])
     if ends:
-        i, j, kind = np.array(ends).T
-        source, target = np.concatenate([i, j]), np.concatenate([j, i])
+        i, j, kind, owner, one_way = np.array(ends).T
+        source, target, owner = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([owner, owner])
         tables = np.stack([field.chain, field.skip])[np.concatenate([kind, kind])]
         back = np.concatenate([np.arange(len(i)) + len(i), np.arange(len(i))])
         message = np.zeros((len(source), labels))
-        for _ in range(ROUNDS):
+        speaks = np.concatenate([np.ones(len(i), bool), one_way == 0])
+        live = np.flatnonzero(speaks)
+        for _ in range(MOST_ROUNDS):
             belief = unary.copy()
             np.add.at(belief, target, message)
-            out = _log_sum((belief[source] - message[back])[:, :, None] + tables, 1)
-            message = 0.5 * message + 0.5 * (out - out.max(axis=1, keepdims=True))
+            out = _log_sum((belief[source[live]] - message[back[live]])[:, :, None] + tables[live], 1)
+            new = 0.5 * message[live] + 0.5 * (out - out.max(axis=1, keepdims=True))
+            moved = np.zeros(len(graphs))
+            np.maximum.at(moved, owner[live], np.abs(new - message[live]).max(axis=1))
+            message[live] = new
+            live = live[moved[owner[live]] > SETTLED]  # a settled document rests, whatever others do
+            if not len(live):
+                break
         belief = unary.copy()
         np.add.at(belief, target, message)
-    best = belief.argmax(axis=1)
+    best = belief[:total].argmax(axis=1)
     return np.split(best, np.cumsum(sizes)[:-1])
 
 

@@ -30,6 +30,14 @@ def test_field_spreads_labels_to_repeats():
     assert [k for k, *_ in base] == [3] and set(base) < set(every) and nothing == none == []
 
 
+def test_one_base_span_reaches_all_repeats():
+    field = pii.fit(["Call +49 30 1234567 now", "server 10.1.2.3 up", "write to a.b@site.org", "room 12 on floor 3", "order 77 from 2020"] * 30)
+    text = "Call +49301234567 now. " + "Again 49301234567 please. " * 49
+    (base, every), _ = pii.find([text, "room 12"], field)
+    assert len(base) == 1 and len(every) == 50 and {k for k, *_ in every} == {3}
+    assert pii.find(["Room 4123 here. " * 50], field)[0] == ([], [])
+
+
 def test_pii_over_odd_documents(odd, none):
     rows = {r.doc_id: r for r in pii.find_spans(odd).collect()}
     assert (rows[8].n_email, rows[8].n_ip, rows[8].n_card, rows[8].n_phone) == (1, 1, 1, 1) and rows[2].base == rows[5].base == ""
