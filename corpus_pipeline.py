@@ -27,10 +27,22 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.drop_lines(docs).select(*docs.columns).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """docs with _row: the doc_id, or a hash of the row's id and text where the id is null or has different texts."""
+    text = F.xxhash64("text")
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("x"), F.max(text).alias("y")).where("x <> y")
+    several = cut(several.select("doc_id", F.lit(True).alias("_several")), "several-texts")
+    own = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).bitwiseOR(F.lit(1 << 62))  # beyond all ids
+    return docs.join(several, "doc_id", "left").withColumn("_row", F.when(F.col("doc_id").isNull() | F.col("_several"), own).otherwise(F.col("doc_id"))).select(*docs.columns, "_row")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """One document of each near-duplicate group; rows without a doc_id go by their text, equal rows are one."""
+    rows = row_keys(docs)
+    kept = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).where("kept").groupBy(F.col("doc_id").alias("_row")).agg(F.count("*").alias("_n"))
+    left = cut(rows.join(kept, "_row"), "kept-rows")
+    again = left.where("_n > 1").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_first")).select("_first.*")
+    return left.where("_n = 1").select(*docs.columns).unionByName(again)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
