@@ -3,7 +3,8 @@
 A line is a token sequence. The tree has a fixed depth: the token count, then the LEAD leading tokens
 (tokens with a digit stand for one variable field). A leaf's lines are grouped into templates: a line
 joins the first template with at least SIMILAR of its tokens equal, and tokens that differ become
-variable fields. A template recurs if its lines stand in at least `min_docs` different documents; copies
+variable fields. A line with more variable fields than fixed tokens has no template but its own true
+tokens, so rows of numbers recur only if they are equal. A template recurs if its lines stand in at least `min_docs` different documents; copies
 of one text count as one document, which is the near-duplicate stage's work, not this one's. Of a
 recurring template the first document (smallest doc_id) and its exact copies keep their lines, so that
 nothing is lost from the corpus; all others drop them.
@@ -70,7 +71,10 @@ def parse_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
                     continue
                 sig = bytes(map(_bytes.__getitem__, tokens))
                 lead, masked = tokens[:LEAD], line
-                if 0 in sig:
+                if 0 in sig and sig.count(0) * 2 > len(sig):  # too few fixed tokens for a template: true tokens, a leaf of its own
+                    masked = " ".join(tokens)
+                    lead = ["\1", masked]
+                elif 0 in sig:
                     lead = ["\0" if s == 0 else t for s, t in zip(sig, lead, strict=False)]
                     masked = " ".join("\0" if s == 0 else t for s, t in zip(sig, tokens, strict=True))
                 out["doc_id"].append(doc)

@@ -153,6 +153,12 @@ def test_line_templates(spark, odd, none):
     assert lines.drop_lines(none).count() == 0
 
 
+def test_rows_of_numbers_are_not_one_line(spark):
+    rows = [(n, f"{n} {n + 7} {n * 3} {n + 90}\nrow {n} {n + 1} {n + 2}\n5 6 7 8") for n in range(6)]
+    got = {r.doc_id: r.text for r in lines.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {n: t if n == 0 else t.rsplit("\n", 1)[0] for n, t in rows}
+
+
 def test_page_text():
     w = html_extract.fit([])
     page = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies.</div>
