@@ -7,37 +7,44 @@ misses all bands with a chance of (1 - 0.75 ** 5) ** 51, about one in a million.
 Equal sets fall into one class by the digest, and only the smallest id of a class goes on. Links are then
 found without ever listing the pairs of a bucket:
 
-1. Each class is compared with one leader, the smallest id among all its buckets: by signature first, then
-   by the full sets. Components of these links settle nearly all copies.
-2. Buckets whose members are still in different components are the rest. There, the members outside the
-   bucket's largest component are compared with the members of other components by signature, in blocks of
-   bounded size. In two rounds each of them names its most alike partner only, which joins what is left of
-   large groups; in the last round all pairs that pass are named, each in the first bucket it shares by
-   the full keys. What is named is verified on the full sets. Members of one component need no more comparing.
+1. Each class is compared with one leader, the smallest id among all its buckets, on the full sets. A
+   leader's members are dealt to parts of bounded size, and its text travels once to each part. Components
+   of these links settle nearly all copies.
+2. Buckets whose members are still in different components are contested. Their members are compared by
+   signature, in blocks of bounded bytes, those outside the bucket's largest component with all others;
+   who may reach the threshold with somebody of another component is flagged, in the first bucket that the
+   pair shares by the full keys. A pair is never a row.
+3. The flagged members meet again in such blocks with their full sets. Pairs that the set sizes and the
+   signatures leave open are verified where they lie; a block joins proven links as it goes and puts out a
+   link only where it merges two of its components, so its rows are fewer than its members.
 
 Components are found by alternating large-star and small-star steps on the link table; every step is
 written to the shared folder, so a lost executor costs a step at most.
 
 Cases: null, empty and blank texts have the empty set and link with nothing; a text under five words is
-one shingle, its whole word sequence; repeated rows of one doc_id count as one class; ties cannot occur,
-ids order everything; an empty table gives no rows; other columns are ignored; a row without a doc_id
-links with nothing but its exact copies.
+one shingle, its whole word sequence; rows of one doc_id are one document, which links where any of its
+texts does (repeated rows change nothing); ties cannot occur, ids order everything; very long texts count
+by their bytes in a block; an empty table gives no rows; other columns are ignored; a row without a
+doc_id links with nothing but its exact copies.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import cut, map_arrow, map_groups, texts
+from kbspark.llm.common import cut, map_arrow, map_groups, slices, texts
 from kbspark.llm.shingles import shingle_set
 
 BANDS, ROWS = 51, 5
 HASHES = BANDS * ROWS
 SLACK = 0.15  #: a signature may fall this far below the threshold (five and a half standard deviations)
-BLOCK = 256  #: members in a block of a contested bucket
+BLOCK_BYTES = 2 << 20  #: what one side of a block of a contested bucket may weigh
+PART = 200  #: members of a leader in one part
 
 _rng = np.random.default_rng(20240229)
 MULTIPLY = _rng.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -82,46 +89,34 @@ def sketch(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, SKETCH)
 
 
-def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard estimate from one-byte minima (a chance match has probability 1/256)."""
-    return ((a == b).mean(axis=-1) * 256 - 1) / 255
-
-
-def signature_pass(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) whose signatures may reach the threshold."""
-    sig = sketches.select("doc_id", "sig")
-    both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
-
-    def run(batch: pa.RecordBatch) -> dict:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
-        ok = pa.array(agreement(x, y) >= threshold - SLACK)
-        return {c: batch.column(c).filter(ok) for c in ("a", "b")}
-
-    return map_arrow(both, run, "a long, b long", rows=4096)
-
-
-def exact_pass(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) with 100 * intersection >= percent * union on the full sets."""
-    text = docs.select("doc_id", "text")
-    both = pairs.join(text.toDF("a", "text_a"), "a").join(text.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-
-    def run(batch: pa.RecordBatch) -> dict:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        kept: dict[int, np.ndarray] = {}
+def links_of(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of pairs with 100 * intersection >= percent * union on the full sets.
 
-        def of(key: int, text: str) -> np.ndarray:
-            if key not in kept:
-                kept[key] = shingle_set(text)
-            return kept[key]
-
-        ok = []
-        for x, y, tx, ty in zip(a, b, texts(batch, "text_a"), texts(batch, "text_b"), strict=True):
-            sx, sy = of(x, tx), of(y, ty)
-            common = len(np.intersect1d(sx, sy, assume_unique=True))
-            ok.append(100 * common >= percent * (len(sx) + len(sy) - common) and common > 0)
-        return {"a": [x for x, k in zip(a, ok, strict=True) if k], "b": [y for y, k in zip(b, ok, strict=True) if k]}
-
-    return map_arrow(both, run, "a long, b long", rows=128)
+    The pairs of one `a` are dealt to parts; each part reads the text of `a` once, then one text after the other.
+    """
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    own = docs.select("doc_id", "text").where("text is not null").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    heads = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
+    members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
+    rows = heads.unionByName(members).join(own.toDF("doc_id", "text"), F.coalesce("b", "a") == F.col("doc_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, []
+        for batch in slices(batches):
+            out_a, out_b = [], []
+            for a, part, b, t in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b", "text")), strict=True):
+                s = shingle_set(t)
+                if b is None:  # the texts of `a` come first
+                    first = [*first, s] if (a, part) == held else [s]
+                    held = a, part
+                elif any(100 * (n := len(np.intersect1d(x, s, assume_unique=True))) >= percent * (len(x) + len(s) - n) and n for x in first):
+                    out_a.append(a)
+                    out_b.append(b)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    dealt = rows.select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", "b")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -151,78 +146,132 @@ def first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.any(axis=1), same.argmax(axis=1), BANDS)
 
 
-def contested_pairs(members: DataFrame, comps: DataFrame, sketches: DataFrame, threshold: float, best_only: bool) -> DataFrame:
-    """(a, b), a < b, of members(key, band, id) that share a bucket, are in different components and pass by signature.
+def contested(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """key, band, id, component of the members(key, band, id) of buckets that hold several components."""
+    placed = members.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return placed.join(several, "key", "left_semi")
 
-    With best_only each member outside its bucket's largest component names just its most alike partner.
+
+def dealt(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """The rows(key, id, component, bytes, and fields) of each key in blocks (key, i, j).
+
+    A block sets some members of the bucket (out = false) against some of those outside its largest component
+    (out = true); over all blocks each of these meets each member once, in blocks of about BLOCK_BYTES a side.
     """
-    placed = members.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-    rows = cut(placed.join(open_keys, "key"), "contested")
-    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("c", F.col("component").alias("main"))).alias("x"), F.sum("c").alias("all")).select("key", "x.main", (F.col("all") - F.col("x.c")).alias("outside"))
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("bytes").alias("w"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("c", "component", "w")).alias("x"), F.sum("w").alias("all"))
+    blocks = lambda w: F.ceil(w / F.lit(BLOCK_BYTES)).cast("int")
+    main = main.select("key", F.col("x.component").alias("main"), blocks(F.col("all")).alias("ni"), F.greatest(F.lit(1), blocks(F.col("all") - F.col("x.w"))).alias("nj"))
+    rows, h = rows.join(main, "key"), F.xxhash64("id")
+    whole = rows.select("key", F.pmod(h, "ni").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(False).alias("out"), "id", "component", *fields)
+    return whole.unionByName(rows.where("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(h, "nj").cast("int").alias("j"), F.lit(True).alias("out"), "id", "component", *fields))
+
+
+class Side:
+    """One side of a block: ids, components, signatures and band keys as arrays."""
+
+    def __init__(self, rows: list[tuple]):
+        self.ids, self.comps, self.band = np.array([r[4] for r in rows]), np.array([r[5] for r in rows]), [r[6] for r in rows]
+        self.sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, HASHES)
+        self.keys = np.frombuffer(b"".join(r[8] for r in rows), ">u8").reshape(-1, BANDS)
+
+
+def open_pairs(x: Side, y: Side, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each place in x the places in y of another component that may reach the threshold and share no earlier bucket."""
+    columns = np.ascontiguousarray(y.sig.T)
+    for n in range(len(x.ids)):
+        equal = (columns == x.sig[n][:, None]).view(np.uint8).sum(axis=0, dtype=np.uint8)
+        at = np.flatnonzero((equal >= least) & (y.comps != x.comps[n]))
+        if len(at):
+            yield n, at[first_band(x.keys[n], y.keys[at]) == x.band[n]]
+
+
+def flagged(rows: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """key, id of the contested rows(key, band, id, component) that take part in an open pair of that bucket."""
     hexes = F.transform("keys", lambda k: F.lpad(F.hex(k), 16, "0"))
-    bands = F.lit(None).cast("binary") if best_only else F.unhex(F.array_join(hexes, ""))
-    rows = rows.join(largest, "key").join(sketches.select(F.col("doc_id").alias("id"), "sig", bands.alias("bands")), "id").withColumn("h", F.xxhash64("id"))
-    whole = rows.select("key", "band", "id", "component", "sig", "bands", F.pmod("h", blocks("n")).alias("i"), F.explode(F.sequence(F.lit(0), blocks("outside") - 1)).alias("j"), F.lit(False).alias("out"))
-    asking = rows.where("component <> main")
-    if best_only:  # one bucket of each member will do here, its fullest
-        fullest = asking.groupBy("id").agg(F.max(F.struct("n", "key")).alias("x")).select("id", "x.key")
-        asking = asking.join(fullest, ["id", "key"], "left_semi")
-    outside = asking.select("key", "band", "id", "component", "sig", "bands", F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("i"), F.pmod("h", blocks("outside")).alias("j"), F.lit(True).alias("out"))
+    marks = sketches.select(F.col("doc_id").alias("id"), "sig", F.unhex(F.array_join(hexes, "")).alias("bands"))
+    rows = rows.join(marks, "id").withColumn("bytes", F.lit(HASHES + 8 * BANDS))
     least = int((threshold - SLACK) * 255 + 1) * HASHES // 256  # equal bytes that a pair must have
 
     def run(group: list[tuple]) -> list[tuple]:
-        x, y = [r for r in group if r[-1]], [r for r in group if not r[-1]]
-        if not x or not y:
+        out, rest = [r for r in group if r[3]], [r for r in group if not r[3]]
+        if not out or not rest:
             return []
-        sy = np.frombuffer(b"".join(r[4] for r in y), np.uint8).reshape(-1, HASHES)
-        columns = np.ascontiguousarray(sy.T)
-        iy, cy = np.array([r[2] for r in y]), np.array([r[3] for r in y])
-        by = None if best_only else np.frombuffer(b"".join(r[5] for r in y), ">u8").reshape(-1, BANDS)
+        x, y, found = Side(out), Side(rest), set()
+        for n, at in open_pairs(x, y, least):
+            if len(at):
+                found.add(int(x.ids[n]))
+                found.update(y.ids[at].tolist())
+        return [(group[0][0], k) for k in sorted(found)]
+
+    return map_groups(dealt(rows, ["band", "sig", "bands"]), ["key", "i", "j"], run, "key long, id long").distinct()
+
+
+def block_links(rows: DataFrame, sketches: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that join the components of the flagged rows(key, band, id, component), verified on the full sets inside the blocks."""
+    hexes = F.transform("keys", lambda k: F.lpad(F.hex(k), 16, "0"))
+    marks = sketches.select(F.col("doc_id").alias("id"), "sig", F.unhex(F.array_join(hexes, "")).alias("bands"))
+    ids = rows.select(F.col("id").alias("doc_id")).distinct()
+    own = docs.select("doc_id", "text").where("text is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    sets = cut(map_arrow(own, lambda b: {"id": b.column("doc_id"), "shingles": [shingle_set(t).tobytes() for t in texts(b)]}, "id long, shingles binary"), "flagged-sets")
+    # a document of several texts has several sets and sketches, which all meet; a link of any is its link
+    rows = rows.join(marks, "id").join(sets, "id").withColumn("bytes", F.octet_length("shingles") + HASHES + 8 * BANDS)
+    least = int((percent / 100 - SLACK) * 255 + 1) * HASHES // 256
+
+    def run(group: list[tuple]) -> list[tuple]:
+        out, rest = [r for r in group if r[3]], [r for r in group if not r[3]]
+        if not out or not rest:
+            return []
+        x, y = Side(out), Side(rest)
+        sx, sy = ([np.frombuffer(r[9], np.uint64) for r in side] for side in (out, rest))
+        size_y = np.array([len(s) for s in sy])
         found = []
-        for _, band, u, component, sig, keys, *_ in x:
-            own = np.frombuffer(sig, np.uint8)
-            equal = (columns == own[:, None]).view(np.uint8).sum(axis=0, dtype=np.uint8)
-            at = np.flatnonzero((equal >= least) & (cy != component))
-            if len(at) and best_only:
-                at = at[np.lexsort((iy[at], -equal[at].astype(int)))[:1]]
-            elif len(at):
-                at = at[first_band(np.frombuffer(keys, ">u8"), by[at]) == band]
-            found += [(u, min(u, v), max(u, v), e) for v, e in zip(iy[at].tolist(), equal[at].tolist(), strict=True)]
+        for n, at in open_pairs(x, y, least):
+            at = at[y.comps[at] != x.comps[n]]  # components joined meanwhile need no more links
+            while len(at):
+                part, s = at[:64], sx[n]
+                at = at[64:]
+                every = np.concatenate([sy[k] for k in part.tolist()])
+                hit = s[np.minimum(np.searchsorted(s, every), len(s) - 1)] == every
+                common = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size_y[part])[:-1]]), dtype=np.int64)
+                for k in part[100 * common >= percent * (len(s) + size_y[part] - common)].tolist():
+                    if (old := int(y.comps[k])) != (new := int(x.comps[n])):
+                        u, v = int(x.ids[n]), int(y.ids[k])
+                        found.append((min(u, v), max(u, v)))
+                        y.comps[y.comps == old] = new
+                        x.comps[x.comps == old] = new
+                at = at[y.comps[at] != x.comps[n]]
         return found
 
-    found = map_groups(whole.unionByName(outside), ["key", "i", "j"], run, "u long, a long, b long, equal long")
-    if best_only:
-        found = found.groupBy("u").agg(F.max(F.struct("equal", -F.col("a"), -F.col("b"), "a", "b")).alias("x")).select("x.a", "x.b")
-    return found.select("a", "b").distinct()
+    return map_groups(dealt(rows, ["band", "sig", "bands", "shingles"]), ["key", "i", "j"], run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
-    threshold = percent / 100
     sketches = cut(sketch(docs), "sketches")
     small = sketches.select("doc_id", "n_shingles", "h1", "h2")
     classes = small.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     member = cut(small.join(classes, ["n_shingles", "h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    reps = cut(sketches.where("n_shingles > 0").join(member.select("doc_id", "rep").where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "representatives")
+    reps = cut(sketches.where("n_shingles > 0").join(member.select("doc_id", "rep").where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "n_shingles", "h1", "h2"]), "representatives")
 
     rows = reps.select(F.col("doc_id").alias("id"), F.posexplode("keys").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1").select("key", "lead")
     members = cut(rows.join(shared, "key"), "bucket-members")
 
     own = docs.select("doc_id", "text")
-    first = members.groupBy("id").agg(F.min("lead").alias("lead")).where("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    links = cut(exact_pass(signature_pass(first, reps, threshold), own, percent), "links")
+    several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("doc_id is not null and a <> b")
+    same = member.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
+    first = cut(members.groupBy("id").agg(F.min("lead").alias("lead")).where("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b")), "first")
+    links = cut(links_of(first, own, percent).unionByName(same), "links")
     comps = cut(components(links), "components")
-    members = members.select("key", "band", "id")
-    for best_only in (True, True, False):
-        more = contested_pairs(members, comps, reps, threshold, best_only)
-        late = cut(exact_pass(more, own, percent), "late-links")
-        if not late.isEmpty():
-            known = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
-            comps = cut(components(known.unionByName(late)), "components")
+
+    rows = cut(contested(members.select("key", "band", "id"), comps), "contested")
+    open_rows = rows.join(flagged(rows, reps, percent / 100), ["key", "id"], "left_semi")
+    late = cut(block_links(open_rows, reps, own, percent), "late-links")
+    if not late.isEmpty():
+        known = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
+        comps = cut(components(known.unionByName(late)), "components")
     final = member.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return final.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

@@ -91,20 +91,46 @@ def test_near_duplicates_over_odd_documents(odd, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
-def test_the_last_round_names_every_pair(spark):
-    """4000 pairs of similarity 101 / 131, each in components of its own."""
+def test_blocks_find_every_open_link(spark, monkeypatch):
+    """2000 pairs of similarity 101 / 131, each in components of its own, in blocks of a few rows; every pair shares a bucket."""
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 4000)
     rng, docs = random.Random(8), []
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
-    for n in range(4000):
+    for n in range(2000):
         w = [word() for _ in range(120)]
         other = list(w)
         for at in (20, 60, 90):
             other[at] = "x" + word()
         docs += [(2 * n, " ".join(w)), (2 * n + 1, " ".join(other))]
-    reps = minhash.cut(minhash.sketch(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)), "test")
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    reps = minhash.cut(minhash.sketch(df), "test")
     members = reps.select(F.col("doc_id").alias("id"), F.posexplode("keys").alias("band", "key")).select("key", "band", "id")
-    got = minhash.contested_pairs(members, spark.createDataFrame([], "node long, component long"), reps, 0.75, False)
-    assert {(r.a, r.b) for r in got.collect()} >= {(2 * n, 2 * n + 1) for n in range(4000)}
+    rows = minhash.contested(members.where("key is not null"), spark.createDataFrame([], "node long, component long"))
+    rows = rows.join(minhash.flagged(rows, reps, 0.75), ["key", "id"], "left_semi")
+    got = minhash.block_links(rows, reps, df, 75).collect()
+    assert {(r.a, r.b) for r in got} == {(2 * n, 2 * n + 1) for n in range(2000)} and len(got) == 2000
+
+
+def test_a_group_of_failing_pairs_makes_no_rows(spark):
+    """300 texts of similarity 0.6 to 0.74 to each other: the blocks meet them all and put out next to nothing."""
+    rng = random.Random(9)
+    base = [f"w{n}" for n in range(200)]
+    docs = []
+    for k in range(300):
+        w = list(base)
+        for at in range(rng.randint(0, 9), 200, 25):
+            w[at] = f"x{k}y{at}"
+        docs.append((k, " ".join(w)))
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(docs)
+
+
+def test_rows_of_one_doc_id_are_one_document(spark):
+    w, v = (" ".join(f"{c}{n}" for n in range(40)) for c in "wv")
+    rows = [(5, w), (5, v), (1, w + " more"), (2, v + " more"), (5, w), (7, "other words that stand alone here"), (None, v)]
+    for order in (rows, rows[::-1]):
+        got = minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 1), (1, 1), (2, 1), (5, 1), (5, 1), (5, 1), (7, 7)]
 
 
 def test_shingle_words():
