@@ -35,6 +35,40 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """The tables that one job keeps in the shared folder between its steps; done() deletes them.
+
+    A step's table is written in whole before the next reads it, so a lost executor costs a step at most. Only
+    what nobody reads any more may be dropped: a job drops its steps once its result is a table of its own.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def cut(self, df: DataFrame, what: str) -> DataFrame:
+        path = new_path(self.spark, what)
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete the given tables now."""
+        for t in tables:
+            path = self.paths.pop(id(t))[1]
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+    def done(self) -> None:
+        self.drop(*(t for t, _ in list(self.paths.values())))
+
+
+def within(docs: DataFrame, ids: DataFrame, key: str = "doc_id", most: int = 2_000_000) -> DataFrame:
+    """The rows of docs whose key stands in ids (a table of its own, distinct): sent to the executors if there are
+    at most `most` ids (16 MB of numbers), else by a shuffled join; the rows are the same."""
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, key, "left_semi")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `rows`, so that long texts are not all Python objects at once."""
     for b in batches:

@@ -37,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import cut, map_arrow, map_groups, slices, texts
+from kbspark.llm.common import Steps, cut, map_arrow, map_groups, slices, texts, within
 from kbspark.llm.shingles import shingle_set
 
 BANDS, ROWS = 51, 5
 HASHES = BANDS * ROWS
 SLACK = 0.15  #: a signature may fall this far below the threshold (five and a half standard deviations)
-BLOCK_BYTES = 2 << 20  #: what one side of a block of a contested bucket may weigh
+BLOCK_BYTES = 8 << 20  #: what one side of a block of a contested bucket may weigh
 PART = 200  #: members of a leader in one part
 
 _rng = np.random.default_rng(20240229)
@@ -96,7 +96,7 @@ def links_of(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    own = docs.select("doc_id", "text").where("text is not null").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    own = within(docs.select("doc_id", "text").where("text is not null"), needed).dropDuplicates(["doc_id", "text"])
     heads = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
     members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
     rows = heads.unionByName(members).join(own.toDF("doc_id", "text"), F.coalesce("b", "a") == F.col("doc_id"))
@@ -119,9 +119,9 @@ def links_of(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, steps: Steps) -> DataFrame:
     """node, component (smallest node reachable) of links(a, b), by large-star and small-star until nothing changes."""
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = steps.cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
     while True:
         now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
@@ -135,7 +135,8 @@ def components(links: DataFrame) -> DataFrame:
         # small star: every smaller neighbour, and the node, move to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = cut(moved.where("u <> v").distinct(), "small-star")
+        before, edges = edges, steps.cut(moved.where("u <> v").distinct(), "small-star")
+        steps.drop(before)
     own = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return own.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
@@ -153,33 +154,51 @@ def contested(members: DataFrame, comps: DataFrame) -> DataFrame:
     return placed.join(several, "key", "left_semi")
 
 
+def marks(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """id, sig, bands (32 bits of each band key, to find the first bucket of a pair) of the documents in rows(id)."""
+    ids = rows.select(F.col("id").alias("doc_id")).distinct()
+    folds = F.transform("keys", lambda k: F.substring(F.lpad(F.hex(k), 16, "0"), 9, 8))
+    return within(sketches, ids).select(F.col("doc_id").alias("id"), "sig", F.unhex(F.array_join(folds, "")).alias("bands"))
+
+
 def dealt(rows: DataFrame, fields: list[str]) -> DataFrame:
     """The rows(key, id, component, bytes, and fields) of each key in blocks (key, i, j).
 
-    A block sets some members of the bucket (out = false) against some of those outside its largest component
-    (out = true); over all blocks each of these meets each member once, in blocks of about BLOCK_BYTES a side.
+    A block sets some members of the bucket (role 0) against some of those outside its largest component (role 1;
+    2 for a row that is both); over all blocks each of these meets each member, about BLOCK_BYTES on a side.
     """
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("bytes").alias("w"))
     main = sizes.groupBy("key").agg(F.max(F.struct("c", "component", "w")).alias("x"), F.sum("w").alias("all"))
     blocks = lambda w: F.ceil(w / F.lit(BLOCK_BYTES)).cast("int")
     main = main.select("key", F.col("x.component").alias("main"), blocks(F.col("all")).alias("ni"), F.greatest(F.lit(1), blocks(F.col("all") - F.col("x.w"))).alias("nj"))
-    rows, h = rows.join(main, "key"), F.xxhash64("id")
-    whole = rows.select("key", F.pmod(h, "ni").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(False).alias("out"), "id", "component", *fields)
-    return whole.unionByName(rows.where("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(h, "nj").cast("int").alias("j"), F.lit(True).alias("out"), "id", "component", *fields))
+    h, outside = F.xxhash64("id"), F.col("component") != F.col("main")
+    rows = rows.join(main, "key").withColumn("own_i", F.pmod(h, "ni").cast("int")).withColumn("own_j", F.pmod(h, "nj").cast("int"))
+    whole = rows.withColumn("i", F.col("own_i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).withColumn("role", F.when(outside & (F.col("j") == F.col("own_j")), 2).otherwise(0))
+    again = rows.where(outside & (F.col("ni") > 1)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))).withColumn("j", F.col("own_j")).withColumn("role", F.lit(1)).where("i <> own_i")
+    columns = ["key", "i", "j", "role", "id", "component", *fields]
+    return whole.select(*columns).unionByName(again.select(*columns))
 
 
 class Side:
-    """One side of a block: ids, components, signatures and band keys as arrays."""
+    """One side of a block: ids, components, bands, signatures and band keys as arrays."""
 
     def __init__(self, rows: list[tuple]):
+        self.rows = rows
         self.ids, self.comps, self.band = np.array([r[4] for r in rows]), np.array([r[5] for r in rows]), [r[6] for r in rows]
         self.sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, HASHES)
-        self.keys = np.frombuffer(b"".join(r[8] for r in rows), ">u8").reshape(-1, BANDS)
+        self.keys = np.frombuffer(b"".join(r[8] for r in rows), ">u4").reshape(-1, BANDS)
+
 
+def sides(block: list[tuple]) -> tuple[Side, Side] | None:
+    """Those outside the largest component, and all members, of a block; None where one of them is empty."""
+    out, rest = [r for r in block if r[3]], [r for r in block if r[3] != 1]
+    return (Side(out), Side(rest)) if out and rest else None
 
-def open_pairs(x: Side, y: Side, least: int) -> Iterator[tuple[int, np.ndarray]]:
+
+def open_pairs(x: Side, y: Side, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
     """For each place in x the places in y of another component that may reach the threshold and share no earlier bucket."""
     columns = np.ascontiguousarray(y.sig.T)
+    least = int((threshold - SLACK) * 255 + 1) * HASHES // 256  # equal bytes that a pair must have
     for n in range(len(x.ids)):
         equal = (columns == x.sig[n][:, None]).view(np.uint8).sum(axis=0, dtype=np.uint8)
         at = np.flatnonzero((equal >= least) & (y.comps != x.comps[n]))
@@ -187,93 +206,88 @@ def open_pairs(x: Side, y: Side, least: int) -> Iterator[tuple[int, np.ndarray]]
             yield n, at[first_band(x.keys[n], y.keys[at]) == x.band[n]]
 
 
-def flagged(rows: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+def flagged(rows: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """key, id of the contested rows(key, band, id, component) that take part in an open pair of that bucket."""
-    hexes = F.transform("keys", lambda k: F.lpad(F.hex(k), 16, "0"))
-    marks = sketches.select(F.col("doc_id").alias("id"), "sig", F.unhex(F.array_join(hexes, "")).alias("bands"))
-    rows = rows.join(marks, "id").withColumn("bytes", F.lit(HASHES + 8 * BANDS))
-    least = int((threshold - SLACK) * 255 + 1) * HASHES // 256  # equal bytes that a pair must have
-
-    def run(group: list[tuple]) -> list[tuple]:
-        out, rest = [r for r in group if r[3]], [r for r in group if not r[3]]
-        if not out or not rest:
-            return []
-        x, y, found = Side(out), Side(rest), set()
-        for n, at in open_pairs(x, y, least):
-            if len(at):
-                found.add(int(x.ids[n]))
-                found.update(y.ids[at].tolist())
-        return [(group[0][0], k) for k in sorted(found)]
+    rows = rows.join(signed, "id").withColumn("bytes", F.lit(HASHES + 4 * BANDS))
+
+    def run(block: list[tuple]) -> list[tuple]:
+        found: set[int] = set()
+        if both := sides(block):
+            x, y = both
+            for n, at in open_pairs(x, y, threshold):
+                if len(at):
+                    found.add(int(x.ids[n]))
+                    found.update(y.ids[at].tolist())
+        return [(block[0][0], k) for k in sorted(found)]
 
     return map_groups(dealt(rows, ["band", "sig", "bands"]), ["key", "i", "j"], run, "key long, id long").distinct()
 
 
-def block_links(rows: DataFrame, sketches: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(a, b) that join the components of the flagged rows(key, band, id, component), verified on the full sets inside the blocks."""
-    hexes = F.transform("keys", lambda k: F.lpad(F.hex(k), 16, "0"))
-    marks = sketches.select(F.col("doc_id").alias("id"), "sig", F.unhex(F.array_join(hexes, "")).alias("bands"))
+def join_components(x: Side, y: Side, percent: int) -> list[tuple[int, int]]:
+    """The links between x and y, verified on the full sets (last field of the rows), that merge components."""
+    sx, sy = ([np.frombuffer(r[9], np.uint64) for r in side.rows] for side in (x, y))
+    size_y, found = np.array([len(s) for s in sy]), []
+    for n, at in open_pairs(x, y, percent / 100):
+        s = sx[n]
+        while len(at := at[y.comps[at] != x.comps[n]]):  # components joined meanwhile need no more links
+            part, at = at[:64], at[64:]
+            every = np.concatenate([sy[k] for k in part.tolist()])
+            hit = s[np.minimum(np.searchsorted(s, every), len(s) - 1)] == every
+            common = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size_y[part])[:-1]]), dtype=np.int64)
+            for k in part[100 * common >= percent * (len(s) + size_y[part] - common)].tolist():
+                if (old := int(y.comps[k])) != (new := int(x.comps[n])):
+                    u, v = int(x.ids[n]), int(y.ids[k])
+                    found.append((min(u, v), max(u, v)))
+                    y.comps[y.comps == old] = new
+                    x.comps[x.comps == old] = new
+    return found
+
+
+def block_links(rows: DataFrame, signed: DataFrame, docs: DataFrame, percent: int, cut=cut) -> DataFrame:
+    """(a, b) that join the components of the flagged rows(key, band, id, component)."""
     ids = rows.select(F.col("id").alias("doc_id")).distinct()
-    own = docs.select("doc_id", "text").where("text is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    own = within(docs.select("doc_id", "text").where("text is not null"), ids).dropDuplicates(["doc_id", "text"])
     sets = cut(map_arrow(own, lambda b: {"id": b.column("doc_id"), "shingles": [shingle_set(t).tobytes() for t in texts(b)]}, "id long, shingles binary"), "flagged-sets")
-    # a document of several texts has several sets and sketches, which all meet; a link of any is its link
-    rows = rows.join(marks, "id").join(sets, "id").withColumn("bytes", F.octet_length("shingles") + HASHES + 8 * BANDS)
-    least = int((percent / 100 - SLACK) * 255 + 1) * HASHES // 256
-
-    def run(group: list[tuple]) -> list[tuple]:
-        out, rest = [r for r in group if r[3]], [r for r in group if not r[3]]
-        if not out or not rest:
-            return []
-        x, y = Side(out), Side(rest)
-        sx, sy = ([np.frombuffer(r[9], np.uint64) for r in side] for side in (out, rest))
-        size_y = np.array([len(s) for s in sy])
-        found = []
-        for n, at in open_pairs(x, y, least):
-            at = at[y.comps[at] != x.comps[n]]  # components joined meanwhile need no more links
-            while len(at):
-                part, s = at[:64], sx[n]
-                at = at[64:]
-                every = np.concatenate([sy[k] for k in part.tolist()])
-                hit = s[np.minimum(np.searchsorted(s, every), len(s) - 1)] == every
-                common = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size_y[part])[:-1]]), dtype=np.int64)
-                for k in part[100 * common >= percent * (len(s) + size_y[part] - common)].tolist():
-                    if (old := int(y.comps[k])) != (new := int(x.comps[n])):
-                        u, v = int(x.ids[n]), int(y.ids[k])
-                        found.append((min(u, v), max(u, v)))
-                        y.comps[y.comps == old] = new
-                        x.comps[x.comps == old] = new
-                at = at[y.comps[at] != x.comps[n]]
-        return found
-
-    return map_groups(dealt(rows, ["band", "sig", "bands", "shingles"]), ["key", "i", "j"], run, "a long, b long").distinct()
+    # a document of several texts has several sets and signatures, which all meet; a link of any is its link
+    rows = rows.join(signed, "id").join(sets, "id").withColumn("bytes", F.octet_length("shingles") + HASHES + 4 * BANDS)
+    found = map_groups(dealt(rows, ["band", "sig", "bands", "shingles"]), ["key", "i", "j"], lambda block: join_components(*both, percent) if (both := sides(block)) else [], "a long, b long")
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
-    sketches = cut(sketch(docs), "sketches")
+    """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text), as a table of its own."""
+    steps = Steps(docs.sparkSession)
+    sketches = steps.cut(sketch(docs), "sketches")
     small = sketches.select("doc_id", "n_shingles", "h1", "h2")
-    classes = small.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    member = cut(small.join(classes, ["n_shingles", "h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    reps = cut(sketches.where("n_shingles > 0").join(member.select("doc_id", "rep").where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "n_shingles", "h1", "h2"]), "representatives")
+    digest = ["n_shingles", "h1", "h2"]
+    classes = small.where("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep"))
+    member = steps.cut(small.join(classes, digest, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    # a representative may also hold another set, under an id of an equal one: a document of several texts
+    reps = sketches.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id"), *digest), ["doc_id", *digest], "left_semi").dropDuplicates(["doc_id", *digest])
+    reps = steps.cut(reps.select("doc_id", "sig", "keys"), "representatives")
+    steps.drop(sketches)
 
     rows = reps.select(F.col("doc_id").alias("id"), F.posexplode("keys").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1").select("key", "lead")
-    members = cut(rows.join(shared, "key"), "bucket-members")
+    members = steps.cut(rows.join(shared, "key"), "bucket-members")
 
     own = docs.select("doc_id", "text")
     several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("doc_id is not null and a <> b")
     same = member.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
-    first = cut(members.groupBy("id").agg(F.min("lead").alias("lead")).where("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b")), "first")
-    links = cut(links_of(first, own, percent).unionByName(same), "links")
-    comps = cut(components(links), "components")
+    first = steps.cut(members.groupBy("id").agg(F.min("lead").alias("lead")).where("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b")), "first")
+    comps = steps.cut(components(steps.cut(links_of(first, own, percent).unionByName(same), "links"), steps), "components")
 
-    rows = cut(contested(members.select("key", "band", "id"), comps), "contested")
-    open_rows = rows.join(flagged(rows, reps, percent / 100), ["key", "id"], "left_semi")
-    late = cut(block_links(open_rows, reps, own, percent), "late-links")
+    rows = steps.cut(contested(members.select("key", "band", "id"), comps), "contested")
+    signed = steps.cut(marks(rows, reps), "marks")
+    open_rows = steps.cut(rows.join(flagged(rows, signed, percent / 100), ["key", "id"], "left_semi"), "flagged")
+    late = steps.cut(block_links(open_rows, signed, own, percent, steps.cut), "late-links")
     if not late.isEmpty():
         known = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
-        comps = cut(components(known.unionByName(late)), "components")
+        comps = steps.cut(components(known.unionByName(late), steps), "components")
     final = member.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return final.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    final = cut(final.withColumn("kept", F.col("doc_id") == F.col("component_id")), "near-duplicates")
+    steps.done()
+    return final
 
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:

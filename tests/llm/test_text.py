@@ -106,8 +106,9 @@ def test_blocks_find_every_open_link(spark, monkeypatch):
     reps = minhash.cut(minhash.sketch(df), "test")
     members = reps.select(F.col("doc_id").alias("id"), F.posexplode("keys").alias("band", "key")).select("key", "band", "id")
     rows = minhash.contested(members.where("key is not null"), spark.createDataFrame([], "node long, component long"))
-    rows = rows.join(minhash.flagged(rows, reps, 0.75), ["key", "id"], "left_semi")
-    got = minhash.block_links(rows, reps, df, 75).collect()
+    signed = minhash.marks(rows, reps)
+    rows = rows.join(minhash.flagged(rows, signed, 0.75), ["key", "id"], "left_semi")
+    got = minhash.block_links(rows, signed, df, 75).collect()
     assert {(r.a, r.b) for r in got} == {(2 * n, 2 * n + 1) for n in range(2000)} and len(got) == 2000
 
 
