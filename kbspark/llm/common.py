@@ -59,8 +59,11 @@ class Steps:
             at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
+    def tables(self) -> list[DataFrame]:
+        return [t for t, _ in self.paths.values()]
+
     def done(self) -> None:
-        self.drop(*(t for t, _ in list(self.paths.values())))
+        self.drop(*self.tables())
 
 
 def within(docs: DataFrame, ids: DataFrame, key: str = "doc_id", most: int = 2_000_000) -> DataFrame:

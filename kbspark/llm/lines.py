@@ -1,199 +1,207 @@
 """Line dedup with a log-template tree: recurring line templates across documents are dropped.
 
-A line is a token sequence. The tree has a fixed depth: the token count, then the LEAD leading tokens
-(tokens with a digit stand for one variable field). A leaf's lines are grouped into templates: a line
-joins the first template with at least SIMILAR of its tokens equal, and tokens that differ become
-variable fields. A line with more variable fields than fixed tokens has no template but its own true
-tokens, so rows of numbers recur only if they are equal. A template recurs if its lines stand in at least `min_docs` different documents; copies
-of one text count as one document, which is the near-duplicate stage's work, not this one's. Of a
-recurring template the first document (smallest doc_id) and its exact copies keep their lines, so that
-nothing is lost from the corpus; all others drop them.
-
-Scale: a line travels as its leaf, its hash and one byte for each token, never as text. Equal lines are
-counted before any grouping, so a line of a third of all documents is one row. A leaf with many distinct
-lines is dealt to salted parts of bounded size, whose templates are then merged once more.
-
-Lines of fewer than `min_tokens` tokens stay: they recur by chance. Cases: null text stays null; blank
-lines stay; a document whose lines all go gets the empty text; repeated rows of a doc_id are one document
-and get the same text; an empty table gives no rows; other columns pass through.
+A text's lines are cut at sentence ends into records, so that a passage is found wherever it stands. A
+record is a token sequence. The tree has a fixed depth: the token count, then the LEAD leading tokens
+(tokens with a digit stand for one variable field; records of mostly such fields are compared by their true
+tokens). Within a leaf, a token is constant at its place if it stands there in at least `min_docs` different
+texts, and a variable field otherwise. A record's template is its constant tokens, if these are at least
+FIXED and a share of at least `similar` of all; else the record is its own template. Records of one template
+thus agree in every constant token, in whole 64-bit hashes; the rule knows no order and no sizes.
+
+A template's owner is its first document (smallest doc_id); exact copies of one text count as one document,
+and documents that share at least half of the longer one's tokens with the owner are near copies, which are
+the near-duplicate stage's work: neither drops anything to the owner nor counts. A template recurs if at
+least `min_docs` documents are left, the owner included. Two are enough for a passage: a run of shared
+records (with short ones in between) of at least RUN tokens. The owner keeps its records, so that nothing is
+lost from the corpus; the other documents drop them.
+
+Scale: leaves that hold one record of one text only are found first, by sums for each leaf; nearly all
+records end there, as two hashes. All the rest are counts by hashed keys with partial sums before each
+shuffle: no leaf, template or hot line is ever in one group.
+
+Records of fewer than `min_tokens` tokens stay, but inside a dropped passage. Cases: null text stays null;
+blank lines stay; a document whose records all go gets the empty text; equal texts get equal results,
+whatever their ids (null ids too); very long texts and lines are read whole; an empty table gives no rows;
+other columns pass through, but n_lines and n_dropped replace columns of these names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from kbspark.llm.common import cut, map_arrow
+from kbspark.llm.common import Steps, map_arrow, texts
 
 LEAD = 3
 SIMILAR = 0.8
+FIXED = 6  #: constant tokens of a template with other variable fields than tokens with digits
 MIN_DOCS = 3
 MIN_TOKENS = 4
-PART = 2000  #: distinct lines of a leaf in one salted part
+RUN = 20  #: tokens of a passage that two documents share
+NEAR = 0.5  #: share of the longer text's tokens that makes a near copy
 KEPT_WORDS = 500_000
 
+_CUT = re.compile(r"((?<=[.!?])\s+|\n+)")
+_SPLIT = re.compile(r"(?<=[.!?])\s+|\n+")
+_FIELD = np.uint64(0x9E3779B97F4A7C15)  #: stands for a token with a digit
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 
-class _Bytes(dict):
-    """Token to one byte; 0 is the variable field."""
+
+class _Hashes(dict):
+    """Token to its 64-bit hash; the last bit tells whether it holds a digit."""
 
     def __missing__(self, token: str) -> int:
         if len(self) > KEPT_WORDS:
             self.clear()
-        v = self[token] = 0 if any(map(str.isdigit, token)) else 1 + xxhash.xxh32_intdigest(token.encode("utf-8", "surrogatepass")) % 255
+        v = self[token] = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) & ~1 | any(map(str.isdigit, token))
         return v
 
 
-_bytes = _Bytes()
+_hashes = _Hashes()
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _STEP
+    return x ^ (x >> np.uint64(29))
 
 
-def _signed(n: int) -> int:
-    return n - (1 << 64) if n >> 63 else n
+def records(text: str, min_tokens: int) -> tuple[list[int], np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Numbers, leaves, hashes and masked tokens (0 for a field) of a text's records of at least min_tokens tokens."""
+    found = [p.split() for p in _SPLIT.split(text)]
+    nos = [n for n, tokens in enumerate(found) if len(tokens) >= min_tokens]
+    sizes = np.array([len(found[n]) for n in nos], np.int64)
+    if not nos:
+        return nos, np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    true = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(found[n] for n in nos)), np.uint64, int(sizes.sum()))
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    field = (true & np.uint64(1)).astype(bool)
+    numbers = np.add.reduceat(field, starts, dtype=np.int64) * 2 > sizes  # too few constant tokens for a template
+    masked = np.where(field & ~np.repeat(numbers, sizes), _FIELD, true)
+    place = (np.arange(len(true)) - np.repeat(starts, sizes)).astype(np.uint64)
+    mixed = _mix(masked + place * _STEP)
+    line = _mix(np.add.reduceat(mixed, starts) + sizes.astype(np.uint64))
+    leaf = sizes.astype(np.uint64)
+    for k in range(LEAD):
+        leaf = _mix(leaf * _STEP + masked[np.minimum(starts + k, len(true) - 1)])
+    leaf = np.where(numbers, line, leaf)
+    tokens = np.where(field, np.uint64(0), masked).view(np.int64)
+    return nos, leaf.view(np.int64), line.view(np.int64), np.split(tokens, starts[1:])
 
 
-def parse_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """doc_id, line_no, copy (hash of the whole text), leaf, line (hash), sig (a byte for each token) of each long enough line."""
+def parse_records(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """A row for each text of docs(text): copy (its hash), n_tokens, and arrays no, leaf, line, tokens of its records."""
 
     def run(b: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "line_no", "copy", "leaf", "line", "sig")}
-        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            if not text:
-                continue
-            copy = _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
-            for n, line in enumerate(text.split("\n")):
-                tokens = line.split()
-                if len(tokens) < min_tokens:
-                    continue
-                sig = bytes(map(_bytes.__getitem__, tokens))
-                lead, masked = tokens[:LEAD], line
-                if 0 in sig and sig.count(0) * 2 > len(sig):  # too few fixed tokens for a template: true tokens, a leaf of its own
-                    masked = " ".join(tokens)
-                    lead = ["\1", masked]
-                elif 0 in sig:
-                    lead = ["\0" if s == 0 else t for s, t in zip(sig, lead, strict=False)]
-                    masked = " ".join("\0" if s == 0 else t for s, t in zip(sig, tokens, strict=True))
-                out["doc_id"].append(doc)
-                out["line_no"].append(n)
-                out["copy"].append(copy)
-                out["leaf"].append(_signed(xxhash.xxh64_intdigest(f"{len(tokens)} {' '.join(lead)}".encode("utf-8", "surrogatepass"))))
-                out["line"].append(_signed(xxhash.xxh64_intdigest(masked.encode("utf-8", "surrogatepass"))))
-                out["sig"].append(sig)
-        return out
-
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, line_no int, copy long, leaf long, line long, sig binary")
-
-
-def group_templates(sigs: list[bytes], similar: float = SIMILAR) -> list[int]:
-    """For each line of a leaf the place of the first line of its template; lines come in a fixed order."""
-    if len(sigs) < 2:
-        return [0] * len(sigs)
-    size = len(sigs[0])
-    rows = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), size)
-    templates, first, out = rows[:1].copy(), [0], [0]
-    for n in range(1, len(rows)):
-        row = rows[n]
-        same = ((templates == row) | (templates == 0)).sum(axis=1)
-        ok = np.flatnonzero((same >= similar * size) & ((templates != 0).sum(axis=1) * 2 >= size))
-        if len(ok):
-            k = int(ok[np.argmax(same[ok])])
-            templates[k] = np.where(templates[k] == row, row, 0)
-            out.append(first[k])
-        else:
-            templates = np.concatenate([templates, row[None]])
-            first.append(n)
-            out.append(n)
+        out: dict[str, list] = {k: [] for k in ("n_tokens", "no", "leaf", "line", "tokens")}
+        for t in texts(b):
+            no, leaf, line, tokens = records(t, min_tokens)
+            for k, v in zip(out, (sum(map(len, tokens)), no, leaf, line, tokens), strict=True):
+                out[k].append(v)
+        return {"doc_id": b.column("doc_id"), "copy": b.column("copy")} | out
+
+    fields = "doc_id long, copy long, n_tokens long, no array<int>, leaf array<long>, line array<long>, tokens array<array<long>>"
+    return map_arrow(docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("copy"), "text"), run, fields)
+
+
+def templates(found: DataFrame, min_docs: int, similar: float) -> DataFrame:
+    """leaf, line, template of the records found(leaf, line, copy, tokens) of leaves with several lines."""
+    lines = found.groupBy("leaf", "line", "copy").agg(F.first("tokens").alias("tokens"))
+    at = lines.select("leaf", "line", "copy", F.posexplode("tokens").alias("place", "token")).where("token <> 0")
+    constant = at.groupBy("leaf", "place", "token").agg(F.count_distinct("copy").alias("n")).where(F.col("n") >= min_docs).select("leaf", "place", "token")
+    kept = at.select("leaf", "line", "place", "token").distinct().join(constant, ["leaf", "place", "token"])
+    kept = kept.groupBy("leaf", "line").agg(F.count("*").alias("fixed"), F.bit_xor(F.xxhash64("place", "token")).alias("template"))
+    sizes = lines.groupBy("leaf", "line").agg(F.max(F.size("tokens")).alias("size"))
+    whole = kept.join(sizes, ["leaf", "line"]).where((F.col("fixed") >= FIXED) & (F.col("fixed") >= similar * F.col("size")) & (F.col("fixed") < F.col("size")))
+    return whole.select("leaf", "line", "template")
+
+
+def recurring_records(docs: DataFrame, steps: Steps, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similar: float = SIMILAR) -> DataFrame:
+    """copy, gone (array of no, tokens, sure) of the texts that share records with an owner; sure if they recur."""
+    rows = steps.cut(parse_records(docs, min_tokens), "records")
+    pairs = rows.select("copy", F.explode(F.arrays_zip("leaf", "line")).alias("r")).select("copy", "r.leaf", "r.line")
+    sums = pairs.groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.min("copy").alias("a"), F.max("copy").alias("b"))
+    live = steps.cut(sums.where("a <> b").select("leaf", (F.col("lo") != F.col("hi")).alias("several")), "live-leaves")
+    live = F.broadcast(live) if live.count() <= 1_000_000 else live  # 16 MB at most; beyond that a shuffled join
+    every = rows.select("doc_id", "copy", F.explode(F.arrays_zip("no", "leaf", "line", "tokens")).alias("r")).select("doc_id", "copy", "r.*")
+    found = steps.cut(every.join(live, "leaf").select("doc_id", "copy", "no", "leaf", "line", "several", F.size("tokens").alias("size"), F.when(F.col("several"), F.col("tokens")).alias("tokens")), "live-records")
+
+    named = steps.cut(templates(found.where("several"), min_docs, similar), "templates")
+    found = found.join(named, ["leaf", "line"], "left").select("doc_id", "copy", "no", "leaf", F.coalesce("template", "line").alias("template"), "size")
+    by_text = steps.cut(found.groupBy("leaf", "template", "copy").agg(F.min("doc_id").alias("doc"), F.max("size").alias("size")), "templates-of-texts")
+    owners = by_text.groupBy("leaf", "template").agg(F.min(F.struct("doc", "copy")).alias("o"), F.count("*").alias("n")).where("n > 1").select("leaf", "template", F.col("o.copy").alias("owner"))
+    shared = steps.cut(by_text.join(owners, ["leaf", "template"]).where("copy <> owner").select("leaf", "template", "copy", "owner", "size"), "shared")
+
+    # near copies of an owner: pairs of texts, at most one for each shared template
+    length = rows.groupBy("copy").agg(F.max("n_tokens").alias("n_tokens"))
+    both = shared.groupBy("owner", "copy").agg(F.sum("size").alias("common"))
+    both = both.join(length, "copy").join(length.select(F.col("copy").alias("owner"), F.col("n_tokens").alias("n_owner")), "owner")
+    near = both.where(F.col("common") >= NEAR * F.greatest("n_tokens", "n_owner")).select("owner", "copy")
+    other = steps.cut(shared.join(near, ["owner", "copy"], "left_anti").select("leaf", "template", "copy"), "unlike")
+    sure = other.groupBy("leaf", "template").agg((F.count("*") + 1 >= min_docs).alias("sure"))
+    gone = found.join(other.join(sure, ["leaf", "template"]), ["leaf", "template", "copy"]).select("copy", F.struct("no", "size", "sure").alias("x")).distinct()
+    return gone.groupBy("copy").agg(F.sort_array(F.collect_list("x")).alias("gone"))
+
+
+def chosen(pieces: list[str], gone: list[tuple[int, int, bool]], min_tokens: int) -> set[int]:
+    """The pieces to drop: records that recur, and passages: runs of shared records with short ones in between."""
+    out = {n for n, _, sure in gone if sure}
+    at = 0
+    while at < len(gone):
+        end, total = at, gone[at][1]
+        while end + 1 < len(gone) and all(len(pieces[k].split()) < min_tokens for k in range(gone[end][0] + 1, gone[end + 1][0])):
+            end += 1
+            total += gone[end][1]
+        if total >= RUN:
+            out.update(range(gone[at][0], gone[end][0] + 1))
+        at = end + 1
     return out
 
 
-def _grouped(rows: DataFrame, keys: list[str], similar: float, out: str) -> DataFrame:
-    """rows(leaf, line, sig, n and keys) with `out`, the first line of each line's template within its keys.
-
-    Rows are dealt and sorted by the keys; a task holds one group at a time.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, group = None, []
-
-        def finish() -> pa.RecordBatch:
-            at = group_templates([g[2] for g in group], similar)
-            return pa.RecordBatch.from_pydict({"leaf": [g[0] for g in group], "line": [g[1] for g in group], out: [group[k][1] for k in at], "sig": [g[2] for g in group], "n": [g[3] for g in group]}, schema=schema)
-
-        schema = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), (out, pa.int64()), ("sig", pa.binary()), ("n", pa.int64())])
-        done: list[pa.RecordBatch] = []
-        for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("leaf", "line", "sig", "n")]
-            for key, row in zip(zip(*(b.column(k).to_pylist() for k in keys), strict=True), zip(*columns, strict=True), strict=True):
-                if key != held and group:
-                    done.append(finish())
-                    group = []
-                held = key
-                group.append(row)
-            if len(done) > 200:
-                yield from pa.Table.from_batches(done).combine_chunks().to_batches()
-                done = []
-        if group:
-            done.append(finish())
-        if done:
-            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
-
-    need = list(dict.fromkeys([*keys, "leaf", "line", "sig", "n"]))
-    dealt = rows.select(*need).repartition(*keys).sortWithinPartitions(*keys, "line")
-    return dealt.mapInArrow(run, f"leaf long, line long, {out} long, sig binary, n long")
-
-
-def _assign(lines: DataFrame, similar: float) -> DataFrame:
-    """leaf, line, template of the distinct lines(leaf, line, sig) of leaves with at least two of them."""
-    sizes = lines.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = lines.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("line"), F.ceil(F.col("n") / PART)).cast("int"))
-    parts = cut(_grouped(dealt, ["leaf", "part"], similar, "first"), "templates")
-    # one line stands for each template of a part; only leaves of several parts need the second round
-    heads = parts.where("line = first")
-    merged = _grouped(heads.where(F.col("n") > PART), ["leaf"], similar, "template").select("leaf", F.col("line").alias("first"), "template")
-    merged = merged.unionByName(heads.where(F.col("n") <= PART).select("leaf", "first", F.col("line").alias("template")))
-    return parts.select("leaf", "line", "first").join(merged, ["leaf", "first"]).select("leaf", "line", "template")
-
-
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, line_no of every line to drop."""
-    rows = cut(parse_lines(docs, min_tokens), "lines")
-    lines = rows.groupBy("leaf", "line").agg(F.min("sig").alias("sig"))
-    several = _assign(lines, similar)
-    named = several.select("leaf", "line", "template").where("template <> line")  # the others are their own template
-    by_line = rows.groupBy("leaf", "line", "copy").agg(F.min("doc_id").alias("doc")).join(named, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", "line"))
-    copies = by_line.groupBy("leaf", "template", "copy").agg(F.min("doc").alias("doc"))
-    recurring = copies.groupBy("leaf", "template").agg(F.count("*").alias("n"), F.min(F.struct("doc", "copy")).alias("first")).where(F.col("n") >= min_docs)
-    drop = by_line.join(recurring, ["leaf", "template"]).where("copy <> first.copy").select("leaf", "line", "copy")
-    return rows.select("leaf", "line", "copy", "doc_id", "line_no").join(drop.distinct(), ["leaf", "line", "copy"], "left_semi").select("doc_id", "line_no")
+def without(text: str, gone: list[tuple[int, int, bool]], min_tokens: int = MIN_TOKENS) -> tuple[str, int]:
+    """The text without the chosen records, and how many went; of two gaps that meet, the one with more line ends stays."""
+    parts = _CUT.split(text)
+    pieces, gaps = parts[::2], [*parts[1::2], ""]
+    out = chosen(pieces, gone, min_tokens)
+    kept, gap = [], None
+    for n, (piece, after) in enumerate(zip(pieces, gaps, strict=True)):
+        if n in out:
+            gap = max(gap, after, key=lambda g: g.count("\n")) if gap is not None else after if not kept else gap
+        else:
+            if kept:
+                kept.append(gap or "")
+            kept.append(piece)
+            gap = after
+    return "".join(kept), len(out)
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similar: float = SIMILAR) -> DataFrame:
-    """docs with the recurring lines taken out of text, and two columns more: n_lines, n_dropped."""
-    gone = recurring_lines(docs, min_docs, min_tokens, similar).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    names = docs.columns
-    joined = docs.join(gone, "doc_id", "left").select(*names, "_gone")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    """docs with the recurring records taken out of text, and n_lines (of the text before), n_dropped (records)."""
+    steps = Steps(docs.sparkSession)
+    gone = steps.cut(recurring_records(docs.select("doc_id", "text"), steps, min_docs, min_tokens, similar), "gone")
+    steps.drop(*(t for t in steps.tables() if t is not gone))
 
-    def run(b: pa.RecordBatch) -> dict:
-        text, n_lines, n_dropped = [], [], []
-        for t, g in zip(b.column("text").to_pylist(), b.column("_gone").to_pylist(), strict=True):
-            split = [] if t is None else t.split("\n")
-            if g:
-                out = set(g)
-                t = "\n".join(x for n, x in enumerate(split) if n not in out)
-            text.append(t)
-            n_lines.append(len(split))
-            n_dropped.append(len(g or ()))
-        return {c: b.column(c) for c in names} | {"text": text, "n_lines": n_lines, "n_dropped": n_dropped}
+    @F.pandas_udf("text string, n_dropped long")
+    def cut_out(text: pd.Series, no: pd.Series, size: pd.Series, sure: pd.Series) -> pd.DataFrame:
+        found = [(t, 0) if t is None else without(t, list(zip(a, b, c, strict=True)), min_tokens) for t, a, b, c in zip(text, no, size, sure, strict=True)]
+        return pd.DataFrame(found, columns=["text", "n_dropped"])
 
-    return map_arrow(joined, run, schema)
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    whole = docs.select(F.struct(*names).alias("doc"), F.xxhash64("text").alias("copy")).join(gone, "copy", "left")
+    left = cut_out(F.when(F.col("gone").isNotNull(), F.col("doc.text")), F.col("gone.no"), F.col("gone.size"), F.col("gone.sure"))
+    new = whole.select("doc", "gone", left.alias("left"))
+    text = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.col("left.text"))
+    n_lines = F.when(F.col("doc.text").isNull(), 0).otherwise(F.length("doc.text") - F.length(F.replace("doc.text", F.lit("\n"))) + 1).cast("long")
+    return new.select(*(text.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in names), n_lines.alias("n_lines"), F.coalesce("left.n_dropped", F.lit(0)).alias("n_dropped"))
 
 
 def op10_line_templates(spark, sf_dir: str) -> DataFrame:
-    """Every document with the text that stays, and how many of its lines went."""
+    """Every document with the text that stays, how many lines it had and how many records went."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return drop_lines(docs).select("doc_id", "text", "n_lines", "n_dropped")
+    return drop_lines(docs)
