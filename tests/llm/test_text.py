@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,26 +158,141 @@ def test_decontamination(spark, odd, none, limit):
     assert {r.doc_id for r in decontam.clean(docs, items).collect()} >= {22, 25, 1, 2}
 
 
-def test_tiles_never_overlap():
+def brute_tiles(item, doc, match):
+    free_i, free_d, out = [True] * len(item), [True] * len(doc), []
+    match = min(match, len(item))
+
+    def length(p, t):
+        n = 0
+        while p + n < len(item) and t + n < len(doc) and free_i[p + n] and free_d[t + n] and item[p + n] == doc[t + n]:
+            n += 1
+        return n
+
+    while match:
+        best = max(((length(p, t), -t, -p) for t in range(len(doc)) for p in range(len(item))), default=(0, 0, 0))
+        if best[0] < match:
+            break
+        n, t, p = best[0], -best[1], -best[2]
+        free_i[p : p + n] = free_d[t : t + n] = [False] * n
+        out.append((p, t, n))
+    return out
+
+
+def test_tiles_against_brute_force():
     rng = random.Random(1)
-    for _ in range(200):
-        item, doc = (decontam.tokens(" ".join(rng.choices("abc", k=rng.randint(0, 30)))) for _ in range(2))
-        tiles = decontam.tile(item, doc, 2)
-        for place in (0, 1):
-            used = [n for t in tiles for n in range(t[place], t[place] + t[2])]
-            assert len(used) == len(set(used))
-        assert all((item[p : p + n] == doc[t : t + n]).all() for p, t, n in tiles)
+    for n in range(400):
+        words = "abc" if n % 2 else "abcdefghijkl"
+        item, doc = (decontam.tokens(" ".join(rng.choices(words, k=rng.randint(0, 40)))) for _ in range(2))
+        assert decontam.tile(item, doc, 1 + n % 5) == brute_tiles(item.tolist(), doc.tolist(), 1 + n % 5)
+
+
+def test_tiling_of_repetitive_texts_is_fast():
+    one, two = decontam.tokens("word " * 20_000), decontam.tokens("word " * 5_000)
+    mixed = decontam.tokens(" ".join("x" if k % 97 == 0 else "word" for k in range(20_000)))
+    began = time.time()
+    assert decontam.tile(two, one) == [(0, 0, 5000)] and sum(n for *_, n in decontam.tile(two, mixed)) >= 4900
+    assert time.time() - began < 3
+
+
+def test_both_ways_give_the_same_rows(spark, odd):
+    rng = random.Random(15)
+    text = lambda n: " ".join(rng.choices("the of a cow farmer said red blue house sky".split(), k=n))
+    items = [(k, text(rng.randint(1, 30))) for k in range(40)] + [(3, text(9)), (None, "x"), (50, "word " * 40)]
+    docs = [(k % 70 if k % 9 else None, " ".join([text(rng.randint(0, 20)), rng.choice(items)[1], text(9), rng.choice(items)[1]])) for k in range(90)]
+    docs += [(1, items[5][1]), (2, items[5][1]), (2, "a cow")] + [(k, items[k][1]) for k in range(40)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
+    items = spark.createDataFrame(items, "item_id long, text string")
+    one, two = (sorted(map(repr, decontam.contaminated(docs, items, broadcast_bytes=limit).collect())) for limit in (1 << 20, 0))
+    assert one == two and len(one) > 100
+
+
+def brute_lines(docs):
+    """The rules of line dedup, with whole tokens and sets of texts: {text: text that stays}."""
+    split, found, rare = re.compile(r"((?<=[.!?])\s+|\n+)"), {}, {}
+    everything = {t: split.split(t) for _, t in docs if t}
+    first = {}
+    for k, t in docs:
+        first[t] = min(first.get(t, k), k)
+    for t, parts in everything.items():
+        for n, p in enumerate(parts[::2]):
+            w = p.split()
+            if len(w) >= 4:
+                m = [None if any(map(str.isdigit, x)) else x for x in w]
+                m = w if m.count(None) * 2 > len(m) else m
+                found.setdefault((len(w), *(w if m is w and any(any(map(str.isdigit, x)) for x in w) else m[:3])), []).append((t, n, tuple(m)))
+    of = {}
+    for leaf, rows in found.items():
+        support = {}
+        for t, _, m in rows:
+            for p, x in enumerate(m):
+                support.setdefault((p, x), set()).add(t)
+        for t, n, m in rows:
+            c = tuple((p, x) for p, x in enumerate(m) if x is not None and not any(map(str.isdigit, x)) and len(support[p, x]) >= 3)
+            of.setdefault((leaf, c if len(c) >= max(6, 0.8 * len(m)) and len(c) < len(m) else m), []).append((t, n, len(m)))
+    tokens = {t: sum(len(p.split()) for p in parts[::2] if len(p.split()) >= 4) for t, parts in everything.items()}
+    shared, owner = {}, {}
+    for k, rows in of.items():
+        o = owner[k] = min({t for t, *_ in rows}, key=lambda t: first[t])
+        for t in {t for t, *_ in rows} - {o}:
+            shared[o, t] = shared.get((o, t), 0) + max(s for u, _, s in rows if u == t)
+    gone = {}
+    for k, rows in of.items():
+        o = owner[k]
+        left = {t for t, *_ in rows if t != o and shared[o, t] < 0.5 * max(tokens[o], tokens[t])}
+        for t, n, size in rows:
+            if t in left:
+                gone.setdefault(t, []).append((n, size, len(left) + 1 >= 3))
+    return {t: lines.without(t, sorted(gone[t]))[0] if t in gone else t for t in everything}
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice(["the", "of", "a", "farmer", "said", "cow", "runs", "item", "7", "12", "red", "blue", "end"])
+    pool = [" ".join(word() for _ in range(rng.randint(2, 14))) + rng.choice([".", "", "!"]) for _ in range(60)]
+    passage = " ".join(pool[:9])
+    docs = []
+    for k in range(120):
+        p = [rng.choice(pool) if rng.random() < 0.5 else " ".join(word() for _ in range(rng.randint(1, 12))) + "." for _ in range(rng.randint(1, 9))]
+        p = ["Licensed to user " + rng.choice("ABCDEFGHIJKLM") * 3 + " under the terms of the red house." if rng.random() < 0.3 else x for x in p]
+        docs.append((k, rng.choice([" ", "\n"]).join(p + [passage] * (k % 31 == 0))))
+    docs += [(200 + k, docs[k][1]) for k in range(5)] + [(300 + k, docs[k][1] + " One more. Words at the very end here.") for k in range(5)]
+    got = {r.doc_id: r.text for r in lines.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute_lines(docs)
+    assert {k: want.get(t, t) for k, t in docs} == got and any(want[t] != t for t in want)
+
+
+def test_unlike_lines_of_one_form_stay(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    docs = [(k, f"{word()} {word()} {word()} {word()} stands alone\nthe farmer said {word()} {word()}") for k in range(400)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    assert lines.drop_lines(rows).agg(F.sum("n_dropped")).first()[0] == 0
+
+
+def test_a_passage_of_two_documents_goes_once(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    say = lambda n: " ".join(word() for _ in range(n)) + "."
+    passage = " ".join(say(n) for n in (12, 3, 9, 2, 14, 16))
+    long = [" ".join(say(11) for _ in range(9)) for _ in range(4)]
+    docs = [(1, f"{long[0]} {passage} {long[1]}"), (2, f"{long[2]}\n{passage}\n{long[3]}"), (3, long[0] + " " + say(8)), (4, say(9))]
+    got = {r.doc_id: r.text for r in lines.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: f"{long[2]}\n{long[3]}", 3: docs[2][1].removeprefix(long[0] + " "), 4: docs[3][1]}
+    near = [(1, f"{long[0]} {long[1]}"), (2, f"{long[0]} {long[1]} {say(7)}")]
+    assert {r.doc_id: r.text for r in lines.drop_lines(spark.createDataFrame(near, "doc_id long, text string")).collect()} == dict(near)
 
 
 def test_line_templates(spark, odd, none):
     shared = "Server 17 answered in 32 ms after the third try today"
-    rows = [(30 + k, f"{chr(97 + k) * 6} opens a line of its own that is kept.\n{shared.replace('32', str(k))}\n\nok") for k in range(4)]
-    rows += [(40, rows[0][1]), (41, None), (42, shared)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(odd.select("doc_id", "text")).selectExpr("*", "doc_id as n_lines_", "'t' as template")
-    got = {r.doc_id: r for r in lines.drop_lines(docs).collect()}
-    assert shared[:6] in got[30].text and got[40].text == got[30].text and got[41].text is None
-    assert all(got[k].n_dropped == 1 and shared[:6] not in got[k].text for k in (31, 32, 33)) and got[42].text == "" and got[42].n_dropped == 1
-    assert got[31].text == rows[1][1].split("\n")[0] + "\n\nok" and got[1].n_dropped == 0 and got[31].template == "t"
+    rows = [(30 + k, f"{chr(97 + k) * 6} opens a line of its own that is kept, {chr(97 + k) * 4} and {chr(97 + k) * 5} too, {chr(97 + k) * 7} as well.\n{shared.replace('32', str(k))}\n\nok") for k in range(4)]
+    rows += [(40, rows[0][1]), (41, None), (42, shared), (31, "a second text of this id"), (None, shared)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(odd.select("doc_id", "text")).selectExpr("*", "doc_id as n_lines", "'t' as template", "1 as copy", "2 as gone", "3 as n_dropped")
+    got = {(r.doc_id, r.text is None or len(r.text)): r for r in lines.drop_lines(docs).collect()}
+    by = {k: r for (k, _), r in got.items() if (k, r.text) != (31, "a second text of this id")}
+    assert shared[:6] in by[30].text and by[40].text == by[30].text and by[41].text is None
+    assert all(by[k].n_dropped == 1 and shared[:6] not in by[k].text for k in (31, 32, 33)) and by[42].text == by[None].text == "" and by[42].n_dropped == 1
+    assert by[31].text == rows[1][1].split("\n")[0] + "\n\nok" and by[1].n_dropped == 0 and by[31].template == "t" and by[31].gone == 2 and by[31].n_lines == 4
+    assert (31, len("a second text of this id")) in got and len(got) == 17
     assert lines.drop_lines(none).count() == 0
 
 
@@ -254,4 +370,6 @@ def test_rows_without_an_id(spark):
     docs = spark.createDataFrame([(None, "one two three four five six"), (4, "one two three four five six"), (None, None)], "doc_id long, text string")
     assert sorted(r.n_shingles for r in minhash.near_duplicates(docs).collect()) == [0, 2, 2]
     assert lines.drop_lines(docs).count() == pii.find_spans(docs).count() == 3
-    assert decontam.clean(docs, spark.createDataFrame([(None, "one two"), (1, "four")], "item_id long, text string")).where("doc_id = 4").count() == 0
+    items = spark.createDataFrame([(None, "one two three four five"), (1, "four"), (2, "one two three four five six")], "item_id long, text string")
+    assert [r.text for r in decontam.clean(docs, items).collect()] == [None]
+    assert decontam.clean(docs, items.where("item_id = 1")).count() == 3  # an item of one word is no part of a text
