@@ -49,18 +49,17 @@ NEAR = 0.5  #: share of the longer text's tokens that makes a near copy
 KEPT_WORDS = 500_000
 
 _CUT = re.compile(r"((?<=[.!?])\s+|\n+)")
-_SPLIT = re.compile(r"(?<=[.!?])\s+|\n+")
 _FIELD = np.uint64(0x9E3779B97F4A7C15)  #: stands for a token with a digit
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 class _Hashes(dict):
-    """Token to its 64-bit hash; the last bit tells whether it holds a digit."""
+    """Token to its 64-bit hash; the last two bits tell whether it holds a digit and whether it ends a sentence."""
 
     def __missing__(self, token: str) -> int:
         if len(self) > KEPT_WORDS:
             self.clear()
-        v = self[token] = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) & ~1 | any(map(str.isdigit, token))
+        v = self[token] = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) & ~3 | any(map(str.isdigit, token)) | 2 * (token[-1] in ".!?")
         return v
 
 
@@ -72,54 +71,77 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def records(text: str, min_tokens: int) -> tuple[list[int], np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Numbers, leaves, hashes and masked tokens (0 for a field) of a text's records of at least min_tokens tokens."""
-    found = [p.split() for p in _SPLIT.split(text)]
-    nos = [n for n, tokens in enumerate(found) if len(tokens) >= min_tokens]
-    sizes = np.array([len(found[n]) for n in nos], np.int64)
-    if not nos:
-        return nos, np.zeros(0, np.int64), np.zeros(0, np.int64), []
-    true = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(found[n] for n in nos)), np.uint64, int(sizes.sum()))
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    field = (true & np.uint64(1)).astype(bool)
-    numbers = np.add.reduceat(field, starts, dtype=np.int64) * 2 > sizes  # too few constant tokens for a template
-    masked = np.where(field & ~np.repeat(numbers, sizes), _FIELD, true)
-    place = (np.arange(len(true)) - np.repeat(starts, sizes)).astype(np.uint64)
-    mixed = _mix(masked + place * _STEP)
-    line = _mix(np.add.reduceat(mixed, starts) + sizes.astype(np.uint64))
-    leaf = sizes.astype(np.uint64)
-    for k in range(LEAD):
-        leaf = _mix(leaf * _STEP + masked[np.minimum(starts + k, len(true) - 1)])
-    leaf = np.where(numbers, line, leaf)
-    tokens = np.where(field, np.uint64(0), masked).view(np.int64)
-    return nos, leaf.view(np.int64), line.view(np.int64), np.split(tokens, starts[1:])
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values))
+
+
+def records(many: list[str], min_tokens: int) -> dict[str, pa.Array]:
+    """For each text n_tokens, and lists no, leaf, line, size, tokens of its records of at least min_tokens tokens.
+
+    Records are counted through all that hold a token; tokens (32 bits, 0 for a field) are there for records that
+    may have a template.
+    """
+    lines, owner = [], []
+    for n, t in enumerate(many):
+        found = [x for x in map(str.split, t.split("\n")) if x]
+        lines += found
+        owner.append(len(found))
+    length = np.fromiter(map(len, lines), np.int64, len(lines))
+    true = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(lines)), np.uint64, int(length.sum()))
+    last = (true & np.uint64(2)).astype(bool)
+    last[np.cumsum(length) - 1] = True
+    ends = np.flatnonzero(last) + 1
+    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    sizes = ends - starts
+    doc_end = np.cumsum(np.concatenate([[0], length]))[np.cumsum(owner)]  # tokens up to each text's end
+    doc = np.searchsorted(doc_end, starts, "right")
+    no = np.arange(len(ends)) - np.searchsorted(starts, np.concatenate([[0], doc_end[:-1]]))[doc] if len(ends) else ends
+    kept = sizes >= min_tokens
+    true = true[np.repeat(kept, sizes)]
+    starts, sizes, doc, no = (x[kept] for x in (starts, sizes, doc, no))
+    starts = np.cumsum(sizes) - sizes
+    if len(sizes):
+        field = (true & np.uint64(1)).astype(bool)
+        numbers = np.add.reduceat(field, starts, dtype=np.int64) * 2 > sizes  # too few constant tokens for a template
+        masked = np.where(field & ~np.repeat(numbers, sizes), _FIELD, true)
+        place = (np.arange(len(true)) - np.repeat(starts, sizes)).astype(np.uint64)
+        line = _mix(np.add.reduceat(_mix(masked + place * _STEP), starts) + sizes.astype(np.uint64))
+        leaf = sizes.astype(np.uint64)
+        for k in range(LEAD):
+            leaf = _mix(leaf * _STEP + masked[np.minimum(starts + k, len(true) - 1)])
+        leaf = np.where(numbers, line, leaf)
+        named = (sizes > FIXED) & ~numbers
+        token = np.where(field, np.uint64(0), true >> np.uint64(32) | np.uint64(1)).astype(np.uint32).view(np.int32)[np.repeat(named, sizes)]
+    else:
+        line = leaf = np.zeros(0, np.uint64)
+        named, token = np.zeros(0, bool), np.zeros(0, np.int32)
+    counts = np.bincount(doc, minlength=len(many))
+    total = np.zeros(len(many), np.int64)
+    np.add.at(total, doc, sizes)
+    every = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(named, sizes, 0))]), pa.int32()), pa.array(token))
+    tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), every)
+    return {"n_tokens": pa.array(total), "no": _lists(no.astype(np.int32), counts), "leaf": _lists(leaf.view(np.int64), counts), "line": _lists(line.view(np.int64), counts), "size": _lists(sizes.astype(np.int32), counts), "tokens": tokens}
 
 
 def parse_records(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """A row for each text of docs(text): copy (its hash), n_tokens, and arrays no, leaf, line, tokens of its records."""
+    """A row for each text of docs(doc_id, text): copy (its hash), n_tokens, and arrays no, leaf, line, size, tokens."""
 
     def run(b: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("n_tokens", "no", "leaf", "line", "tokens")}
-        for t in texts(b):
-            no, leaf, line, tokens = records(t, min_tokens)
-            for k, v in zip(out, (sum(map(len, tokens)), no, leaf, line, tokens), strict=True):
-                out[k].append(v)
-        return {"doc_id": b.column("doc_id"), "copy": b.column("copy")} | out
-
-    fields = "doc_id long, copy long, n_tokens long, no array<int>, leaf array<long>, line array<long>, tokens array<array<long>>"
+        return {"doc_id": b.column("doc_id"), "copy": b.column("copy")} | records(texts(b), min_tokens)
+
+    fields = "doc_id long, copy long, n_tokens long, no array<int>, leaf array<long>, line array<long>, size array<int>, tokens array<array<int>>"
     return map_arrow(docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("copy"), "text"), run, fields)
 
 
 def templates(found: DataFrame, min_docs: int, similar: float) -> DataFrame:
-    """leaf, line, template of the records found(leaf, line, copy, tokens) of leaves with several lines."""
+    """leaf, line, template of the records found(leaf, line, copy, size, tokens) of leaves with several lines."""
     lines = found.groupBy("leaf", "line", "copy").agg(F.first("tokens").alias("tokens"))
     at = lines.select("leaf", "line", "copy", F.posexplode("tokens").alias("place", "token")).where("token <> 0")
     constant = at.groupBy("leaf", "place", "token").agg(F.count_distinct("copy").alias("n")).where(F.col("n") >= min_docs).select("leaf", "place", "token")
-    kept = at.select("leaf", "line", "place", "token").distinct().join(constant, ["leaf", "place", "token"])
-    kept = kept.groupBy("leaf", "line").agg(F.count("*").alias("fixed"), F.bit_xor(F.xxhash64("place", "token")).alias("template"))
-    sizes = lines.groupBy("leaf", "line").agg(F.max(F.size("tokens")).alias("size"))
-    whole = kept.join(sizes, ["leaf", "line"]).where((F.col("fixed") >= FIXED) & (F.col("fixed") >= similar * F.col("size")) & (F.col("fixed") < F.col("size")))
-    return whole.select("leaf", "line", "template")
+    once = found.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
+    kept = once.select("leaf", "line", F.size("tokens").alias("size"), F.posexplode("tokens").alias("place", "token")).join(constant, ["leaf", "place", "token"])
+    kept = kept.groupBy("leaf", "line").agg(F.count("*").alias("fixed"), F.max("size").alias("size"), F.bit_xor(F.xxhash64("place", "token")).alias("template"))
+    return kept.where((F.col("fixed") >= FIXED) & (F.col("fixed") >= similar * F.col("size")) & (F.col("fixed") < F.col("size"))).select("leaf", "line", "template")
 
 
 def recurring_records(docs: DataFrame, steps: Steps, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similar: float = SIMILAR) -> DataFrame:
@@ -129,17 +151,21 @@ def recurring_records(docs: DataFrame, steps: Steps, min_docs: int = MIN_DOCS, m
     sums = pairs.groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.min("copy").alias("a"), F.max("copy").alias("b"))
     live = steps.cut(sums.where("a <> b").select("leaf", (F.col("lo") != F.col("hi")).alias("several")), "live-leaves")
     live = F.broadcast(live) if live.count() <= 1_000_000 else live  # 16 MB at most; beyond that a shuffled join
-    every = rows.select("doc_id", "copy", F.explode(F.arrays_zip("no", "leaf", "line", "tokens")).alias("r")).select("doc_id", "copy", "r.*")
-    found = steps.cut(every.join(live, "leaf").select("doc_id", "copy", "no", "leaf", "line", "several", F.size("tokens").alias("size"), F.when(F.col("several"), F.col("tokens")).alias("tokens")), "live-records")
-
-    named = steps.cut(templates(found.where("several"), min_docs, similar), "templates")
-    found = found.join(named, ["leaf", "line"], "left").select("doc_id", "copy", "no", "leaf", F.coalesce("template", "line").alias("template"), "size")
+    every = rows.select("doc_id", "copy", F.explode(F.arrays_zip("no", "leaf", "line", "size", "tokens")).alias("r")).select("doc_id", "copy", "r.*")
+    tokens = F.when(F.col("several") & (F.size("tokens") > 0), F.col("tokens"))
+    found = steps.cut(every.join(live, "leaf").select("doc_id", "copy", "no", "leaf", "line", "size", tokens.alias("tokens")), "live-records")
+    length = steps.cut(rows.groupBy("copy").agg(F.max("n_tokens").alias("n_tokens")), "lengths")
+    steps.drop(rows)
+
+    open_rows = found.where("tokens is not null")
+    wide = open_rows.groupBy("leaf").agg(F.count_distinct("copy").alias("n")).where(F.col("n") >= min_docs).select("leaf")  # fewer texts make no constant
+    named = steps.cut(templates(open_rows.join(wide, "leaf", "left_semi"), min_docs, similar), "templates")
+    found = found.select("doc_id", "copy", "no", "leaf", "line", "size").join(named, ["leaf", "line"], "left").select("doc_id", "copy", "no", "leaf", F.coalesce("template", "line").alias("template"), "size")
     by_text = steps.cut(found.groupBy("leaf", "template", "copy").agg(F.min("doc_id").alias("doc"), F.max("size").alias("size")), "templates-of-texts")
     owners = by_text.groupBy("leaf", "template").agg(F.min(F.struct("doc", "copy")).alias("o"), F.count("*").alias("n")).where("n > 1").select("leaf", "template", F.col("o.copy").alias("owner"))
     shared = steps.cut(by_text.join(owners, ["leaf", "template"]).where("copy <> owner").select("leaf", "template", "copy", "owner", "size"), "shared")
 
     # near copies of an owner: pairs of texts, at most one for each shared template
-    length = rows.groupBy("copy").agg(F.max("n_tokens").alias("n_tokens"))
     both = shared.groupBy("owner", "copy").agg(F.sum("size").alias("common"))
     both = both.join(length, "copy").join(length.select(F.col("copy").alias("owner"), F.col("n_tokens").alias("n_owner")), "owner")
     near = both.where(F.col("common") >= NEAR * F.greatest("n_tokens", "n_owner")).select("owner", "copy")
@@ -149,13 +175,13 @@ def recurring_records(docs: DataFrame, steps: Steps, min_docs: int = MIN_DOCS, m
     return gone.groupBy("copy").agg(F.sort_array(F.collect_list("x")).alias("gone"))
 
 
-def chosen(pieces: list[str], gone: list[tuple[int, int, bool]], min_tokens: int) -> set[int]:
-    """The pieces to drop: records that recur, and passages: runs of shared records with short ones in between."""
+def chosen(sizes: list[int], gone: list[tuple[int, int, bool]], min_tokens: int) -> set[int]:
+    """The records to drop: those that recur, and passages: runs of shared records with short ones in between."""
     out = {n for n, _, sure in gone if sure}
     at = 0
     while at < len(gone):
         end, total = at, gone[at][1]
-        while end + 1 < len(gone) and all(len(pieces[k].split()) < min_tokens for k in range(gone[end][0] + 1, gone[end + 1][0])):
+        while end + 1 < len(gone) and all(n < min_tokens for n in sizes[gone[end][0] + 1 : gone[end + 1][0]]):
             end += 1
             total += gone[end][1]
         if total >= RUN:
@@ -165,19 +191,18 @@ def chosen(pieces: list[str], gone: list[tuple[int, int, bool]], min_tokens: int
 
 
 def without(text: str, gone: list[tuple[int, int, bool]], min_tokens: int = MIN_TOKENS) -> tuple[str, int]:
-    """The text without the chosen records, and how many went; of two gaps that meet, the one with more line ends stays."""
+    """The text without the chosen records, and how many went; of gaps that meet, the one with most line ends stays."""
     parts = _CUT.split(text)
-    pieces, gaps = parts[::2], [*parts[1::2], ""]
-    out = chosen(pieces, gone, min_tokens)
-    kept, gap = [], None
-    for n, (piece, after) in enumerate(zip(pieces, gaps, strict=True)):
-        if n in out:
-            gap = max(gap, after, key=lambda g: g.count("\n")) if gap is not None else after if not kept else gap
+    sizes = [len(p.split()) for p in parts[::2]]
+    out = chosen([n for n in sizes if n], gone, min_tokens)
+    kept, gap, no = [], "", 0
+    for piece, size, after in zip(parts[::2], sizes, [*parts[1::2], ""], strict=True):
+        if size and no in out:
+            gap = max(gap, after, key=lambda g: g.count("\n")) if kept else ""
         else:
-            if kept:
-                kept.append(gap or "")
-            kept.append(piece)
+            kept += [gap, piece]
             gap = after
+        no += size > 0
     return "".join(kept), len(out)
 
 

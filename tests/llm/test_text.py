@@ -214,8 +214,7 @@ def brute_lines(docs):
     for k, t in docs:
         first[t] = min(first.get(t, k), k)
     for t, parts in everything.items():
-        for n, p in enumerate(parts[::2]):
-            w = p.split()
+        for n, w in enumerate(w for p in parts[::2] if (w := p.split())):
             if len(w) >= 4:
                 m = [None if any(map(str.isdigit, x)) else x for x in w]
                 m = w if m.count(None) * 2 > len(m) else m
