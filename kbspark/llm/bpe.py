@@ -3,14 +3,14 @@
 Words are counted over all documents. The most frequent, at most `lexicon_words` (a bound on the lexicon, not on
 the data: other words are merged exactly) go into a minimal acyclic automaton with shared suffixes. Each
 arc carries the number of words that sort before it, so a word's path sums to its index, and the index
-leads to the word's ids. The automaton is one flat byte string, sent to the executors as a broadcast of
-bounded size and memory-mapped by each worker. Words that it lacks are merged by the vocabulary's ranks.
+leads to the word's ids in a table beside the arcs. The automaton is one flat byte string, sent to the executors as a broadcast of
+bounded size and memory-mapped by each worker from a nameless file of its own (nothing else reads it). Words that it lacks are merged by the vocabulary's ranks.
 
 A text with characters at or above U+0250, or with a special token's string, takes the library's own
 normaliser and splitter first.
 
 Cases: null text is the empty text (no ids, empty decoding); an empty table gives no rows and an empty
-lexicon; repeated rows stay; words of one frequency go in together or not at all; other columns are ignored.
+lexicon; repeated rows stay; very long texts are read whole, and a very long word is merged in n log n steps; words of one frequency go in together or not at all; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import tempfile
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -64,17 +65,26 @@ class Vocabulary:
         return WORD_SPLIT.findall(text.lower())
 
     def merge(self, word: str) -> list[int]:
-        """Exact merging: the pair of the lowest rank, leftmost first, again and again."""
+        """Exact merging: the pair of the lowest rank, leftmost first, again and again (a heap over linked parts)."""
         parts = [self.byte[b] for b in word.encode("utf-8")]
         parts[-1] += self.end
-        rank, none = self.rank.get, len(self.rank)
-        while len(parts) > 1:
-            ranks = [rank(p, none) for p in zip(parts, parts[1:])]
-            best = min(ranks)
-            if best == none:
-                break
-            at = ranks.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        rank, n = self.rank.get, len(parts)
+        heap = [(r, k) for k, p in enumerate(zip(parts, parts[1:])) if (r := rank(p)) is not None]
+        heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            r, k = heappop(heap)
+            right = after[k]
+            if right >= n or parts[k] is None or rank((parts[k], parts[right])) != r:  # one of the two has been merged since
+                continue
+            parts[k] += parts[right]
+            parts[right], after[k] = None, after[right]
+            if after[k] < n:
+                before[after[k]] = k
+                if (r := rank((parts[k], parts[after[k]]))) is not None:
+                    heappush(heap, (r, k))
+            if before[k] >= 0 and (r := rank((parts[before[k]], parts[k]))) is not None:
+                heappush(heap, (r, before[k]))
         return [self.ids[p] for p in parts if p in self.ids]
 
 
