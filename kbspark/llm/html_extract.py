@@ -8,7 +8,9 @@ reaches are the content.
 
 The classifier is a logistic model of a block's own look (length, links, punctuation, tag), fitted on the
 blocks of at most SAMPLE_PAGES pages, where semantic containers (article and main against nav, aside,
-footer, form and the like) give the labels. The containers' own evidence is added as fixed log odds.
+footer, form and the like) give the labels. The nearest containers' own evidence is added as bounded log
+odds: a class or id name weighs less than an element's meaning, looks and neighbours can outweigh it, and an
+article or main element clears what the names of its wrappers told.
 
 A block whose terminal capacity exceeds all its edges together must take its own side in every minimum
 cut, so such blocks are settled first; the flow runs over the rest.
@@ -22,7 +24,7 @@ boilerplate; repeated rows give equal results; an empty table gives no rows; oth
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass
 from html import unescape
 
@@ -57,13 +59,13 @@ SIDE_NAMES = frozenset(
 SIDE_ARTICLES = frozenset("comment comments commentlist reply replies respond disqus discussion related recommended recommendations".split())
 MAIN_NAMES = frozenset(("article", "content", "story", "post", "entry", "body", "main", "text"))
 # Log odds of containers.
-IN_MAIN, IN_SIDE, NAMED_MAIN, HEADER_IN_MAIN = 3.0, -9.0, 1.0, -1.0
+IN_MAIN, IN_SIDE, NAMED_SIDE, NAMED_MAIN, HEADER_IN_MAIN = 3.0, -7.0, -5.0, 1.0, -1.0
 NEAR, FAR, SECOND = 1.0, 0.4, 0.3  #: edge capacities: one parent, another parent, two apart
 
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _PART = re.compile(r"[a-z]+")
-_LAYOUT = re.compile(r"(?<!\S)(?:no|has|with|without)[-_]\S*")  # names that tell of other elements
+_LAYOUT = re.compile(r"(?<!\S)(?:\S*[-_])?(?:no|has|have|with|without|and|hide|non|free)(?:[-_]\S*)?(?!\S)")  # names that tell of other elements
 _UNREAD = re.compile(rf"<(/?)({'|'.join(sorted(UNREAD))})(?=[\s/>])([^>]*)>", re.I)
 
 
@@ -75,8 +77,8 @@ class Node:
     main: bool
     hint: float
     key: int
-    depth: int
     parent: Node | None
+    block: Node | None = None  # the innermost block element, itself included
 
 
 @dataclass
@@ -119,7 +121,9 @@ def _element(tag: str, attributes: str, parent: Node | None, key: int) -> Node:
                 firm = firm or "display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", "")
             elif name == "hidden" or value == "true":
                 firm = True
-    return Node(tag, side or firm, firm, main, hint, key, parent.depth + 1 if parent else 0, parent)
+    node = Node(tag, side or firm, firm, main, hint, key, parent)
+    node.block = node if tag in BLOCK or not parent else parent.block
+    return node
 
 
 def _tag_end(html: str, at: int) -> int:
@@ -163,7 +167,7 @@ def blocks(html: str) -> list[Part]:
     stack = [_element("#", "", None, 0)]
     out: list[Part] = []
     held: list[str] = []
-    linked, in_link, unread = 0, 0, 0
+    linked, in_link, unread, opened = 0, 0, 0, Counter()
     closed, loose = closed_unread(html), None  # loose: the open UNREAD element that has no end tag
 
     def flush() -> None:
@@ -171,8 +175,8 @@ def blocks(html: str) -> list[Part]:
         if held:
             text = " ".join("".join(held).split())
             if text:
-                read = stack[: next((n for n, x in enumerate(stack) if x.tag in UNREAD), len(stack))] if unread else stack
-                node = next((n for n in reversed(read) if n.tag in BLOCK or n.tag == "#"), stack[0])
+                top = next(n for n, x in enumerate(stack) if x.tag in UNREAD) - 1 if unread else -1
+                node = stack[top].block
                 out.append(Part(text, linked, node, node.tag))
             held.clear()
         linked = 0
@@ -182,6 +186,7 @@ def blocks(html: str) -> list[Part]:
         if unread and stack[n].tag in BLOCK and any(x.tag in UNREAD for x in stack[n:]):
             flush()  # blocks inside an unread element end no text; its parent's end does
         for x in stack[n:]:
+            opened[x.tag] -= 1
             in_link -= x.tag == "a"
             unread -= x.tag in UNREAD
             if x is loose:
@@ -189,6 +194,8 @@ def blocks(html: str) -> list[Part]:
         del stack[n:]
 
     def pop_to(tag: str, within: tuple[str, ...] = ()) -> bool:
+        if not opened[tag]:
+            return False
         for n in range(len(stack) - 1, 0, -1):
             if stack[n].tag == tag:
                 pop_at(n)
@@ -263,6 +270,7 @@ def blocks(html: str) -> list[Part]:
             continue
         keys += 1
         stack.append(_element(tag, html[m.end() : end - 1], stack[-1], keys))
+        opened[tag] += 1
         in_link += tag == "a"
         if tag in UNREAD:
             unread += 1
@@ -329,15 +337,31 @@ def min_cut(cost: list[float], links: list[tuple[int, int, float]]) -> list[bool
                 if label[j] is None:
                     rest[j] += c if label[i] else -c
                     queue.append(j)
-    open_nodes = [i for i in range(n) if label[i] is None]
-    if not open_nodes:
-        return [bool(x) for x in label]
-    # maximum flow by shortest augmenting paths over what is left
-    s, t = n, n + 1
-    cap: dict[int, dict[int, float]] = {i: {j: c for j, c in around[i].items() if label[j] is None} for i in open_nodes}
-    cap[s] = {i: rest[i] for i in open_nodes if rest[i] > 0}
-    cap[t] = {}
-    for i in open_nodes:
+    seen: set[int] = set()
+    for start in range(n):
+        if label[start] is None and start not in seen:  # one connected part of what is left
+            part, queue = [], deque([start])
+            seen.add(start)
+            while queue:
+                i = queue.popleft()
+                part.append(i)
+                for j in around[i]:
+                    if label[j] is None and j not in seen:
+                        seen.add(j)
+                        queue.append(j)
+            content = _source_side(part, rest, {i: {j: c for j, c in around[i].items() if label[j] is None} for i in part})
+            for i in part:
+                around[i] = {}
+            for i in part:
+                label[i] = i in content
+    return [bool(x) for x in label]
+
+
+def _source_side(part: list[int], rest: list[float], cap: dict[int, dict[int, float]]) -> set[int]:
+    """What the source still reaches after a maximum flow by shortest augmenting paths."""
+    s, t = -1, -2
+    cap[s], cap[t] = {i: rest[i] for i in part if rest[i] > 0}, {}
+    for i in part:
         cap[i][t] = max(0.0, -rest[i])
         cap[i].setdefault(s, 0.0)
     while True:
@@ -350,7 +374,7 @@ def min_cut(cost: list[float], links: list[tuple[int, int, float]]) -> list[bool
                     before[j] = i
                     queue.append(j)
         if t not in before:
-            return [bool(x) if x is not None else i in before for i, x in enumerate(label)]
+            return set(before)
         path, j = [], t
         while j != s:
             path.append((before[j], j))
@@ -366,7 +390,8 @@ def main_text(html: str, weights: np.ndarray) -> str:
     if not parts:
         return ""
     look = np.array([looks(p) for p in parts]) @ weights
-    cost = [float(v) + (IN_SIDE if p.node.side else (IN_MAIN if p.node.main else 0.0) + p.node.hint) for v, p in zip(look, parts, strict=True)]
+    held = lambda n: IN_SIDE if n.firm else NAMED_SIDE if n.side else (IN_MAIN if n.main else 0.0) + n.hint
+    cost = [float(v) + held(p.node) for v, p in zip(look, parts, strict=True)]
     return "\n".join(p.text for p, keep in zip(parts, min_cut(cost, edges(parts)), strict=True) if keep)
 
 
