@@ -1,7 +1,7 @@
 """Line dedup with a log-template tree: recurring line templates across documents are dropped.
 
 A text's lines are cut at sentence ends into records, so that a passage is found wherever it stands. A
-record is a token sequence. The tree has a fixed depth: the token count, then the LEAD leading tokens
+record is a sequence of tokens (runs without ASCII blanks; digits are 0-9). The tree has a fixed depth: the token count, then the LEAD leading tokens
 (tokens with a digit stand for one variable field; records of mostly such fields are compared by their true
 tokens). Within a leaf, a token is constant at its place if it stands there in at least `min_docs` different
 texts, and a variable field otherwise. A record's template is its constant tokens, if these are at least
@@ -28,12 +28,9 @@ other columns pass through, but n_lines and n_dropped replace columns of these n
 from __future__ import annotations
 
 import re
-from itertools import chain
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,24 +43,12 @@ MIN_DOCS = 3
 MIN_TOKENS = 4
 RUN = 20  #: tokens of a passage that two documents share
 NEAR = 0.5  #: share of the longer text's tokens that makes a near copy
-KEPT_WORDS = 500_000
 
-_CUT = re.compile(r"((?<=[.!?])\s+|\n+)")
+BLANKS = b" \t\n\r\f\v"
+_CUT = re.compile(r"[.!?][ \t\n\r\f\v]+|\n+")
+_TOKEN = re.compile(r"[^ \t\n\r\f\v]")
 _FIELD = np.uint64(0x9E3779B97F4A7C15)  #: stands for a token with a digit
-_STEP = np.uint64(0xD6E8FEB86659FD93)
-
-
-class _Hashes(dict):
-    """Token to its 64-bit hash; the last two bits tell whether it holds a digit and whether it ends a sentence."""
-
-    def __missing__(self, token: str) -> int:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        v = self[token] = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) & ~3 | any(map(str.isdigit, token)) | 2 * (token[-1] in ".!?")
-        return v
-
-
-_hashes = _Hashes()
+_STEP, _BASE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9FB21C651E98DF25)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -71,6 +56,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _token_hashes(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each token's bytes; the last bit tells whether it holds a digit."""
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    at = np.cumsum(sizes) - sizes
+    powers = np.full(int(sizes.max()), _BASE, np.uint64)
+    place = np.arange(len(letters)) - np.repeat(at, sizes)
+    h = np.add.reduceat((letters.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(powers)[place], at)
+    digit = np.bitwise_or.reduceat((letters >= 48) & (letters <= 57), at)
+    return _mix(_mix(h)) & ~np.uint64(1) | digit
+
+
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values))
 
@@ -81,21 +78,21 @@ def records(many: list[str], min_tokens: int) -> dict[str, pa.Array]:
     Records are counted through all that hold a token; tokens (32 bits, 0 for a field) are there for records that
     may have a template.
     """
-    lines, owner = [], []
-    for n, t in enumerate(many):
-        found = [x for x in map(str.split, t.split("\n")) if x]
-        lines += found
-        owner.append(len(found))
-    length = np.fromiter(map(len, lines), np.int64, len(lines))
-    true = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(lines)), np.uint64, int(length.sum()))
-    last = (true & np.uint64(2)).astype(bool)
-    last[np.cumsum(length) - 1] = True
+    raw = [t.encode("utf-8", "surrogatepass") for t in many]
+    data = np.frombuffer(b"".join(x + b"\n" for x in raw), np.uint8)
+    text_at = np.cumsum([0, *(len(x) + 1 for x in raw)])
+    word = ~np.isin(np.arange(256), list(BLANKS))[data]
+    edges = np.flatnonzero(np.diff(word, prepend=False))
+    first, past = edges[::2], edges[1::2]  # of each token, in bytes
+    true = _token_hashes(data[word], past - first)
+    lines = np.flatnonzero(data == 10)
+    after = np.concatenate([first[1:], [len(data)]]) if len(first) else first
+    last = (np.append(lines, len(data))[np.searchsorted(lines, past)] < after) | np.isin(data[past - 1], list(b".!?"))
     ends = np.flatnonzero(last) + 1
     starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
     sizes = ends - starts
-    doc_end = np.cumsum(np.concatenate([[0], length]))[np.cumsum(owner)]  # tokens up to each text's end
-    doc = np.searchsorted(doc_end, starts, "right")
-    no = np.arange(len(ends)) - np.searchsorted(starts, np.concatenate([[0], doc_end[:-1]]))[doc] if len(ends) else ends
+    doc = np.searchsorted(text_at, first[starts], "right") - 1
+    no = np.arange(len(ends)) - np.searchsorted(doc, np.arange(len(many)))[doc]
     kept = sizes >= min_tokens
     true = true[np.repeat(kept, sizes)]
     starts, sizes, doc, no = (x[kept] for x in (starts, sizes, doc, no))
@@ -130,7 +127,7 @@ def parse_records(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
         return {"doc_id": b.column("doc_id"), "copy": b.column("copy")} | records(texts(b), min_tokens)
 
     fields = "doc_id long, copy long, n_tokens long, no array<int>, leaf array<long>, line array<long>, size array<int>, tokens array<array<int>>"
-    return map_arrow(docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("copy"), "text"), run, fields)
+    return map_arrow(docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("copy"), "text"), run, fields, rows=256)
 
 
 def templates(found: DataFrame, min_docs: int, similar: float) -> DataFrame:
@@ -150,7 +147,7 @@ def recurring_records(docs: DataFrame, steps: Steps, min_docs: int = MIN_DOCS, m
     pairs = rows.select("copy", F.explode(F.arrays_zip("leaf", "line")).alias("r")).select("copy", "r.leaf", "r.line")
     sums = pairs.groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.min("copy").alias("a"), F.max("copy").alias("b"))
     live = steps.cut(sums.where("a <> b").select("leaf", (F.col("lo") != F.col("hi")).alias("several")), "live-leaves")
-    live = F.broadcast(live) if live.count() <= 1_000_000 else live  # 16 MB at most; beyond that a shuffled join
+    live = F.broadcast(live) if live.count() <= 1_000_000 else live  # some 70 MB at most; beyond that a shuffled join
     every = rows.select("doc_id", "copy", F.explode(F.arrays_zip("no", "leaf", "line", "size", "tokens")).alias("r")).select("doc_id", "copy", "r.*")
     tokens = F.when(F.col("several") & (F.size("tokens") > 0), F.col("tokens"))
     found = steps.cut(every.join(live, "leaf").select("doc_id", "copy", "no", "leaf", "line", "size", tokens.alias("tokens")), "live-records")
@@ -175,13 +172,16 @@ def recurring_records(docs: DataFrame, steps: Steps, min_docs: int = MIN_DOCS, m
     return gone.groupBy("copy").agg(F.sort_array(F.collect_list("x")).alias("gone"))
 
 
-def chosen(sizes: list[int], gone: list[tuple[int, int, bool]], min_tokens: int) -> set[int]:
-    """The records to drop: those that recur, and passages: runs of shared records with short ones in between."""
+def chosen(size, gone: list[tuple[int, int, bool]], min_tokens: int) -> set[int]:
+    """The records to drop: those that recur, and passages: runs of shared records with short ones in between.
+
+    size: from a record's number to its number of tokens.
+    """
     out = {n for n, _, sure in gone if sure}
     at = 0
     while at < len(gone):
         end, total = at, gone[at][1]
-        while end + 1 < len(gone) and all(n < min_tokens for n in sizes[gone[end][0] + 1 : gone[end + 1][0]]):
+        while end + 1 < len(gone) and all(size(n) < min_tokens for n in range(gone[end][0] + 1, gone[end + 1][0])):
             end += 1
             total += gone[end][1]
         if total >= RUN:
@@ -192,17 +192,20 @@ def chosen(sizes: list[int], gone: list[tuple[int, int, bool]], min_tokens: int)
 
 def without(text: str, gone: list[tuple[int, int, bool]], min_tokens: int = MIN_TOKENS) -> tuple[str, int]:
     """The text without the chosen records, and how many went; of gaps that meet, the one with most line ends stays."""
-    parts = _CUT.split(text)
-    sizes = [len(p.split()) for p in parts[::2]]
-    out = chosen([n for n in sizes if n], gone, min_tokens)
+    cuts = [(m.start() + (m[0][0] != "\n"), m.end()) for m in _CUT.finditer(text)]
+    pieces = [text[a:b] for a, b in zip([0, *(e for _, e in cuts)], [*(s for s, _ in cuts), len(text)], strict=True)]
+    gaps = [text[a:b] for a, b in cuts]
+    records = [p for p in pieces if _TOKEN.search(p)]
+    out = chosen(lambda n: len(records[n].encode("utf-8", "surrogatepass").split()), gone, min_tokens)
     kept, gap, no = [], "", 0
-    for piece, size, after in zip(parts[::2], sizes, [*parts[1::2], ""], strict=True):
-        if size and no in out:
+    for piece, after in zip(pieces, [*gaps, ""], strict=True):
+        record = _TOKEN.search(piece) is not None
+        if record and no in out:
             gap = max(gap, after, key=lambda g: g.count("\n")) if kept else ""
         else:
             kept += [gap, piece]
             gap = after
-        no += size > 0
+        no += record
     return "".join(kept), len(out)
 
 
