@@ -55,8 +55,11 @@ def embedding_text(a, b) -> Column:
 
 
 def strip_fence(text) -> Column:
-    """A model's answer without a code fence around it."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(_c(text)), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""))
+    """A model's answer without a code fence (three backticks, perhaps named json) around it."""
+    answer = F.trim(_c(text))
+    opened = F.when(F.lower(F.substring(answer, 1, 7)) == "```json", F.substr(answer, F.lit(8))).when(F.startswith(answer, F.lit("```")), F.substr(answer, F.lit(4))).otherwise(answer)
+    inner = F.rtrim(opened)
+    return F.trim(F.regexp_replace(F.when(F.endswith(inner, F.lit("```")), F.left(inner, F.length(inner) - 3)).otherwise(inner), r"^\s+|\s+$", ""))
 
 
 def parse_model_json(text, schema: str) -> Column:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.functions.tables import is_rule, linearize_html, linearize_pipes
+from kbspark.functions.tables import fewest_dashes, linearize_html, linearize_pipes
 from kbspark.functions.text import normalize_newlines
 
 # Heading form, fence marks, separators in the order they are tried, and words of image details.
@@ -26,9 +26,9 @@ DETAIL = ("图片类型：", "图片详细内容：")
 TITLE_CUT = 50
 # Words in headings that promise the item's name.
 PRIORITY_WORDS = (
-    "产品 商品 型号 规格 参数 简介 概述 名称 设备 品牌 系列 版本 服务 方案 对象 介绍 "
-    "product model specification specifications overview introduction name brand series version service"
-).split()
+    "产品", "商品", "型号", "规格", "参数", "简介", "概述", "名称", "设备", "品牌", "系列", "版本", "服务", "方案", "对象", "介绍",
+    "product", "model", "specification", "specifications", "overview", "introduction", "name", "brand", "series", "version", "service",
+)
 SECTIONS = "doc_id string, section_no int, title string, body string, file_title string, parent_title string, part int"
 CHUNKS = "doc_id string, chunk_no int, chunk_id string, title string, file_title string, parent_title string, content string, part int"
 
@@ -95,7 +95,7 @@ def structure_blocks(body: str, linearize: bool = True) -> list[tuple[str, str]]
         end, kind = n, ""
         if re.search(r"<table\b", line, re.I):
             kind, end = "table", next((k for k in range(n + 1, len(lines)) if re.search(r"</table\s*>", lines[k], re.I)), len(lines) - 1) + 1
-        elif "|" in line and n + 1 < len(lines) and is_rule(lines[n + 1]):
+        elif "|" in line and n + 1 < len(lines) and "|" in lines[n + 1] and fewest_dashes(lines[n + 1]) >= 3:
             kind, end = "table", next((k for k in range(n + 2, len(lines)) if "|" not in lines[k]), len(lines))
         elif re.match(r"^\s*!\[.*?\]\(.*?\)\s*$", line):
             kind, end = "image", n + 1

@@ -92,13 +92,35 @@ def item_entity_pairs(aligned: DataFrame) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("_at", "item_name", "entity"))).select("query_id", "place", "item_name", "entity")
 
 
+def _grams(column: str):
+    """The distinct runs of three characters of a text in lower case."""
+    low = F.lower(column)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - 2)), lambda n: F.substr(low, n, F.lit(3))))
+
+
+def _containing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pairs(item_name, entity, ...) with the names of the item's nodes that contain the entity, in any case.
+
+    Names are indexed by their runs of three characters; an entity looks up the rarest of its own in the item and
+    is then compared with those names only. Entities of under three characters meet all names of their item.
+    """
+    index = nodes.select("item_name", "name", F.explode(_grams("name")).alias("gram"))
+    sizes = index.groupBy("item_name", "gram").agg(F.count("*").alias("n"))
+    asked = pairs.where(F.length("entity") >= 3).select("item_name", "entity").distinct()
+    asked = asked.select("item_name", "entity", F.explode(_grams("entity")).alias("gram")).join(sizes, ["item_name", "gram"], "left")
+    rarest = asked.groupBy("item_name", "entity").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("x")).where("x.n > 0").select("item_name", "entity", "x.gram")
+    found = rarest.join(index, ["item_name", "gram"]).select("item_name", "entity", "name")
+    found = found.unionByName(pairs.where(F.length("entity") < 3).select("item_name", "entity").distinct().join(nodes, "item_name"))
+    return pairs.join(found.where(F.contains(F.lower("name"), F.lower("entity"))), ["item_name", "entity"])
+
+
 def seed_nodes(pairs: DataFrame, entities: DataFrame, fuzzy: int = 3, limit: int = 30) -> DataFrame:
     """query_id, item_name, name: nodes of the pairs by exact name, else up to `fuzzy` names that contain it; at most `limit` a query."""
     pairs = pairs.groupBy("query_id", "item_name", "entity").agg(F.min("place").alias("place"))
     nodes = entities.select("item_name", "name").distinct()
     exact = pairs.join(nodes.withColumn("entity", F.col("name")), ["item_name", "entity"]).withColumn("_n", F.lit(1))
     rest = pairs.join(nodes.withColumnRenamed("name", "entity"), ["item_name", "entity"], "left_anti")
-    near = rest.join(nodes, "item_name").where(F.contains(F.lower("name"), F.lower("entity")))
+    near = _containing(rest, nodes)
     near = near.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "item_name", "entity").orderBy("name"))).where(F.col("_n") <= fuzzy)
     both = exact.select("query_id", "place", "_n", "item_name", "name").unionByName(near.select("query_id", "place", "_n", "item_name", "name"))
     both = both.groupBy("query_id", "item_name", "name").agg(F.min(F.struct("place", "_n")).alias("_at"))

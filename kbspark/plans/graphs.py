@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.operators import graph
+from kbspark.sources.shared import keep
 
 KINDS = [*graph.LABELS, "Gadget"]
 TYPES = [*graph.RELATIONS, "BLENDS"]
@@ -38,9 +39,9 @@ def raw(spark, d) -> DataFrame:
 
 
 def built(spark, d):
-    parsed = graph.parse_answers(raw(spark, d))[0]
-    entities = graph.clean_entities(parsed)
-    return entities, graph.clean_relations(parsed, entities)
+    parsed = keep(graph.parse_answers(raw(spark, d))[0], "answers")  # each answer is made and parsed once
+    entities = keep(graph.clean_entities(parsed), "entities")
+    return entities, keep(graph.clean_relations(parsed, entities), "links")
 
 
 def probes(spark, d) -> DataFrame:
@@ -81,7 +82,7 @@ def q_records(spark, d):
 
 def _parts(spark, d):
     nodes, rels, mentions, _ = graph.merge_graph(*built(spark, d))
-    return nodes, rels, mentions
+    return keep(nodes, "nodes"), keep(rels, "relations"), keep(mentions, "mentions")
 
 
 def q_seeds(spark, d):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kbspark.operators import evaluation as ev
 from kbspark.operators import fusion, search
 from kbspark.sources.io import check_gold
+from kbspark.sources.shared import keep
 
 K = 10
 TOKEN = "[a-z]{3,}"
@@ -38,7 +39,7 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
-    p = pairs(spark, d) if p is None else p
+    p = keep(pairs(spark, d), "pairs") if p is None else p
     out = None
     for source, score in (("vector", "tf"), ("hyde", "shared"), ("graph", "rare")):
         one = search.top_k(p.where(F.col(score) > 0).select("query_id", "chunk_id", F.col(score).alias("score")), K).select("query_id", F.lit(source).alias("source"), "rank", "chunk_id", "score")
@@ -59,7 +60,7 @@ def gold(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
 
 def modes(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
     """mode, question_id, rank, chunk_id: the retrievers, their fusion, and the fusion cut at a cliff."""
-    h = hits(spark, d, p).persist()
+    h = keep(hits(spark, d, p), "hits")
     fused = fusion.rrf(h)
     runs = h.where("rank <= 5").select(F.col("source").alias("mode"), "query_id", "rank", "chunk_id")
     runs = runs.unionByName(fused.where("rank <= 5").select(F.lit("rrf").alias("mode"), "query_id", "rank", "chunk_id"))
@@ -75,7 +76,7 @@ def flagship(spark, d):
 
 def _scores(spark, d) -> DataFrame:
     """Each question's measures in each mode, from one retrieval (kept while the query runs)."""
-    p = pairs(spark, d).persist()
+    p = keep(pairs(spark, d), "pairs")
     return ev.question_scores(modes(spark, d, p), gold(spark, d, p))
 
 
@@ -170,7 +171,7 @@ def q_digest(spark, d):
 
 
 def q_pool(spark, d):
-    p = pairs(spark, d).persist()
+    p = keep(pairs(spark, d), "pairs")
     stages = hits(spark, d, p).where("rank <= 5").select(F.col("query_id").alias("question_id"), F.col("source").alias("stage"), "chunk_id")
     return ev.pool_diagnostics(stages, gold(spark, d, p), "vector", ["hyde", "graph"])
 
@@ -182,15 +183,15 @@ def q_prefix(spark, d):
 
 
 def q_ablation(spark, d):
-    p = pairs(spark, d).persist()
-    h = hits(spark, d, p).persist()
+    p = keep(pairs(spark, d), "pairs")
+    h = keep(hits(spark, d, p), "hits")
     dense = h.where("source = 'vector'").withColumn("source", F.lit("dense"))
     p = p.select("query_id", "chunk_id", (F.col("tf") + F.col("rare")).cast("double").alias("score"))
     return fusion.ablation_runs(h.unionByName(dense), p)
 
 
 def q_confirm(spark, d):
-    p = pairs(spark, d).persist()
+    p = keep(pairs(spark, d), "pairs")
     g = gold(spark, d, p).select(F.col("question_id").alias("query_id"), F.explode("gold_chunk_ids").alias("chunk_id"))
     top = hits(spark, d, p).where("source = 'hyde' and rank = 1").withColumn("chunk_id", F.col("chunk_id").cast("string"))
     seen = top.join(g.withColumn("confirmed", F.lit(True)), ["query_id", "chunk_id"], "left")
@@ -277,8 +278,10 @@ UNION ALL SELECT page_id, 'web', NULL, url, length(CASE WHEN page_id % 2 = 1 THE
 SELECT a.mode AS mode_a, b.mode AS mode_b, count(*) FILTER (WHERE x.ids IS DISTINCT FROM y.ids) AS different, count(*) FILTER (WHERE x.ids IS DISTINCT FROM y.ids) = 0 AS identical
 FROM m a JOIN m b ON a.mode < b.mode CROSS JOIN q LEFT JOIN l x ON x.mode = a.mode AND x.question_id = q.question_id LEFT JOIN l y ON y.mode = b.mode AND y.question_id = q.question_id GROUP BY a.mode, b.mode""",
     "sequence_digest": _HITS + _CUT + """, k AS (SELECT mode, question_id, string_agg(CAST(chunk_id AS VARCHAR), '","' ORDER BY rank) AS ids FROM runs GROUP BY mode, question_id),
-l AS (SELECT mode, question_id, '["' || question_id || '",["' || ids || '"]]' AS t FROM k)
-SELECT mode, sha256('[' || j || ']') AS digest FROM (SELECT mode, string_agg(t, ',' ORDER BY question_id) AS j FROM l GROUP BY mode)""",
+l AS (SELECT mode, question_id, '["' || question_id || '",["' || ids || '"]]' AS t FROM k),
+h AS (SELECT mode, sha256(t) AS x FROM l), p AS (SELECT mode, x, unnest([1, 16, 31, 46]) AS pos FROM h),
+s AS (SELECT mode, pos, CAST(sum(('0x' || substr(x, pos, 15))::BIGINT) AS VARCHAR) AS v, count(*) AS n FROM p GROUP BY mode, pos)
+SELECT mode, sha256(min(n) || ':' || string_agg(v, ':' ORDER BY pos)) AS digest FROM s GROUP BY mode""",
     "pool_diagnostics": _HITS + _CUT + _GOLD + """, f AS (SELECT g.question_id, g.chunk_id, coalesce(bool_or(source = 'vector'), false) AS v, coalesce(bool_or(source = 'hyde'), false) AS h, coalesce(bool_or(source = 'graph'), false) AS k
   FROM gold g LEFT JOIN hits ON query_id = g.question_id AND hits.chunk_id = g.chunk_id AND rank <= 5 GROUP BY ALL),
 p AS (SELECT question_id, avg(v::INT) AS r0, avg((v OR h)::INT) AS r1, avg((v OR h OR k)::INT) AS r2, bool_or(v) AS n0, bool_or(h AND NOT v) AS n1, bool_or(k AND NOT v AND NOT h) AS n2 FROM f GROUP BY question_id)

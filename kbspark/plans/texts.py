@@ -37,7 +37,9 @@ def q_cache(spark, d):
 
 def q_strip(spark, d):
     p = _part(spark, d)
-    return p.select("p_partkey", tx.strip_item_names(F.concat(F.lit("how to  use "), F.upper("p_brand"), F.lit(" "), "p_name", F.lit(" now")), F.array("p_name", F.lower("p_brand"))).alias("query"))
+    asked = F.concat(F.lit("how to  use "), F.upper("p_brand"), F.lit(" "), "p_name", F.lit(" for "), F.col("p_partkey").cast("string"), F.lit(" now"))
+    other = F.when(F.col("p_partkey") % 2 == 0, F.lit("unknown")).otherwise(F.lower("p_brand"))
+    return p.select("p_partkey", tx.strip_item_names(asked, F.array("p_name", other)).alias("query"))
 
 
 def q_names(spark, d):
@@ -151,7 +153,7 @@ _BULLETS = "SELECT p_brand, string_agg('- 【' || p_partkey || '】(对应key)
 SQL = {
     "canonical_key": r"SELECT p_partkey, regexp_replace(lower(trim(' ' || p_name || '-' || p_brand)), '[\s\-_]+', '', 'g') AS key FROM part",
     "cache_key": r"SELECT p_partkey, 'hyde:' || sha256(trim(regexp_replace(p_name, '\s+', ' ', 'g') || ' how?') || '|' || least(p_brand, trim(p_type)) || '|' || greatest(p_brand, trim(p_type))) AS key FROM part",
-    "strip_item_names": "SELECT p_partkey, 'how to use now' AS query FROM part",
+    "strip_item_names": "SELECT p_partkey, 'how to use ' || CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) || ' ' ELSE '' END || 'for ' || p_partkey || ' now' AS query FROM part",
     "clean_names": "SELECT p_partkey, CASE WHEN trim(substring(p_name || ' x', 1, 15)) = p_type THEN p_type ELSE substring(p_name || ' x', 1, 15) || '|' || substring(p_type, 1, 15) END AS names FROM part",
     "parse_selection": "SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN p_brand WHEN 1 THEN p_type || ' x' WHEN 2 THEN p_name WHEN 3 THEN p_brand WHEN 4 THEN p_name WHEN 5 THEN CASE WHEN contains(replace(lower(p_name), ' ', ''), lower(substring(p_brand, 4, 20))) THEN NULL ELSE p_brand END END AS picked FROM part",
     "extract_image_urls": r"""WITH b AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages) SELECT page_id, u || '.png|' || u || '.JPG|' || u || '/a%20b.gif?x=1' AS images, 'http://a.example/z.png|' || u || '.png|' || u || '.JPG' AS loose FROM b""",

@@ -44,12 +44,14 @@ def read_gold(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return check_gold(spark.read.schema(GOLD).json(path, multiLine=True))
 
 
-def write_chunks(chunks: DataFrame, path: str, mode: str = "append") -> None:
+def write_chunks(chunks: DataFrame, path: str, mode: str = "append", rows_per_file: int = 200_000) -> None:
     """Add chunks to the store, or start it anew (mode 'overwrite'); one folder for each item.
 
-    Rows are dealt by item and a salt, so a large item is written by many tasks and a small one into few files.
+    An item's rows are dealt to as many tasks as it has files of about rows_per_file rows; a small item is one file.
     """
-    chunks.withColumn("_salt", F.pmod(F.xxhash64(*chunks.columns[:1]), F.lit(8))).repartition("item_name", "_salt").drop("_salt").write.mode(mode).partitionBy("item_name").parquet(path)
+    files = chunks.groupBy(F.col("item_name").alias("_item")).agg(F.ceil(F.count("*") / rows_per_file).alias("_files"))
+    dealt = chunks.join(files, F.col("item_name").eqNullSafe(F.col("_item"))).withColumn("_salt", F.pmod(F.xxhash64(*chunks.columns), F.col("_files")))
+    dealt.repartition("item_name", "_salt").select(*chunks.columns).write.mode(mode).partitionBy("item_name").parquet(path)
 
 
 def replace_items(rows: DataFrame, path: str, key: str = "item_name") -> None:

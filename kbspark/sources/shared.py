@@ -5,10 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset a folder of the machine, which only a session in one process may use."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", d)
+    return d.rstrip("/")
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    """A new path under spark.checkpoint.dir; an own temporary folder where that is unset (tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{d.rstrip('/')}/kbspark-{what}-{uuid.uuid4().hex}"
+    """A new path under the shared folder."""
+    return f"{shared_dir(spark)}/kbspark-{what}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, what: str) -> DataFrame:
+    """The rows as a table in the shared folder, computed once however often they are read."""
+    path = new_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
