@@ -34,7 +34,7 @@ from kbspark.llm.charset import LATER, WORD_SPLIT, byte_alphabet
 from kbspark.llm.common import cut, map_arrow, slices, texts
 
 LEXICON_WORDS = 60_000
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 
 class Vocabulary:

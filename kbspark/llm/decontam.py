@@ -40,7 +40,7 @@ from kbspark.llm.shingles import shingle_hashes
 MATCH = 5
 COVERAGE = 0.6
 BROADCAST_BYTES = 32 << 20
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 OUTER = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»„“”‘’…¿¡–—"
 FOUND = "doc_id long, item_id long, item_tokens long, covered long, n_tiles long, coverage double"

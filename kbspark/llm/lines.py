@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.llm.common import Steps, map_arrow, texts
+from kbspark.llm.shingles import BLANK, STEP, mix, run_hashes
 
 LEAD = 3
 SIMILAR = 0.8
@@ -44,28 +45,17 @@ MIN_TOKENS = 4
 RUN = 20  #: tokens of a passage that two documents share
 NEAR = 0.5  #: share of the longer text's tokens that makes a near copy
 
-BLANKS = b" \t\n\r\f\v"
 _CUT = re.compile(r"[.!?][ \t\n\r\f\v]+|\n+")
 _TOKEN = re.compile(r"[^ \t\n\r\f\v]")
 _FIELD = np.uint64(0x9E3779B97F4A7C15)  #: stands for a token with a digit
-_STEP, _BASE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9FB21C651E98DF25)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _STEP
-    return x ^ (x >> np.uint64(29))
 
 
 def _token_hashes(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each token's bytes; the last bit tells whether it holds a digit."""
     if not len(sizes):
         return np.zeros(0, np.uint64)
-    at = np.cumsum(sizes) - sizes
-    powers = np.full(int(sizes.max()), _BASE, np.uint64)
-    place = np.arange(len(letters)) - np.repeat(at, sizes)
-    h = np.add.reduceat((letters.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(powers)[place], at)
-    digit = np.bitwise_or.reduceat((letters >= 48) & (letters <= 57), at)
-    return _mix(_mix(h)) & ~np.uint64(1) | digit
+    digit = np.bitwise_or.reduceat((letters >= 48) & (letters <= 57), np.cumsum(sizes) - sizes)
+    return run_hashes(letters, sizes) & ~np.uint64(1) | digit
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -81,7 +71,7 @@ def records(many: list[str], min_tokens: int) -> dict[str, pa.Array]:
     raw = [t.encode("utf-8", "surrogatepass") for t in many]
     data = np.frombuffer(b"".join(x + b"\n" for x in raw), np.uint8)
     text_at = np.cumsum([0, *(len(x) + 1 for x in raw)])
-    word = ~np.isin(np.arange(256), list(BLANKS))[data]
+    word = ~BLANK[data]
     edges = np.flatnonzero(np.diff(word, prepend=False))
     first, past = edges[::2], edges[1::2]  # of each token, in bytes
     true = _token_hashes(data[word], past - first)
@@ -102,10 +92,10 @@ def records(many: list[str], min_tokens: int) -> dict[str, pa.Array]:
         numbers = np.add.reduceat(field, starts, dtype=np.int64) * 2 > sizes  # too few constant tokens for a template
         masked = np.where(field & ~np.repeat(numbers, sizes), _FIELD, true)
         place = (np.arange(len(true)) - np.repeat(starts, sizes)).astype(np.uint64)
-        line = _mix(np.add.reduceat(_mix(masked + place * _STEP), starts) + sizes.astype(np.uint64))
+        line = mix(np.add.reduceat(mix(masked + place * STEP), starts) + sizes.astype(np.uint64))
         leaf = sizes.astype(np.uint64)
         for k in range(LEAD):
-            leaf = _mix(leaf * _STEP + masked[np.minimum(starts + k, len(true) - 1)])
+            leaf = mix(leaf * STEP + masked[np.minimum(starts + k, len(true) - 1)])
         leaf = np.where(numbers, line, leaf)
         named = (sizes > FIXED) & ~numbers
         token = np.where(field, np.uint64(0), true >> np.uint64(32) | np.uint64(1)).astype(np.uint32).view(np.int32)[np.repeat(named, sizes)]

@@ -41,7 +41,7 @@ MAX_TOXIC, MAX_CLEAN = 2000, 3000  #: labelled documents in the training sample,
 MAX_POSITIVE, MAX_NEGATIVE = 3000, 20_000  #: training words, at most
 LANDMARKS = 400
 HARD_ROUNDS = 2
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 SINGLES = re.compile(r"(?<!\S)\S(?:\s\S)+(?!\S)")
 EMPTY = -9.0  #: margin of a text without words
 

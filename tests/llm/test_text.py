@@ -136,7 +136,12 @@ def test_rows_of_one_doc_id_are_one_document(spark):
 
 
 def test_shingle_words():
-    assert shingles.words("A\x1cb É\x85x\x0bY") == ["a\x1cb".encode(), "É\x85x".encode(), b"y"]
+    one = lambda t: shingles.word_hashes(shingles.words(t)).tolist()
+    assert one("A\x1cb É\x85x\x0bY") == one("a\x1cb") + one("É\x85x") + one("y") and len(one("É\x85x")) == 1 and one("É") != one("é")
+    assert one("") == one(" \n ") == [] and one("  a b\t") == one("a") + one("b")
+    texts = ["".join(random.Random(n).choices("ab 0", k=9)) for n in range(3000)]
+    found = {w: h for t in texts for w, h in zip(t.split(), one(t), strict=True)}
+    assert len(set(found.values())) == len(found) > 500
 
 
 PASSAGE = "the quick brown fox jumps over the lazy dog while seven wizards brew a potion under the old stone bridge"
