@@ -12,7 +12,8 @@ multiple-instance rule a sentence, like a document, is as toxic as its worst wor
 from a bounded, hash-ordered sample of labelled training documents (MAX_TOXIC and MAX_CLEAN documents):
 words and character 4-grams that stand in significantly more different contexts of toxic documents than
 of clean ones name the witness words of the toxic sentences; words of clean sentences are negatives. LANDMARKS words span the Nystroem space
-K_mm^(-1/2) k_m(w), in which an L2-SVM is trained. Because triples are explicit, the trained machine
+K_mm^(-1/2) k_m(w), in which an L2-SVM is trained, in one task over these bounded lists of words, so that
+the driver holds words and the finished weights only. Because triples are explicit, the trained machine
 folds into one weight for each triple, which scores a word exactly as the landmarks would.
 
 The score is a logistic curve of the worst word's margin, fitted on the training documents' margins.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -248,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
             return None
         held_words = set(positive)
         negative = [w for w in dict.fromkeys(common + negative) if w not in held_words]
-        model = fit_words(positive, negative)
+        model = fit_in_task(docs.sparkSession, positive, negative)
         for _ in range(HARD_ROUNDS):  # clean words that the machine takes for toxic join the negatives
             now = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -259,7 +261,8 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
             hard = map_arrow(evidence.where("neg > 0 and pos <= neg").select("unit"), margins_of, "unit string, margin double", rows=4096)
             worst = [r["unit"] for r in hard.where("margin > -0.5").orderBy(F.desc("margin"), "unit").limit(MAX_NEGATIVE // 4).collect()]
             negative += [w for w in worst if w not in held_words]
-            model = fit_words(positive, list(dict.fromkeys(negative)), negative[-len(worst) // 2 :] if worst else [])
+            now.destroy()
+            model = fit_in_task(docs.sparkSession, positive, list(dict.fromkeys(negative)), negative[-len(worst) // 2 :] if worst else [])
         evidence.unpersist()
         key = str(zlib.crc32(model.weights.tobytes()))
         send = docs.sparkSession.sparkContext.broadcast(model)
@@ -294,6 +297,18 @@ def fit_words(positive: list[str], negative: list[str], hard: list[str] = ()) ->
     return Model(weights, float(w[-1]), 4.0, 0.0)
 
 
+def fit_in_task(spark, positive: list[str], negative: list[str], hard: list[str] = ()) -> Model:
+    """fit_words on an executor: at most MAX_POSITIVE and some 1.75 times MAX_NEGATIVE words go there, the weights come back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            m = fit_words(positive, negative, hard)
+            yield pa.RecordBatch.from_pydict({"weights": pa.array([m.weights.tobytes()], pa.binary()), "bias": [m.bias], "slope": [m.slope], "middle": [m.middle]})
+
+    row = spark.range(0, 1, 1, 1).mapInArrow(run, "weights binary, bias double, slope double, middle double").first()
+    return Model(np.frombuffer(row["weights"], np.float32), row["bias"], row["slope"], row["middle"])
+
+
 def _curve(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     """Slope and middle of the logistic curve: the middle is the cut with the fewest training errors, half way in its gap."""
     values = np.unique(margin)
