@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,6 +68,14 @@ class Steps:
 
     def done(self) -> None:
         self.drop(*self.tables())
+        tidy(self.spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop what no DataFrame refers to any more: its cleaner removes shuffle files, broadcasts and their
+    records on the driver only once the driver's JVM has collected them, which a large heap may put off for long."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def within(docs: DataFrame, ids: DataFrame, key: str = "doc_id", most: int = 2_000_000) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import Steps, map_arrow, texts
+from kbspark.llm.common import Steps, map_arrow, texts, tidy
 from kbspark.llm.shingles import BLANK, STEP, mix, run_hashes
 
 LEAD = 3
@@ -204,6 +204,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_
     steps = Steps(docs.sparkSession)
     gone = steps.cut(recurring_records(docs.select("doc_id", "text"), steps, min_docs, min_tokens, similar), "gone")
     steps.drop(*(t for t in steps.tables() if t is not gone))
+    tidy(docs.sparkSession)
 
     @F.pandas_udf("text string, n_dropped long")
     def cut_out(text: pd.Series, no: pd.Series, size: pd.Series, sure: pd.Series) -> pd.DataFrame:

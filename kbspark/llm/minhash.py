@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import Steps, cut, map_arrow, map_groups, slices, texts, within
+from kbspark.llm.common import Steps, cut, map_arrow, map_groups, slices, texts, tidy, within
 from kbspark.llm.shingles import shingle_set
 
 BANDS, ROWS = 51, 5
@@ -276,6 +276,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     same = member.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
     first = steps.cut(members.groupBy("id").agg(F.min("lead").alias("lead")).where("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b")), "first")
     comps = steps.cut(components(steps.cut(links_of(first, own, percent).unionByName(same), "links"), steps), "components")
+    tidy(docs.sparkSession)
 
     rows = steps.cut(contested(members.select("key", "band", "id"), comps), "contested")
     signed = steps.cut(marks(rows, reps), "marks")

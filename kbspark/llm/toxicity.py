@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import map_arrow, texts
+from kbspark.llm.common import map_arrow, texts, tidy
 
 SPAN, DECAY, WINDOW = 8, 0.7, 24
 LETTERS = {c: n for n, c in enumerate("abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýß", 1)}
@@ -275,6 +275,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
         return model
     finally:
         sample.unpersist()
+        tidy(docs.sparkSession)
 
 
 def fit_words(positive: list[str], negative: list[str], hard: list[str] = ()) -> Model:
