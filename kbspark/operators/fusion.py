@@ -78,13 +78,14 @@ def union_candidates(hits: DataFrame, sources: list[str]) -> DataFrame:
 def ablation_runs(hits: DataFrame, scores: DataFrame, k: int = 5) -> DataFrame:
     """mode, query_id, rank, chunk_id of modes A to G from one retrieval.
 
-    hits has the sources 'dense', 'vector' (hybrid), 'hyde', 'graph'; scores(query_id, chunk_id, score) are the reranker's.
+    hits has the sources 'dense', 'vector' (hybrid), 'hyde', 'graph'; scores(query_id, chunk_id, score) are the reranker's;
+    candidates that it did not score come last.
     """
     mode = lambda name, df: df.where(F.col("rank") <= k).select(F.lit(name).alias("mode"), "query_id", "rank", "chunk_id")
     two = rrf(hits.where("source in ('vector', 'hyde')"))
     full = rrf(hits)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    ranked = full.drop("score", "rank").join(scores, ["query_id", "chunk_id"]).withColumn("rank", F.row_number().over(w))
+    ranked = full.drop("score", "rank").join(scores, ["query_id", "chunk_id"], "left").withColumn("rank", F.row_number().over(w))
     cut = cliff_cutoff(ranked)
     out = mode("A", hits.where("source = 'dense'")).unionByName(mode("B", hits.where("source = 'vector'"))).unionByName(mode("C", two)).unionByName(mode("D", full))
     return out.unionByName(mode("E", cut)).unionByName(mode("F", ranked)).unionByName(mode("G", cut))

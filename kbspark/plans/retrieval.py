@@ -183,9 +183,12 @@ def q_prefix(spark, d):
 
 
 def q_ablation(spark, d):
+    """Modes A to G: A ranks by the cosine of the token vectors (squared, which keeps the order), B by their product."""
     p = keep(pairs(spark, d), "pairs")
     h = keep(hits(spark, d, p), "hits")
-    dense = h.where("source = 'vector'").withColumn("source", F.lit("dense"))
+    q, c = (t.groupBy(k).agg(F.sum(F.col("weight") * F.col("weight")).cast("double").alias(n)) for t, k, n in zip(postings(spark, d), ("query_id", "chunk_id"), ("qn", "cn"), strict=True))
+    cosine = p.where("tf > 0").join(q, "query_id").join(c, "chunk_id").select("query_id", "chunk_id", (F.col("tf").cast("double") * F.col("tf") / (F.col("qn") * F.col("cn"))).alias("score"))
+    dense = search.top_k(cosine, K).select("query_id", F.lit("dense").alias("source"), "rank", "chunk_id", "score")
     p = p.select("query_id", "chunk_id", (F.col("tf") + F.col("rare")).cast("double").alias("score"))
     return fusion.ablation_runs(h.unionByName(dense), p)
 
@@ -245,12 +248,14 @@ SELECT setting, query_id, CAST(row_number() OVER (PARTITION BY setting, query_id
 
 
 _RANKED = """,
+qn AS (SELECT query_id, sum(w * w)::DOUBLE AS qn FROM qp GROUP BY 1), cn AS (SELECT chunk_id, sum(w * w)::DOUBLE AS cn FROM cp GROUP BY 1),
+dense AS (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tf::DOUBLE * tf / (qn * cn) DESC, chunk_id) AS INTEGER) AS rank FROM pairs JOIN qn USING (query_id) JOIN cn USING (chunk_id) WHERE tf > 0),
 ranked AS (SELECT r.query_id, r.chunk_id, CAST(row_number() OVER (PARTITION BY r.query_id ORDER BY tf + rare DESC, r.chunk_id) AS INTEGER) AS rank, (tf + rare)::DOUBLE AS score FROM rrf r JOIN pairs p USING (query_id, chunk_id)),
 two AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY 0.0::DOUBLE + coalesce(a, 0) + coalesce(b, 0) DESC, seen, chunk_id) AS INTEGER) AS rank, chunk_id FROM parts WHERE a IS NOT NULL OR b IS NOT NULL QUALIFY rank <= 10),
 g2 AS (SELECT *, score - lead(score) OVER (PARTITION BY query_id ORDER BY rank) AS gap FROM ranked),
 at2 AS (SELECT query_id, min(rank) AS cutoff FROM g2 WHERE rank >= 3 AND (gap >= 0.5 OR gap / (abs(score) + 1e-6) >= 0.25) GROUP BY query_id),
 cut2 AS (SELECT ranked.* FROM ranked LEFT JOIN at2 USING (query_id) WHERE cutoff IS NULL OR rank <= cutoff)
-SELECT 'A' AS mode, query_id, rank, chunk_id FROM hits WHERE source = 'vector' AND rank <= 5 UNION ALL SELECT 'B', query_id, rank, chunk_id FROM hits WHERE source = 'vector' AND rank <= 5
+SELECT 'A' AS mode, query_id, rank, chunk_id FROM dense WHERE rank <= 5 UNION ALL SELECT 'B', query_id, rank, chunk_id FROM hits WHERE source = 'vector' AND rank <= 5
 UNION ALL SELECT 'C', query_id, rank, chunk_id FROM two WHERE rank <= 5 UNION ALL SELECT 'D', query_id, rank, chunk_id FROM rrf WHERE rank <= 5
 UNION ALL SELECT 'E', query_id, rank, chunk_id FROM cut2 WHERE rank <= 5 UNION ALL SELECT 'F', query_id, rank, chunk_id FROM ranked WHERE rank <= 5 UNION ALL SELECT 'G', query_id, rank, chunk_id FROM cut2 WHERE rank <= 5"""
 
