@@ -1,8 +1,8 @@
 """How filters interact: which filter removes what in each order of applying them.
 
 Words are counted in a sparse document-term matrix. Each task cuts its documents into CSR shards of bounded text bytes,
-each with the list of its own distinct words; the words of all shards meet once in a global dictionary of dense ids
-(a shard ships each of its words once, however often it occurs), and the ids come back to replace the shard's column
+each with the list of its own distinct words; the words of all shards meet once in a global dictionary (a shard ships
+each of its words once, however often it occurs), and the dictionary's ids come back to replace the shard's column
 numbers. Row sums of a shard are the documents' words, its row lengths their distinct words. A document then is a set
 of failed filters; documents with equal sets are counted together, and all orders are read off those counts.
 
@@ -15,32 +15,46 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import permutations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from kbspark.llm.common import Steps, slices, table
+from kbspark.llm.common import Steps, slices, table, total
 
-SHARD_BYTES = 4 << 20  #: of text; a longer text is a shard by itself
+SHARD_BYTES = 8 << 20  #: of text; a longer text is a shard by itself
+BUCKET_WORDS = 1 << 20  #: words of all shards that are numbered together
 
 
-def _lists(schema: StructType) -> list[StructField]:
-    return [StructField(f.name, ArrayType(f.dataType)) for f in schema]
+def _pack(values, kind: str | None = None) -> bytes:
+    """Numbers below 2^32 in the narrowest width, compressed."""
+    a = np.asarray(values, np.int64)
+    kind = kind or ("<u1" if (most := int(a.max(initial=0))) < 1 << 8 else "<u2" if most < 1 << 16 else "<u4")
+    return kind.encode() + zstandard.compress(a.astype(kind).tobytes(), 1)
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(blob[3:]), blob[:3].decode())
 
 
 def local_shards(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """CSR shards of docs with column numbers of their own: shard, words, indptr, indices, counts and row, the list of
-    its documents' other columns (one struct each, so that no name can clash)."""
+    """CSR shards of docs with column numbers of their own: shard, n_columns, words, indptr, indices, counts and row, the
+    list of its documents' other columns (one struct each, so that no name can clash).
+
+    A shard's words are numbered by their checksum, so the words of any checksum range are a slice of `words`.
+    """
     docs = docs.select(F.struct(*(c for c in docs.columns if c != text)).alias("row"), F.col(text).cast("binary").alias("text"))
-    kept = docs.drop("text").schema
-    schema = StructType([*StructType.fromDDL("shard long, words array<binary>, indptr binary, indices binary, counts binary").fields, *_lists(kept)])
+    schema = StructType([*StructType.fromDDL("shard long, n_columns long, words binary, indptr binary, indices binary, counts binary").fields, StructField("row", ArrayType(docs.schema["row"].dataType))])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,77 +62,92 @@ def local_shards(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_B
 
         shard = TaskContext.get().partitionId() << 33
         column: dict[bytes, int] = {}
-        indptr, indices, counts, rows, held = [0], [], [], [], 0
+        indptr, indices, counts, rows, held = [0], array("I"), array("I"), [], 0
 
         def close() -> pa.RecordBatch:
-            beside = [pa.concat_arrays([r.column(n) for r in rows]) for n in kept.names]
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in beside]
-            binary = [pa.array([np.array(v, t).tobytes()], pa.binary()) for v, t in ((indptr, "<i8"), (indices, "<i4"), (counts, "<i4"))]
-            own = [pa.array([shard], pa.int64()), pa.array([list(column)], pa.list_(pa.binary())), *binary]
-            return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip([*own, *lists], arrow, strict=True)], schema=arrow)
+            words = list(column)
+            order = np.argsort(np.fromiter(map(crc32, words), np.uint32, len(words)), kind="stable")
+            number = np.empty(len(words), np.int64)
+            number[order] = np.arange(len(words))
+            blobs = [zstandard.compress(b" ".join([words[n] for n in order.tolist()]), 1), _pack(indptr), _pack(number[np.frombuffer(indices, np.uint32)]), _pack(np.frombuffer(counts, np.uint32))]
+            beside = pa.concat_arrays(rows)
+            own = [pa.array([shard], pa.int64()), pa.array([len(words)], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs), pa.ListArray.from_arrays(pa.array([0, len(beside)], pa.int32()), beside)]
+            return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(own, arrow, strict=True)], schema=arrow)
 
         for b in slices(batches, 64):
-            since = 0
+            since, row = 0, b.column("row")
             for n, t in enumerate(b.column("text").to_pylist(), 1):
                 found = Counter((t or b"").split())  # bytes split at \x20 and \x09 to \x0d only
-                indices += [column.setdefault(w, len(column)) for w in found]
-                counts += found.values()
+                indices.extend([column.setdefault(w, len(column)) for w in found])
+                counts.extend(found.values())
                 indptr.append(len(indices))
                 held += len(t or b"")
                 if held >= shard_bytes:
-                    rows.append(b.slice(since, n - since))
+                    rows.append(row.slice(since, n - since))
                     yield close()
-                    column, indptr, indices, counts, rows, held, shard, since = {}, [0], [], [], [], 0, shard + 1, n
+                    column, indptr, indices, counts, rows, held, shard, since = {}, [0], array("I"), array("I"), [], 0, shard + 1, n
             if since < b.num_rows:
-                rows.append(b.slice(since))
+                rows.append(row.slice(since))
         if rows:
             yield close()
 
     return docs.mapInArrow(run, schema)
 
 
-def dictionary(words: DataFrame, steps: Steps) -> DataFrame:
-    """word, id: the distinct words of words(word), numbered from 0 without gaps."""
-    at = F.monotonically_increasing_id()  # the writing task's number above its row's
-    found = steps.cut(words.distinct().select("word", F.shiftright(at, 33).alias("p"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("k")), "words")
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task that wrote
-    offsets = found.groupBy("p").agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return found.join(F.broadcast(offsets), "p").select("word", (F.col("offset") + F.col("k")).alias("id"))
+def _numbered(local: DataFrame, bits: int, dictionary: bool) -> DataFrame:
+    """The words of local shards under global ids: (shard, bucket, ids) or, as a dictionary, (word, id).
 
+    A bucket is a range of checksums. Each shard sends its slice of it once; the bucket's words are numbered as they
+    come in order of their shards, so both forms agree. An id is the bucket (upper 32 bits) and the number in it.
+    """
 
-def document_term_matrix(docs: DataFrame, steps: Steps, text: str = "text", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(shards, dictionary): CSR shards whose indices are the dictionary's ids (64 bits), with docs' other columns in row.
-
-    A row's columns stand in the order in which its document brings them.
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1):
+            shard, words = b.column("shard")[0].as_py(), zstandard.decompress(b.column("words")[0].as_py()).split(b" ")
+            bucket = np.fromiter(map(crc32, words), np.uint32, len(words)).astype(np.int64) >> (32 - bits)
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            blobs = [zstandard.compress(b" ".join(words[i:j]), 1) for i, j in zip(first.tolist(), [*first[1:].tolist(), len(words)], strict=True)]
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[first]), "shard": pa.array(np.full(len(first), shard)), "words": pa.array(blobs, pa.binary())})
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = None, {}
+        for b in slices(batches, 64):
+            ids, new = [], []
+            for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("words").to_pylist(), strict=True):
+                if bucket != held:
+                    held, known = bucket, {}
+                words, before = zstandard.decompress(blob).split(b" "), len(known)
+                ids.append(_pack([known.setdefault(w, len(known)) for w in words]))
+                if dictionary:
+                    new += [(w, (bucket << 32) | k) for w in words if (k := known[w]) >= before]
+            if dictionary:
+                yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in new], pa.binary()), "id": pa.array([k for _, k in new], pa.int64())})
+            else:
+                yield pa.RecordBatch.from_pydict({"shard": b.column("shard"), "bucket": b.column("bucket"), "ids": pa.array(ids, pa.binary())})
+
+    slices_of = local.where("n_columns > 0").select("shard", "words").mapInArrow(deal, "bucket long, shard long, words binary")
+    return slices_of.repartition("bucket").sortWithinPartitions("bucket", "shard").mapInArrow(number, "word binary, id long" if dictionary else "shard long, bucket long, ids binary")
+
+
+def document_term_matrix(docs: DataFrame, steps: Steps, text: str = "text", shard_bytes: int = SHARD_BYTES, bucket_words: int = BUCKET_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(shards, dictionary): CSR shards (shard, indptr, indices, counts, row) whose indices are the ids of dictionary(word, id),
+    with docs' other columns in row. A row's columns stand in the order in which its document brings them.
+
+    A task numbers at most about bucket_words words at once, however many there are: their number sets the buckets.
     """
     local = steps.cut(local_shards(docs, text, shard_bytes), "local-shards")
-    words = local.select("shard", F.posexplode("words").alias("pos", "word"))
-    known = dictionary(words.select("word"), steps)
-    numbered = words.join(known, "word").select("shard", "pos", "id")
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ids = None, []
-        for b in batches:
-            shard, new = b.column("shard").to_numpy(), b.column("id").to_numpy()
-            for part in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1) if len(shard) else ():
-                if shard[part[0]] != held:
-                    if ids:
-                        yield pa.RecordBatch.from_pydict({"shard": pa.array([held], pa.int64()), "ids": pa.array([np.concatenate(ids).astype("<i8").tobytes()], pa.binary())})
-                    held, ids = shard[part[0]], []
-                ids.append(new[part])
-        if ids:
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([held], pa.int64()), "ids": pa.array([np.concatenate(ids).astype("<i8").tobytes()], pa.binary())})
-
-    ids = numbered.repartition("shard").sortWithinPartitions("shard", "pos").mapInArrow(gather, "shard long, ids binary")
-    both = local.drop("words").join(ids, "shard", "left")  # a shard of empty texts has no ids
+    bits = max(0, math.ceil(math.log2(max(1, total(local, F.sum("n_columns")) / bucket_words))))
+    ids = _numbered(local, bits, False).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("bucket", "ids"))).alias("ids"))
+    both = local.select("shard", "indptr", "indices", "counts", "row").join(ids, "shard", "left")  # a shard of empty texts has no ids
 
     def globalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
-            mine, to = np.frombuffer(b.column("indices")[0].as_py(), "<i4"), np.frombuffer(b.column("ids")[0].as_py() or b"", "<i8")
-            b = b.set_column(b.schema.get_field_index("indices"), "indices", pa.array([to[mine].tobytes()], pa.binary()))
-            yield b.select([n for n in b.schema.names if n != "ids"])
+            to = [(x["bucket"] << 32) + unpack(x["ids"]).astype(np.int64) for x in b.column("ids")[0].as_py() or ()]
+            indices = np.concatenate([np.empty(0, np.int64), *to])[unpack(b.column("indices")[0].as_py())]
+            blobs = {"indices": indices.astype("<i8"), **{c: unpack(b.column(c)[0].as_py()).astype("<i8") for c in ("indptr", "counts")}}
+            yield pa.RecordBatch.from_pydict({"shard": b.column("shard"), **{c: pa.array([blobs[c].tobytes()], pa.binary()) for c in ("indptr", "indices", "counts")}, "row": b.column("row")})
 
-    return both.mapInArrow(globalise, StructType([f for f in both.schema if f.name != "ids"])), known
+    return both.mapInArrow(globalise, both.drop("ids").schema), _numbered(local, bits, True)
 
 
 def row_statistics(shards: DataFrame) -> DataFrame:
@@ -128,7 +157,7 @@ def row_statistics(shards: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
-            indptr, counts = np.frombuffer(b.column("indptr")[0].as_py(), "<i8"), np.frombuffer(b.column("counts")[0].as_py(), "<i4")
+            indptr, counts = np.frombuffer(b.column("indptr")[0].as_py(), "<i8"), np.frombuffer(b.column("counts")[0].as_py(), "<i8")
             indices = np.frombuffer(b.column("indices")[0].as_py(), "<i8")
             total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
             cells = np.concatenate([[0], np.cumsum(indices >= 0)])
