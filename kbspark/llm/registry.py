@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kbspark.llm import ann, bpe, decontam, filter_audit, fim, html_extract, lines, minhash, pii, token_counts, token_output, toxicity
+from kbspark.llm import ann, bpe, decontam, filter_audit, fim, html_extract, lines, minhash, mixing, pii, token_counts, token_output, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_token_output": token_output.op9_token_output,
         "op10_line_templates": lines.op10_line_templates,
+        "op11_mixing": mixing.op11_mixing,
         "op12_filter_audit": filter_audit.op12_filter_audit,
         "op13_fim": fim.op13_fim,
     }
@@ -36,4 +37,4 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash": NEAR_DUPLICATES, "op12_filter_audit": filter_audit.SQL, "op13_fim": fim.SQL}
+    return {"op4_minhash": NEAR_DUPLICATES, "op11_mixing": mixing.SQL, "op12_filter_audit": filter_audit.SQL, "op13_fim": fim.SQL}
