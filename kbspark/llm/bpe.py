@@ -58,11 +58,12 @@ class Vocabulary:
         """The pre-tokens in their plain characters; None where a special token's string occurs."""
         if "<|" in text and any(s in text for s in self.special):
             return None
-        if LATER.search(text):
+        small = text.lower()
+        if LATER.search(text) or LATER.search(small):  # some capitals below the limit have small letters beyond it
             text = self.tok.normalizer.normalize_str(text)
             alphabet = {c: b for b, c in self.byte.items()}
             return [bytes(alphabet[c] for c in w).decode("utf-8") for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)]
-        return WORD_SPLIT.findall(text.lower())
+        return WORD_SPLIT.findall(small)
 
     def merge(self, word: str) -> list[int]:
         """Exact merging: the pair of the lowest rank, leftmost first, again and again (a heap over linked parts)."""

@@ -41,6 +41,19 @@ def test_word_encoder_is_the_library():
         assert np.frombuffer(raw, "<u4").tolist() == ids and said == tok.decode(ids, skip_special_tokens=False)
 
 
+def test_word_encoder_is_the_library_for_every_low_character_and_later_ones():
+    """Every character below U+0250 alone and in words, random texts of these, and random texts of later ones."""
+    low, rng = [chr(c) for c in range(0x250)], np.random.default_rng(6)
+    later = [*"\u0250\u0307\u03a3\u03c2\u0130\u1e9e\u212a\u212b\u3042\u65e5\u0663\u2167\ufb01\u200d\u2003\u0345\U0001f600", *"aI '.9"]
+    many = [f(c) for c in low for f in (lambda c: c, lambda c: f"a{c}b", lambda c: f"LA{c}A{c} {c}{c}", lambda c: f"{c}'s9{c}")]
+    many += ["".join(rng.choice(low, rng.integers(1, 30))) for _ in range(5000)] + ["".join(rng.choice(low[:384] + later * 9, rng.integers(1, 20))) for _ in range(2000)]
+    tok, v = Tokenizer.from_file(WORDS), bpe.vocabulary(WORDS)
+    words = sorted({w for t in many for w in v.words(t) or ()})[::3]
+    got = bpe.WordEncoder(WORDS, bpe.compile_lexicon(words, [v.merge(w) for w in words])).encode_many(many)
+    wrong = [t for t, e, (raw, said) in zip(many, tok.encode_batch(many, add_special_tokens=False), got, strict=True) if np.frombuffer(raw, "<u4").tolist() != e.ids or said != tok.decode(e.ids, skip_special_tokens=False)]
+    assert wrong == []
+
+
 def test_bpe_over_odd_documents(spark, odd, none):
     tok = Tokenizer.from_file(WORDS)
     got = {r.doc_id: r for r in bpe.encode(odd, WORDS, 50).collect()}
