@@ -10,6 +10,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kbspark.operators import impact
+from kbspark.sources.shared import keep
+
 GROUP_ROWS = 4096  #: chunks of one item in one block of the blocked search
 
 
@@ -98,11 +101,15 @@ def dense_topk_blocked(queries: DataFrame, chunks: DataFrame, k: int = 5, digits
 
 
 def sparse_topk(query_postings: DataFrame, chunk_postings: DataFrame, k: int = 5, by_item: bool = True) -> DataFrame:
-    """Inner products over shared tokens of (query_id[, item_name], token, weight) and (chunk_id[, item_name], token, weight)."""
+    """Exact inner products over shared tokens of (query_id[, item_name], token, weight) and (chunk_id[, item_name], token, weight).
+
+    Pruned by impact levels (see impact.py), over the postings of the questions' tokens. For many batches of questions
+    over the same chunks, make one impact_index and search it.
+    """
     keys = ["item_name", "token"] if by_item else ["token"]
-    pairs = query_postings.withColumnRenamed("weight", "_q").join(chunk_postings.withColumnRenamed("weight", "_c"), keys)
-    scored = pairs.groupBy("query_id", "chunk_id").agg(F.sum(F.col("_q") * F.col("_c")).alias("score"))
-    return top_k(scored, k).select("query_id", "rank", "chunk_id", "score")
+    asked = keep(query_postings, "asked")
+    mine = chunk_postings.join(impact.sent(asked.select(*keys).distinct(), asked), keys, "left_semi")
+    return impact.search(asked, impact.impact_index(mine, by_item), k)
 
 
 def scale_cosine(s) -> Column:
