@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.operators import evaluation as ev
-from kbspark.operators import fusion, search
+from kbspark.operators import fusion, impact, search
 from kbspark.sources.io import check_gold
 from kbspark.sources.shared import keep
 
@@ -38,29 +38,43 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return q.join(c, "token").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("weight")).alias("tf"), F.count("*").alias("shared"), F.count_if("rare").alias("rare"))
 
 
-def hits(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
-    p = keep(pairs(spark, d), "pairs") if p is None else p
-    out = None
-    for source, score in (("vector", "tf"), ("hyde", "shared"), ("graph", "rare")):
-        one = search.top_k(p.where(F.col(score) > 0).select("query_id", "chunk_id", F.col(score).alias("score")), K).select("query_id", F.lit(source).alias("source"), "rank", "chunk_id", "score")
-        out = one if out is None else out.unionByName(one)
-    return out
+def kept_postings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Questions' postings, and documents' postings of their tokens (with df, the token's number of documents), made once."""
+    q, c = postings(spark, d)
+    q = keep(q, "asked")
+    tokens = q.select("token").distinct()
+    c = keep(c.join(impact.sent(tokens, q), "token", "left_semi"), "postings")
+    df = c.groupBy("token").agg(F.count("*").alias("df"))
+    return keep(q.join(df, "token", "left"), "asked-df"), c
+
+
+def hits(spark: SparkSession, d: str, kept: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """query_id, source, rank, chunk_id, score: each retriever's K best, searched with a bound where tokens are common."""
+    q, c = kept or kept_postings(spark, d)
+    one = lambda t: t.withColumn("weight", F.lit(1))
+    rare = q.where(F.col("df") <= RARE).select("query_id", "token")
+    few = rare.join(c, "token").groupBy("query_id", "chunk_id").agg(F.count("*").alias("score"))  # RARE rows a token at most
+    found = {"vector": search.sparse_topk(q, c, K, False), "hyde": search.sparse_topk(one(q), one(c), K, False), "graph": search.top_k(few, K)}
+    rows = [df.select("query_id", F.lit(source).alias("source"), "rank", "chunk_id", "score") for source, df in found.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-def gold(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
+def gold(spark: SparkSession, d: str, kept: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Gold questions with at least one gold document; category = parity of the question's length."""
-    q, _ = postings(spark, d)
-    sizes = q.groupBy("query_id").agg(F.count("*").alias("size"))
-    p = pairs(spark, d) if p is None else p
-    ids = p.join(sizes, "query_id").where("shared = size").groupBy("query_id").agg(F.array_sort(F.collect_set(F.col("chunk_id").cast("string"))).alias("gold_chunk_ids"))
+    q, c = kept or kept_postings(spark, d)
+    # A document with all tokens of a question has its rarest one: only those documents are looked at.
+    sizes = q.groupBy("query_id").agg(F.count("*").alias("size"), F.min_by("token", F.struct("df", "token")).alias("token"), F.count("df").alias("known"))
+    near = keep(sizes.where("size = known").join(c.select("token", "chunk_id"), "token").select("query_id", "size", "chunk_id"), "near")
+    shared = near.join(q.select("query_id", "token"), "query_id").join(c.select("token", "chunk_id"), ["token", "chunk_id"]).groupBy("query_id", "chunk_id", "size").agg(F.count("*").alias("shared"))
+    ids = shared.where("shared = size").groupBy("query_id").agg(F.array_sort(F.collect_set(F.col("chunk_id").cast("string"))).alias("gold_chunk_ids"))
     questions = spark.read.parquet(f"{d}/benchmark.parquet").join(ids.withColumnRenamed("query_id", "item_id"), "item_id", "left")
     rows = questions.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.lit("item").alias("item_name"), F.when(F.length("text") % 2 == 0, "even").otherwise("odd").alias("category"), "gold_chunk_ids")
     return check_gold(rows)[0].select("question_id", "category", "gold_chunk_ids")
 
 
-def modes(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
+def modes(spark: SparkSession, d: str, kept: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """mode, question_id, rank, chunk_id: the retrievers, their fusion, and the fusion cut at a cliff."""
-    h = keep(hits(spark, d, p), "hits")
+    h = keep(hits(spark, d, kept), "hits")
     fused = fusion.rrf(h)
     runs = h.where("rank <= 5").select(F.col("source").alias("mode"), "query_id", "rank", "chunk_id")
     runs = runs.unionByName(fused.where("rank <= 5").select(F.lit("rrf").alias("mode"), "query_id", "rank", "chunk_id"))
@@ -76,8 +90,8 @@ def flagship(spark, d):
 
 def _scores(spark, d) -> DataFrame:
     """Each question's measures in each mode, from one retrieval (kept while the query runs)."""
-    p = keep(pairs(spark, d), "pairs")
-    return ev.question_scores(modes(spark, d, p), gold(spark, d, p))
+    kept = kept_postings(spark, d)
+    return ev.question_scores(modes(spark, d, kept), gold(spark, d, kept))
 
 
 def _emb(spark, d):
@@ -171,9 +185,9 @@ def q_digest(spark, d):
 
 
 def q_pool(spark, d):
-    p = keep(pairs(spark, d), "pairs")
-    stages = hits(spark, d, p).where("rank <= 5").select(F.col("query_id").alias("question_id"), F.col("source").alias("stage"), "chunk_id")
-    return ev.pool_diagnostics(stages, gold(spark, d, p), "vector", ["hyde", "graph"])
+    kept = kept_postings(spark, d)
+    stages = hits(spark, d, kept).where("rank <= 5").select(F.col("query_id").alias("question_id"), F.col("source").alias("stage"), "chunk_id")
+    return ev.pool_diagnostics(stages, gold(spark, d, kept), "vector", ["hyde", "graph"])
 
 
 def q_prefix(spark, d):
@@ -185,7 +199,7 @@ def q_prefix(spark, d):
 def q_ablation(spark, d):
     """Modes A to G: A ranks by the cosine of the token vectors (squared, which keeps the order), B by their product."""
     p = keep(pairs(spark, d), "pairs")
-    h = keep(hits(spark, d, p), "hits")
+    h = keep(hits(spark, d), "hits")
     q, c = (t.groupBy(k).agg(F.sum(F.col("weight") * F.col("weight")).cast("double").alias(n)) for t, k, n in zip(postings(spark, d), ("query_id", "chunk_id"), ("qn", "cn"), strict=True))
     cosine = p.where("tf > 0").join(q, "query_id").join(c, "chunk_id").select("query_id", "chunk_id", (F.col("tf").cast("double") * F.col("tf") / (F.col("qn") * F.col("cn"))).alias("score"))
     dense = search.top_k(cosine, K).select("query_id", F.lit("dense").alias("source"), "rank", "chunk_id", "score")
@@ -194,9 +208,9 @@ def q_ablation(spark, d):
 
 
 def q_confirm(spark, d):
-    p = keep(pairs(spark, d), "pairs")
-    g = gold(spark, d, p).select(F.col("question_id").alias("query_id"), F.explode("gold_chunk_ids").alias("chunk_id"))
-    top = hits(spark, d, p).where("source = 'hyde' and rank = 1").withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    kept = kept_postings(spark, d)
+    g = gold(spark, d, kept).select(F.col("question_id").alias("query_id"), F.explode("gold_chunk_ids").alias("chunk_id"))
+    top = hits(spark, d, kept).where("source = 'hyde' and rank = 1").withColumn("chunk_id", F.col("chunk_id").cast("string"))
     seen = top.join(g.withColumn("confirmed", F.lit(True)), ["query_id", "chunk_id"], "left")
     return ev.confirm_rate(seen.select(F.coalesce("confirmed", F.lit(False)).alias("confirmed")))
 
