@@ -32,26 +32,28 @@ class Index(NamedTuple):
     keys: list[str]
 
 
-def sent(df: DataFrame, size: DataFrame | None = None) -> DataFrame:
-    """df to be sent to the executors if it (or the kept table `size`, of as many rows at least) is small enough."""
-    return F.broadcast(df) if (df if size is None else size).count() <= SENT_ROWS else df
+def sent(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df to be sent to the executors if its rows (counted, or `most` where a bound is known) are few enough."""
+    return F.broadcast(df) if (df.count() if most is None else most) <= SENT_ROWS else df
 
 
-def impact_index(chunk_postings: DataFrame, by_item: bool = True) -> Index:
-    """The index of (chunk_id[, item_name], token, weight), in the shared folder; it serves any number of searches."""
+def impact_index(chunk_postings: DataFrame, by_item: bool = True, write: bool = True) -> Index:
+    """The index of (chunk_id[, item_name], token, weight); written to the shared folder, it serves any number of searches.
+
+    With write=False it is worked out anew in each search (for one search over postings that are a table already).
+    """
     keys = ["item_name", "token"] if by_item else ["token"]
     size = F.abs(F.col("weight").cast("double"))
     level = F.when(size > 0, F.floor(4 * F.log2(size))).otherwise(-(1 << 20)).cast("int")
-    rows = chunk_postings.select(*keys, "chunk_id", "weight", level.alias("level")).dropna()
-    postings = keep(rows, "postings")
+    put = keep if write else lambda df, _: df
+    postings = put(chunk_postings.select(*keys, "chunk_id", "weight", level.alias("level")).dropna(), "postings")
     levels = postings.groupBy(*keys, "level").agg(F.count("*").alias("n"), F.max(F.abs(F.col("weight").cast("double"))).alias("top"))
-    return Index(postings, keep(levels, "levels"), keys)
+    return Index(postings, put(levels, "levels"), keys)
 
 
-def _scores(pairs: DataFrame, terms: DataFrame, index: Index) -> DataFrame:
-    """Full scores of pairs(query_id, chunk_id)."""
-    wanted = keep(pairs.join(terms, "query_id"), "wanted")
-    met = index.postings.join(sent(wanted), [*index.keys, "chunk_id"])
+def _scores(wanted: DataFrame, index: Index) -> DataFrame:
+    """Full scores of pairs, given as wanted(query_id, chunk_id, keys, _q): a row for each token of the question."""
+    met = index.postings.join(wanted, [*index.keys, "chunk_id"])
     return met.groupBy("query_id", "chunk_id").agg(F.sum(F.col("_q") * F.col("weight")).alias("score"))
 
 
@@ -61,13 +63,17 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
 
 
 def search(query_postings: DataFrame, index: Index, k: int = 5) -> DataFrame:
-    """query_id, rank, chunk_id, score: the k chunks of the largest inner product for each question; ties to the smaller chunk_id."""
+    """query_id, rank, chunk_id, score: the k chunks of the largest inner product for each question; ties to the smaller chunk_id.
+
+    query_postings is read several times: give a table.
+    """
     keys, group = index.keys, ["query_id", *index.keys[:-1]]  # a chunk has one item, so bounds are kept for each item of a question
-    terms = keep(query_postings.select("query_id", *keys, F.col("weight").alias("_q")).dropna(), "terms")
+    terms = query_postings.select("query_id", *keys, F.col("weight").alias("_q")).dropna()
+    n_terms = terms.count()
     mine, whole = Window.partitionBy("query_id", *keys).orderBy(F.desc("level")), Window.partitionBy(*group)
     ordered = whole.orderBy(F.desc("gain"), "token", F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
     bound = F.abs(F.col("_q").cast("double")) * F.col("top")
-    steps = index.levels.join(sent(terms), keys).withColumn("bound", bound)
+    steps = index.levels.join(sent(terms, n_terms), keys).withColumn("bound", bound)
     steps = steps.withColumn("lowers", F.col("bound") - F.coalesce(F.lead("bound").over(mine), F.lit(0.0)))
     # A level comes after those above it, so its gain counts as theirs at most.
     steps = steps.withColumn("gain", F.min(F.col("lowers") / F.col("n")).over(mine))
@@ -77,12 +83,12 @@ def search(query_postings: DataFrame, index: Index, k: int = 5) -> DataFrame:
 
     first = steps.where(F.col("read") < FIRST * k).select("query_id", *keys, "_q", "level")
     met = index.postings.join(sent(first), [*keys, "level"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("_q") * F.col("weight")).alias("score"))
-    seeds = _scores(_best(met, 2 * k).select("query_id", "chunk_id"), terms, index)
+    seeds = _scores(sent(_best(met, 2 * k).select("query_id", "chunk_id").join(sent(terms, n_terms), "query_id"), 2 * k * n_terms), index)
     least = _best(seeds, k).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("least"))
     least = least.withColumn("least", F.when(F.col("least") > 0, F.col("least") * (1 - SLACK)))
 
     needed = F.col("least").isNull() | (F.col("left") * (1 + SLACK) >= F.col("least"))
-    chosen = steps.join(sent(least, terms), "query_id", "left").withColumn("needed", needed)
+    chosen = steps.join(sent(least, n_terms), "query_id", "left").withColumn("needed", needed)
     chosen = chosen.withColumn("unread", F.coalesce(F.max(F.when(~F.col("needed"), F.col("bound"))).over(Window.partitionBy("query_id", *keys)), F.lit(0.0)))
     rest = chosen.groupBy(*group, "token").agg(F.max("unread").alias("unread")).groupBy(*group).agg(F.sum("unread").alias("rest"))
     chosen = keep(chosen.where("needed").join(rest, group).select("query_id", *keys, "_q", "level", "unread", "rest", "least"), "chosen")
@@ -90,4 +96,5 @@ def search(query_postings: DataFrame, index: Index, k: int = 5) -> DataFrame:
     over = F.sum((F.col("_q") * F.col("weight")).cast("double") - F.col("unread")) + F.first("rest")
     seen = index.postings.join(sent(chosen), [*keys, "level"]).groupBy("query_id", "chunk_id").agg(over.alias("most"), F.first("least").alias("least"))
     able = seen.where(F.col("least").isNull() | (F.col("most") * (1 + SLACK) + SLACK >= F.col("least"))).select("query_id", "chunk_id")
-    return _best(_scores(able, terms, index), k).select("query_id", "rank", "chunk_id", "score")
+    wanted = keep(able.join(sent(terms, n_terms), "query_id"), "wanted")
+    return _best(_scores(sent(wanted), index), k).select("query_id", "rank", "chunk_id", "score")

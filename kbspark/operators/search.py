@@ -108,8 +108,8 @@ def sparse_topk(query_postings: DataFrame, chunk_postings: DataFrame, k: int = 5
     """
     keys = ["item_name", "token"] if by_item else ["token"]
     asked = keep(query_postings, "asked")
-    mine = chunk_postings.join(impact.sent(asked.select(*keys).distinct(), asked), keys, "left_semi")
-    return impact.search(asked, impact.impact_index(mine, by_item), k)
+    mine = chunk_postings.join(impact.sent(asked.select(*keys).distinct(), asked.count()), keys, "left_semi")
+    return impact.search(asked, impact.impact_index(keep(mine, "postings"), by_item, write=False), k)
 
 
 def scale_cosine(s) -> Column:

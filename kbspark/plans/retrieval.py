@@ -43,7 +43,7 @@ def kept_postings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     q, c = postings(spark, d)
     q = keep(q, "asked")
     tokens = q.select("token").distinct()
-    c = keep(c.join(impact.sent(tokens, q), "token", "left_semi"), "postings")
+    c = keep(c.join(impact.sent(tokens, q.count()), "token", "left_semi"), "postings")
     df = c.groupBy("token").agg(F.count("*").alias("df"))
     return keep(q.join(df, "token", "left"), "asked-df"), c
 
@@ -52,9 +52,10 @@ def hits(spark: SparkSession, d: str, kept: tuple[DataFrame, DataFrame] | None =
     """query_id, source, rank, chunk_id, score: each retriever's K best, searched with a bound where tokens are common."""
     q, c = kept or kept_postings(spark, d)
     one = lambda t: t.withColumn("weight", F.lit(1))
+    best = lambda q, c: impact.search(q, impact.impact_index(c, False, write=False), K)
     rare = q.where(F.col("df") <= RARE).select("query_id", "token")
     few = rare.join(c, "token").groupBy("query_id", "chunk_id").agg(F.count("*").alias("score"))  # RARE rows a token at most
-    found = {"vector": search.sparse_topk(q, c, K, False), "hyde": search.sparse_topk(one(q), one(c), K, False), "graph": search.top_k(few, K)}
+    found = {"vector": best(q, c), "hyde": best(one(q), one(c)), "graph": search.top_k(few, K)}
     rows = [df.select("query_id", F.lit(source).alias("source"), "rank", "chunk_id", "score") for source, df in found.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
