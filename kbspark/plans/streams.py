@@ -39,13 +39,13 @@ def _writer():
     def model(prompt: str) -> str:
         if prompt.startswith("A"):
             raise ValueError("refused")
-        return prompt[:5].upper()
+        return prompt[:5] + "!"
 
     return model
 
 
 def q_generate(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("lang = 'en'").select("doc_id", "text")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
     return models.generate(docs, "text", _writer, retries=2).select("doc_id", "response")
 
 
@@ -69,11 +69,12 @@ def _stream_of(spark, rows, what):
 
 
 def q_ingest(spark, d):
-    """Documents arrive as files, are chunked once for each content, and are marked done."""
+    """Documents arrive as files, are chunked once for each content, and are marked done; documents without chunks show none."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.format_string("/in/%012d.md", "doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
     out = new_path(spark, "ingest")
     state.ingest_stream(_stream_of(spark, docs, "arrivals"), f"{out}/chunks", f"{out}/ledger", f"{out}/checkpoint").awaitTermination()
-    return state.read_ledger(spark, f"{out}/ledger").select("sha256", "path", "status")
+    chunks = state.read_chunks(spark, f"{out}/chunks", f"{out}/ledger").select(F.col("doc_id").alias("sha256")).distinct().withColumn("chunked", F.lit(True))
+    return state.read_ledger(spark, f"{out}/ledger").join(chunks, "sha256", "left").select("sha256", "path", "status", F.coalesce("chunked", F.lit(False)).alias("chunked"))
 
 
 def q_clarify_stream(spark, d):
@@ -96,7 +97,7 @@ QUERIES = {"encode": q_encode, "hyde_topk": q_hyde, "generate": q_generate, "ing
 SQL = {
     "ttl_cache_stream": chats.SQL["ttl_cache"],
     "encode": "SELECT doc_id, length(text)::DOUBLE AS first, CAST(length(text) % 10 AS INTEGER) AS token FROM documents",
-    "generate": "SELECT doc_id, CASE WHEN starts_with(text, 'A') THEN '' ELSE upper(substring(text, 1, 5)) END AS response FROM documents WHERE lang = 'en'",
-    "ingest_stream": "WITH f AS (SELECT '/in/' || lpad(doc_id::VARCHAR, 12, '0') || '.md' AS path, sha256(text) AS sha256 FROM documents) SELECT sha256, min(path) AS path, 'completed' AS status FROM f GROUP BY sha256",
+    "generate": "SELECT doc_id, CASE WHEN starts_with(text, 'A') THEN '' ELSE substring(text, 1, 5) || '!' END AS response FROM documents",
+    "ingest_stream": "WITH f AS (SELECT '/in/' || lpad(doc_id::VARCHAR, 12, '0') || '.md' AS path, sha256(text) AS sha256 FROM documents) SELECT f.sha256, min(path) AS path, 'completed' AS status, bool_or(d.text <> '') AS chunked FROM f JOIN documents d ON path = '/in/' || lpad(doc_id::VARCHAR, 12, '0') || '.md' GROUP BY f.sha256",
     "history_stream": "WITH r AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations QUALIFY n <= 4) SELECT session_id, string_agg(session_id || '-' || turn, '|' ORDER BY turn) AS history FROM r GROUP BY session_id",
 }

@@ -44,13 +44,30 @@ def read_gold(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return check_gold(spark.read.schema(GOLD).json(path, multiLine=True))
 
 
-def write_chunks(chunks: DataFrame, path: str, mode: str = "append", rows_per_file: int = 200_000) -> None:
+def _row_bytes(rows: DataFrame):
+    """About how many bytes a row has: its strings and binaries, and eight for every other value it holds."""
+    total = F.lit(0).cast("long")
+    for f in rows.schema:
+        kind, c = f.dataType, F.col(f"`{f.name}`")
+        size = F.octet_length(c) if isinstance(kind, T.StringType | T.BinaryType) else 8 * F.size(c) if isinstance(kind, T.ArrayType) else 16 * F.size(c) if isinstance(kind, T.MapType) else F.lit(8)
+        total = total + F.greatest(F.coalesce(size, F.lit(0)), F.lit(0))
+    return total
+
+
+def _hashed(kind: T.DataType) -> bool:
+    """Whether Spark hashes values of the type (maps and variants have no hash)."""
+    return not any(x in kind.simpleString() for x in ("map<", "variant"))
+
+
+def write_chunks(chunks: DataFrame, path: str, mode: str = "append", bytes_per_file: int = 128 << 20) -> None:
     """Add chunks to the store, or start it anew (mode 'overwrite'); one folder for each item.
 
-    An item's rows are dealt to as many tasks as it has files of about rows_per_file rows; a small item is one file.
+    An item's rows are dealt to as many tasks as it has files of about bytes_per_file; a small item is one file. They are dealt by
+    a hash of what can be hashed of a row (chunks carry sparse vectors, which are maps); rows equal in all that go to one file.
     """
-    files = chunks.groupBy(F.col("item_name").alias("_item")).agg(F.ceil(F.count("*") / rows_per_file).alias("_files"))
-    dealt = chunks.join(files, F.col("item_name").eqNullSafe(F.col("_item"))).withColumn("_salt", F.pmod(F.xxhash64(*chunks.columns), F.col("_files")))
+    files = chunks.groupBy(F.col("item_name").alias("_item")).agg(F.greatest(F.lit(1), F.ceil(F.sum(_row_bytes(chunks)) / bytes_per_file)).alias("_files"))
+    by = [F.col(f"`{f.name}`") for f in chunks.schema if _hashed(f.dataType)]
+    dealt = chunks.join(files, F.col("item_name").eqNullSafe(F.col("_item"))).withColumn("_salt", F.pmod(F.xxhash64(*by), F.col("_files")))
     dealt.repartition("item_name", "_salt").select(*chunks.columns).write.mode(mode).partitionBy("item_name").parquet(path)
 
 

@@ -4,7 +4,7 @@ import json
 import pyarrow.parquet as pq
 
 from kbspark.operators import evaluation as ev
-from kbspark.operators import fusion, search
+from kbspark.operators import fusion, models, search
 from kbspark.sources import io
 
 
@@ -32,7 +32,7 @@ def test_read_gold(spark, tmp_path):
 def test_write_chunks(spark, tmp_path):
     chunks = spark.createDataFrame([("hot", n, "t") for n in range(90)] + [("one", 900, "t"), (None, 901, "t")], "item_name string, chunk_id long, text string")
     path = str(tmp_path / "store")
-    io.write_chunks(chunks, path, rows_per_file=10)
+    io.write_chunks(chunks, path, bytes_per_file=200)
     io.write_chunks(spark.createDataFrame([("one", 902, "u")], chunks.schema), path)
     back = spark.read.parquet(path)
     assert sorted((r.item_name or "", r.chunk_id) for r in back.collect()) == sorted([("hot", n) for n in range(90)] + [("one", 900), ("one", 902), ("", 901)])
@@ -41,6 +41,19 @@ def test_write_chunks(spark, tmp_path):
     assert spark.read.parquet(path).count() == 1
 
 
+def test_chunks_with_vectors_go_out_and_come_back(spark, tmp_path):
+    rows = [("a", n, f"text {n}", [0.5 * n, 1.0], {n: 0.25, 7: 1.0}) for n in range(20)] + [("b", 99, None, None, None)]
+    chunks = spark.createDataFrame(rows, "item_name string, chunk_id long, content string, dense array<float>, sparse map<int,double>")
+    io.write_chunks(models.encode(chunks.drop("dense", "sparse"), "content", lambda: lambda texts: ([[1.0, 2.0]] * len(texts), [{3: 0.5}] * len(texts))), str(tmp_path / "encoded"))
+    assert spark.read.parquet(str(tmp_path / "encoded")).where("element_at(sparse, 3) = 0.5").count() >= 20
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    io.write_chunks(chunks, str(tmp_path / "store"), bytes_per_file=300)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = spark.read.parquet(str(tmp_path / "store")).select(*chunks.columns)
+    assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, map(tuple, chunks.collect())))
+    assert len(list((tmp_path / "store" / "item_name=a").glob("*.parquet"))) > 1
+
+
 def test_write_json(spark, tmp_path):
     for text in ("old", 'two\nlines "é"'):
         io.write_json(spark.createDataFrame([(1, text, None)], "id long, text string, gone string"), str(tmp_path / "out"))
