@@ -6,13 +6,14 @@ matches: query_id, extracted_name, pos (of the name), item_name, score.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType, TimestampType
 
 from kbspark.functions.text import NUMBERED, ORDINALS, canonical_key
+from kbspark.sources.shared import keep
 
 HIGH, MID = 0.7, 0.6
 # What is said when a choice is open, cancelled or unclear, and when no item is known.
@@ -187,23 +188,55 @@ def ttl_step(written: float | None, ts: float, ttl: float) -> tuple[float, bool]
     return (written, True) if written is not None and ts - written < ttl else (ts, False)
 
 
-def ttl_cache(requests: DataFrame, ttl: float = TTL_SECONDS) -> DataFrame:
-    """request_id, key, ts, hit of requests(request_id, key, ts), each key's requests in order of time."""
+CELLS = 64  #: cells of time in one life of an entry
+
+
+def _first_from(points: DataFrame, offsets: dict[str, int], width: int) -> DataFrame:
+    """points(entry, us) with, for each named offset, the entry's first point at us + offset or later (null if none).
 
-    def fold(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        # rows come sorted by key and time, so one entry is all the state, however many requests a key has
-        key, written = None, None
-        for f in frames:
-            hits = []
-            for k, s in zip(f["key"], f["ts"].astype("int64" if str(f["ts"].dtype)[:8] != "datetime" else "datetime64[us]").astype("int64") / 1e6, strict=True):
-                if k != key:
-                    key, written = k, None
-                written, hit = ttl_step(written, s, ttl)
-                hits.append(hit)
-            yield f.assign(hit=hits)[["request_id", "key", "ts", "hit"]]
+    Time is cut into cells of `width`. Points and the moments that are asked for meet in their cell; where the
+    cell has no later point, the first point of the entry's next cell with points is the one. So no window holds more than a cell.
+    """
+    asked = F.explode(F.array(F.struct(F.lit(None).cast("string").alias("name"), F.col("us").alias("at")), *(F.struct(F.lit(n).alias("name"), (F.col("us") + o).alias("at")) for n, o in offsets.items())))
+    both = points.select("entry", "us", asked.alias("x")).select("entry", "us", "x.*").withColumn("cell", F.floor(F.col("at") / width))
+    point = F.when(F.col("name").isNull(), F.col("us"))
+    back = Window.partitionBy("entry", "cell").orderBy(F.desc("at"), F.col("name").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("here", F.min(point).over(back)).where("name is not null")
+    # Cells, not points: as many as the entry's time has.
+    later = Window.partitionBy("entry").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = both.groupBy("entry", "cell").agg(F.min(point).alias("first")).select("entry", "cell", F.min("first").over(later).alias("after"))
+    found = met.join(cells, ["entry", "cell"]).withColumn("first", F.coalesce("here", "after"))
+    return found.groupBy("entry", "us").agg(*(F.max(F.when(F.col("name") == n, F.col("first"))).alias(n) for n in offsets))
 
-    rows = requests.select("request_id", "key", "ts").repartition("key").sortWithinPartitions("key", "ts", "request_id")
-    types = dict(requests.dtypes)
-    return rows.mapInPandas(fold, f"request_id {types['request_id']}, key {types['key']}, ts {types['ts']}, hit boolean")
 
+def ttl_cache(requests: DataFrame, ttl: float = TTL_SECONDS) -> DataFrame:
+    """request_id, key, ts, hit of requests(request_id, key, ts): whether a request finds its key's entry, written at most ttl seconds before.
 
+    A request with none of its key in the life before it surely writes the entry, and so does the first request past the life of each written
+    one; all others hit. Every moment of a key is linked to the first one past its life, and the links from the sure writes are followed by
+    doubling, so a key with most of all requests is worked on by as many tasks as any. Of requests of one moment the smallest request_id writes. A null key is a key; a request without
+    a time never hits and writes nothing.
+    """
+    life = round(ttl * 1_000_000)
+    timed = isinstance(requests.schema["ts"].dataType, TimestampType | TimestampNTZType)
+    us = F.unix_micros(F.col("ts").cast("timestamp")) if timed else F.col("ts").cast("long")
+    rows = requests.select("request_id", "key", "ts", F.struct("key").alias("entry"), us.alias("us"))
+    never = rows.where("us is null" if life > 0 else "true").select("request_id", "key", "ts", F.lit(False).alias("hit"))
+    if life <= 0:
+        return never
+    rows = rows.where("us is not null")
+    points = rows.select("entry", "us").distinct()
+    moments = keep(_first_from(points, {"next": life, "near": 1 - life}, max(1, life // CELLS)), "links")
+    links = moments.where("next is not null").select("entry", "us", "next")
+    reached = moments.where("near = us").select("entry", "us")
+    while True:
+        found = reached.join(links, ["entry", "us"]).select("entry", F.col("next").alias("us"))
+        both = keep(reached.unionByName(found).distinct(), "written")
+        if both.count() == reached.count():
+            break
+        reached = both
+        on = links.select("entry", F.col("us").alias("next"), F.col("next").alias("far"))
+        links = keep(links.join(on, ["entry", "next"]).select("entry", "us", F.col("far").alias("next")), "links")
+    place = F.row_number().over(Window.partitionBy("entry", "us").orderBy("request_id"))
+    told = rows.withColumn("place", place).join(reached.withColumn("writes", F.lit(True)), ["entry", "us"], "left")
+    return told.select("request_id", "key", "ts", (F.col("writes").isNull() | (F.col("place") > 1)).alias("hit")).unionByName(never)
