@@ -62,18 +62,23 @@ def compare_modes(runs: DataFrame) -> DataFrame:
     return rows.groupBy("mode_a", "mode_b").agg(F.count_if(differs).alias("different")).withColumn("identical", F.col("different") == 0)
 
 
-def sequence_digest(runs: DataFrame) -> DataFrame:
-    """mode, digest: equal for equal lists of all questions.
+def sequence_digest(runs: DataFrame, questions: DataFrame, bits: int = 10) -> DataFrame:
+    """mode, digest: equal for equal lists of all questions in the same order; questions(question_id, pos) gives the order.
 
-    Each question's compact JSON [question_id, [ids]] is hashed by itself (SHA-256); the digest is the SHA-256 of
-    the number of questions and the sums of four 60-bit parts of these hashes. Sums are made before the shuffle,
-    so a mode of any size is never one group, and the id inside each hash ties a list to its question.
+    A tree over the positions: a leaf is the SHA-256 of the compact JSON [question_id, [ids]]; a node is that of its
+    children's places and hashes in order, at most 2^bits of them, up to one node for each mode. A question without rows
+    in a mode is a missing leaf. No group ever holds more than a node's children, and an exchange of two questions changes the hashes above them.
     """
     text = F.concat(F.lit('["'), F.col("question_id").cast("string"), F.lit('",'), F.to_json("ids"), F.lit("]"))
-    one = ordered_ids(runs).select("mode", F.sha2(text, 256).alias("x"))
-    part = lambda at: F.sum(F.conv(F.substring("x", at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
-    sums = one.groupBy("mode").agg(F.count("*").cast("string").alias("n"), *[part(at).alias(f"p{at}") for at in (1, 16, 31, 46)])
-    return sums.select("mode", F.sha2(F.concat_ws(":", "n", "p1", "p16", "p31", "p46"), 256).alias("digest"))
+    nodes = ordered_ids(runs).join(questions.select("question_id", F.col("pos").cast("long").alias("pos")), "question_id").select("mode", "pos", F.sha2(text, 256).alias("x"))
+    most = questions.agg(F.max("pos")).first()[0] or 0
+    while True:
+        child = F.struct(F.col("pos").bitwiseAND(F.lit((1 << bits) - 1)).alias("pos"), "x")
+        line = F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda c: F.concat_ws(":", c["pos"].cast("string"), c["x"])), ",")
+        nodes = nodes.groupBy("mode", F.shiftright("pos", bits).alias("pos")).agg(F.sha2(line, 256).alias("x"))
+        most >>= bits
+        if not most:
+            return nodes.select("mode", F.col("x").alias("digest"))
 
 
 def pool_diagnostics(stage_hits: DataFrame, gold: DataFrame, base: str, more: list[str]) -> DataFrame:

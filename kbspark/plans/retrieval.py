@@ -182,7 +182,8 @@ def q_compare(spark, d):
 
 
 def q_digest(spark, d):
-    return ev.sequence_digest(modes(spark, d))
+    """Questions in the order of their ids."""
+    return ev.sequence_digest(modes(spark, d), spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("question_id"), F.col("item_id").alias("pos")))
 
 
 def q_pool(spark, d):
@@ -298,10 +299,8 @@ UNION ALL SELECT page_id, 'web', NULL, url, length(CASE WHEN page_id % 2 = 1 THE
 SELECT a.mode AS mode_a, b.mode AS mode_b, count(*) FILTER (WHERE x.ids IS DISTINCT FROM y.ids) AS different, count(*) FILTER (WHERE x.ids IS DISTINCT FROM y.ids) = 0 AS identical
 FROM m a JOIN m b ON a.mode < b.mode CROSS JOIN q LEFT JOIN l x ON x.mode = a.mode AND x.question_id = q.question_id LEFT JOIN l y ON y.mode = b.mode AND y.question_id = q.question_id GROUP BY a.mode, b.mode""",
     "sequence_digest": _HITS + _CUT + """, k AS (SELECT mode, question_id, string_agg(CAST(chunk_id AS VARCHAR), '","' ORDER BY rank) AS ids FROM runs GROUP BY mode, question_id),
-l AS (SELECT mode, question_id, '["' || question_id || '",["' || ids || '"]]' AS t FROM k),
-h AS (SELECT mode, sha256(t) AS x FROM l), p AS (SELECT mode, x, unnest([1, 16, 31, 46]) AS pos FROM h),
-s AS (SELECT mode, pos, CAST(sum(('0x' || substr(x, pos, 15))::BIGINT) AS VARCHAR) AS v, count(*) AS n FROM p GROUP BY mode, pos)
-SELECT mode, sha256(min(n) || ':' || string_agg(v, ':' ORDER BY pos)) AS digest FROM s GROUP BY mode""",
+l AS (SELECT mode, question_id, sha256('["' || question_id || '",["' || ids || '"]]') AS x FROM k)
+SELECT mode, sha256(string_agg(question_id || ':' || x, ',' ORDER BY question_id)) AS digest FROM l GROUP BY mode""",
     "pool_diagnostics": _HITS + _CUT + _GOLD + """, f AS (SELECT g.question_id, g.chunk_id, coalesce(bool_or(source = 'vector'), false) AS v, coalesce(bool_or(source = 'hyde'), false) AS h, coalesce(bool_or(source = 'graph'), false) AS k
   FROM gold g LEFT JOIN hits ON query_id = g.question_id AND hits.chunk_id = g.chunk_id AND rank <= 5 GROUP BY ALL),
 p AS (SELECT question_id, avg(v::INT) AS r0, avg((v OR h)::INT) AS r1, avg((v OR h OR k)::INT) AS r2, bool_or(v) AS n0, bool_or(h AND NOT v) AS n1, bool_or(k AND NOT v AND NOT h) AS n2 FROM f GROUP BY question_id)

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import numpy as np
 import pytest
 
@@ -59,3 +60,19 @@ def test_graph_cleaning(spark):
     entities = graph.clean_entities(parsed)
     assert {r.name for r in entities.collect()} == {"pump", "valve with a ve"} and rejected.count() == 2
     assert [(r.head, r.type, r.tail) for r in graph.clean_relations(parsed, entities).collect()] == [("pump", "RELATED_TO", "valve with a ve")]
+
+
+def test_sequence_digest_knows_the_order_of_the_questions(spark):
+    rows = [(m, q, r, f"c{(q * r) % 7}") for m in ("A", "B") for q in range(40) for r in (1, 2, 3)]
+    runs = spark.createDataFrame(rows, "mode string, question_id long, rank int, chunk_id string")
+    place = lambda f: spark.createDataFrame([(q, f(q)) for q in range(40)], "question_id long, pos long")
+    digest = lambda runs, f=lambda q: q, bits=2: {r.mode: r.digest for r in ev.sequence_digest(runs, place(f), bits).collect()}
+    one = digest(runs)
+    assert one["A"] == one["B"] and one == digest(runs.repartition(7, "rank"))
+    swapped = digest(runs, lambda q: {3: 30, 30: 3}.get(q, q))
+    assert swapped["A"] == swapped["B"] != one["A"]
+    other = digest(runs.withColumn("chunk_id", F.expr("CASE WHEN mode = 'B' AND question_id = 17 AND rank = 3 THEN 'x' ELSE chunk_id END")))
+    assert other["A"] == one["A"] != other["B"]
+    assert digest(runs.where("question_id <> 39 OR mode = 'A'"))["B"] != one["B"]
+    assert digest(runs, bits=10)["A"] != digest(runs, lambda q: 39 - q, 10)["A"]
+    assert digest(runs.where("false")) == {}
