@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kbspark.sources.shared import keep
+
 from kbspark.functions.text import parse_model_json
 
 # The kinds of entities and relations, and the form of a model's answer.
@@ -75,8 +77,28 @@ def entity_records(entities: DataFrame, chunks: DataFrame, vectors: DataFrame |
     return out if vectors is None else out.join(vectors, "entity_name")
 
 
+def hybrid_candidates(names: DataFrame, records: DataFrame, query_items: DataFrame, k: int = 5, weights: tuple[float, float] = (0.4, 0.6), digits: int | None = None) -> DataFrame:
+    """query_id, name, item_name, entity, score: the k entities nearest to each of names(query_id, name, dense, sparse) by both vectors.
+
+    Searched among records(item_name, entity, dense, sparse) of the items in query_items(query_id, item_name): k by cosine in blocks, k by
+    inner product over postings, then k of the weighted sums of their scaled scores. Records of one entity in one item count once.
+    """
+    from kbspark.operators import search
+
+    one = records.groupBy("item_name", "entity").agg(F.first("dense", True).alias("dense"), F.first("sparse", True).alias("sparse"))
+    stored = keep(one.withColumn("chunk_id", F.to_json(F.struct("item_name", "entity"))), "records")
+    asked = names.dropDuplicates(["query_id", "name"]).join(query_items.select("query_id", "item_name").distinct(), "query_id")
+    asked = keep(asked.select(F.to_json(F.struct("query_id", "name")).alias("id"), "query_id", "name", "item_name", "dense", "sparse"), "names")
+    by = asked.drop("query_id", "name").withColumnRenamed("id", "query_id")
+    dense = search.dense_topk_blocked(by.where("dense is not null"), stored.where("dense is not null"), k, digits)
+    terms, postings = (search.to_postings(t.where("sparse is not null").select(key, "item_name", "sparse")) for t, key in ((by, "query_id"), (stored, "chunk_id")))
+    best = search.hybrid_topk(dense, search.sparse_topk(terms, postings, k), weights, True, k).withColumnRenamed("query_id", "id")
+    found = best.join(asked.select("id", "query_id", "name").distinct(), "id").join(stored.select("chunk_id", "item_name", "entity"), "chunk_id")
+    return found.select("query_id", "name", "item_name", "entity", "score")
+
+
 def align_entities(names: DataFrame, scored: DataFrame, min_score: float = 0.5, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(aligned, misses) of names(query_id, name, pos): the best entity of each item among a name's k best of scored(query_id, name, item_name, entity, score)."""
+    """(aligned, misses) of names(query_id, name, pos), with hybrid_candidates as scored: the best entity of each item among a name's k best of scored(query_id, name, item_name, entity, score)."""
     top = Window.partitionBy("query_id", "name").orderBy(F.desc("score"), "item_name", "entity")
     best = Window.partitionBy("query_id", "name", "item_name").orderBy(F.desc("score"), "entity")
     near = scored.withColumn("_k", F.row_number().over(top)).where(F.col("_k") <= k).withColumn("_b", F.row_number().over(best)).where("_b = 1").drop("_k", "_b")

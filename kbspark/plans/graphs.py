@@ -108,15 +108,37 @@ def q_triples(spark, d):
     return graph.graph_search(probes(spark, d), *_parts(spark, d))[1].select("query_id", "place", "text")
 
 
+def _name_encoder():
+    """A stand-in encoder of names: counts of eight letters; words by first character and length."""
+
+    def sparse(text: str) -> dict[int, float]:
+        out: dict[int, float] = {}
+        for w in filter(None, text.split(" ")):
+            out[100 * ord(w[0]) + len(w)] = out.get(100 * ord(w[0]) + len(w), 0.0) + 1.0
+        return out
+
+    return lambda texts: ([[1.0 + t.count(c) for c in "aeinorst"] for t in texts], [sparse(t) for t in texts])
+
+
+def _aligned(spark, d):
+    """Every part asks by a cut name and by its brand, in its type's item; every tenth one in an item that nothing is stored under."""
+    from kbspark.operators import models
+
+    nodes = _parts(spark, d)[0].select("item_name", F.col("name").alias("entity"))
+    records = models.encode(nodes, "entity", _name_encoder)
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_partkey") % 10 == 3, F.concat("p_type", F.lit("?"))).otherwise(F.col("p_type")).alias("item_name"), "p_brand", F.concat_ws(" ", "p_brand", "p_name").alias("whole"))
+    cut = F.when(F.col("query_id") % 2 == 0, F.substring("whole", 1, 15)).otherwise(F.lower(F.substring("whole", 1, 12)))
+    names = p.select("query_id", F.posexplode(F.array(cut, F.lower("p_brand"))).alias("pos", "name"))
+    scored = graph.hybrid_candidates(models.encode(names, "name", _name_encoder), records, p.select("query_id", "item_name"), digits=9)
+    return graph.align_entities(names, keep(scored, "scored"))
+
+
 def q_align(spark, d):
-    """Names aligned by the share of their letters that an entity of the item starts with."""
-    nodes = _parts(spark, d)[0]
-    asked = probes(spark, d).groupBy("query_id", "item_name").agg(F.min(F.struct("place", "entity")).alias("x")).select("query_id", "item_name", "x.place", F.col("x.entity").alias("name"))
-    pairs = asked.join(nodes.select("item_name", F.col("name").alias("entity")), "item_name")
-    score = F.length("name") / F.greatest(F.length("entity"), F.length("name")) * F.when(F.startswith(F.lower("entity"), F.lower(F.substring("name", 1, 8))), 1.0).otherwise(0.25)
-    named = asked.groupBy("query_id", "name").agg(F.min("place").alias("pos"))
-    aligned, _ = graph.align_entities(named, pairs.select("query_id", "name", "item_name", "entity", F.round(score, 6).alias("score")))
-    return graph.item_entity_pairs(aligned)
+    return graph.item_entity_pairs(_aligned(spark, d)[0])
+
+
+def q_misses(spark, d):
+    return _aligned(spark, d)[1].select("query_id", "name", F.col("pos").alias("pos"), F.round("best", 6).alias("best"), "reason")
 
 
 def q_stats(spark, d):
@@ -130,7 +152,7 @@ def q_stats(spark, d):
 
 QUERIES = {
     "validate_graph_chunks": q_validate, "clean_entities": q_entities, "clean_relations": q_relations, "merge_graph": q_merge, "merge_graph_relations": q_merge_relations, "entity_records": q_records, "seed_nodes": q_seeds,
-    "one_hop": q_hops, "node_weights": q_weights, "graph_chunk_scores": q_chunk_scores, "triple_text": q_triples, "align_entities": q_align, "build_stats": q_stats,
+    "one_hop": q_hops, "node_weights": q_weights, "graph_chunk_scores": q_chunk_scores, "triple_text": q_triples, "align_entities": q_align, "align_misses": q_misses, "build_stats": q_stats,
 }
 
 _case = lambda col, values: reduce(lambda s, v: s + f" WHEN {v[0]} THEN '{v[1]}'", enumerate(values), f"CASE {col}") + " END"
@@ -159,6 +181,23 @@ capped AS (SELECT *, row_number() OVER (PARTITION BY item_name, name ORDER BY re
 hops0 AS (SELECT query_id, s.item_name, head, rel, tail, min(place * 1000 + n) AS pos FROM seeds s JOIN capped c ON c.item_name = s.item_name AND c.name = s.name GROUP BY ALL),
 hops AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos, item_name, rel, head, tail) AS INTEGER) AS place, item_name, head, rel, tail FROM hops0 QUALIFY place <= 50),
 weights AS (SELECT query_id, item_name, name, max(w) AS weight FROM (SELECT query_id, item_name, name, 2.0::DOUBLE AS w FROM seeds UNION ALL SELECT query_id, item_name, head, 1.0 FROM hops UNION ALL SELECT query_id, item_name, tail, 1.0 FROM hops) GROUP BY ALL)"""
+_letters = lambda c: "[" + ", ".join(f"1.0::DOUBLE + length({c}) - length(replace({c}, '{x}', ''))" for x in "aeinorst") + "]"
+_ALIGN = f""",
+asks AS (SELECT p_partkey AS query_id, p_type || CASE WHEN p_partkey % 10 = 3 THEN '?' ELSE '' END AS item_name, p_brand || ' ' || p_name AS whole, p_brand FROM part),
+sought AS (SELECT query_id, 0 AS pos, CASE WHEN query_id % 2 = 0 THEN substring(whole, 1, 15) ELSE lower(substring(whole, 1, 12)) END AS name FROM asks UNION ALL SELECT query_id, 1, lower(p_brand) FROM asks),
+asked AS MATERIALIZED (SELECT DISTINCT query_id, name, item_name FROM sought JOIN asks USING (query_id)), ni AS MATERIALIZED (SELECT DISTINCT name, item_name FROM asked),
+nv AS MATERIALIZED (SELECT name, v, sqrt(list_dot_product(v, v)) AS l FROM (SELECT name, {_letters("name")} AS v FROM (SELECT DISTINCT name FROM sought))),
+kv AS MATERIALIZED (SELECT item_name, entity, v, sqrt(list_dot_product(v, v)) AS l FROM (SELECT item_name, name AS entity, {_letters("name")} AS v FROM nodes)),
+nt AS (SELECT name, 100 * ascii(w) + length(w) AS token, count(*) AS c FROM (SELECT name, unnest(string_split(name, ' ')) AS w FROM nv) WHERE w <> '' GROUP BY ALL),
+kt AS MATERIALIZED (SELECT item_name, entity, 100 * ascii(w) + length(w) AS token, count(*) AS c FROM (SELECT item_name, entity, unnest(string_split(entity, ' ')) AS w FROM kv) WHERE w <> '' GROUP BY ALL),
+ds AS (SELECT name, ni.item_name, entity, round(list_dot_product(nv.v, kv.v) / (nv.l * kv.l), 9) AS s FROM ni JOIN nv USING (name) JOIN kv ON kv.item_name = ni.item_name),
+ss AS (SELECT name, ni.item_name, entity, sum(nt.c * kt.c)::DOUBLE AS s FROM ni JOIN nt USING (name) JOIN kt ON kt.item_name = ni.item_name AND kt.token = nt.token GROUP BY ALL),
+d5 AS (SELECT query_id, name, item_name, entity, s FROM asked JOIN (SELECT *, row_number() OVER (PARTITION BY name, item_name ORDER BY s DESC, entity) AS k FROM ds QUALIFY k <= 5) USING (name, item_name)),
+s5 AS (SELECT query_id, name, item_name, entity, s FROM asked JOIN (SELECT *, row_number() OVER (PARTITION BY name, item_name ORDER BY s DESC, entity) AS k FROM ss QUALIFY k <= 5) USING (name, item_name)),
+h AS (SELECT query_id, name, item_name, entity, coalesce((1.0::DOUBLE + d5.s) / 2, 0.0::DOUBLE) * 0.4::DOUBLE + coalesce(0.5::DOUBLE + atan(s5.s) / pi(), 0.0::DOUBLE) * 0.6::DOUBLE AS score FROM d5 FULL JOIN s5 USING (query_id, name, item_name, entity)),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id, name ORDER BY score DESC, item_name, entity) AS k FROM h QUALIFY k <= 5),
+b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id, name, item_name ORDER BY score DESC, entity) AS m FROM t QUALIFY m = 1),
+aligned AS MATERIALIZED (SELECT b.query_id, b.name, item_name, entity, pos, score FROM b JOIN sought n ON n.query_id = b.query_id AND n.name = b.name WHERE score >= 0.5)"""
 SQL = {
     "validate_graph_chunks": _ROWS + """, v AS (SELECT CASE WHEN chunk_no % 7 = 0 THEN NULL ELSE chunk_id END AS chunk_id, CASE WHEN chunk_no % 3 = 0 THEN CASE WHEN chunk_no % 2 = 0 THEN 'spare' END ELSE item_name END AS item_name, trim(description) AS content FROM r0)
 SELECT item_name, chunk_id IS NULL AS temporary, count(*) AS n, count(DISTINCT coalesce(chunk_id, item_name || content)) AS ids FROM v WHERE content <> '' AND item_name IS NOT NULL GROUP BY ALL""",
@@ -174,14 +213,10 @@ arg_min(chunk_id, lpad(chunk_no::VARCHAR, 12, '0') || label) AS chunk_id FROM en
     "graph_chunk_scores": _SEEDS + """, s AS (SELECT query_id, w.item_name, chunk_id, sum(weight) AS score, count(*) AS cnt FROM weights w JOIN mentions m ON m.item_name = w.item_name AND m.name = w.name GROUP BY ALL)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cnt DESC, chunk_id DESC, item_name) AS INTEGER) AS rank, chunk_id, item_name, score, cnt FROM s QUALIFY rank <= 50""",
     "triple_text": _SEEDS + " SELECT query_id, place, '[' || item_name || '] ' || trim(head) || ' -(' || rel || ')-> ' || trim(tail) AS text FROM hops",
-    "align_entities": _E + """, probes AS (SELECT p_partkey % 50 AS query_id, p_partkey AS place, p_type AS item_name, CASE WHEN p_partkey % 2 = 0 THEN substring(p_brand || ' ' || p_name, 1, 15) ELSE lower(substring(p_brand || ' ' || p_name, 1, 10)) END AS entity FROM part),
-asked AS (SELECT query_id, item_name, min(place) AS place, arg_min(entity, place) AS name FROM probes GROUP BY ALL),
-s AS (SELECT query_id, a.name, a.item_name, k.name AS entity, round(length(a.name)::DOUBLE / greatest(length(k.name), length(a.name)) * CASE WHEN starts_with(lower(k.name), lower(substring(a.name, 1, 8))) THEN 1.0::DOUBLE ELSE 0.25 END, 6) AS score FROM asked a JOIN nodes k ON k.item_name = a.item_name),
-t AS (SELECT *, row_number() OVER (PARTITION BY query_id, name ORDER BY score DESC, item_name, entity) AS k FROM s QUALIFY k <= 5),
-b AS (SELECT *, row_number() OVER (PARTITION BY query_id, name, item_name ORDER BY score DESC, entity) AS m FROM t QUALIFY m = 1),
-f AS (SELECT b.query_id, item_name, entity, pos, score FROM b JOIN (SELECT query_id, name, min(place) AS pos FROM asked GROUP BY ALL) q ON q.query_id = b.query_id AND q.name = b.name WHERE score >= 0.5),
-g AS (SELECT query_id, item_name, entity, min({'a': pos, 'b': -score}) AS at_ FROM f GROUP BY ALL)
+    "align_entities": _E + _ALIGN + """, g AS (SELECT query_id, item_name, entity, min({'a': pos, 'b': -score}) AS at_ FROM aligned GROUP BY ALL)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY at_, item_name, entity) AS INTEGER) AS place, item_name, entity FROM g""",
+    "align_misses": _E + _ALIGN + """ SELECT n.query_id, n.name, n.pos, round(best, 6) AS best, CASE WHEN best IS NULL THEN 'no candidate' ELSE 'score too low' END AS reason FROM sought n LEFT JOIN (SELECT query_id, name, max(score) AS best FROM b GROUP BY ALL) USING (query_id, name)
+WHERE NOT EXISTS (SELECT 1 FROM aligned a WHERE a.query_id = n.query_id AND a.name = n.name)""",
     "build_stats": _ROWS + """, u AS (SELECT DISTINCT * FROM r0), c AS (SELECT chunk_id, chunk_no, count(*) AS n FROM u GROUP BY ALL), p AS (SELECT a.chunk_id, count(*) AS n FROM u a JOIN u b ON a.chunk_id = b.chunk_id AND a.name < b.name GROUP BY ALL)
 SELECT count(*) FILTER (WHERE chunk_no % 97 <> 0) AS processed, count(*) FILTER (WHERE chunk_no % 97 = 0) AS failed, CAST(sum(c.n) FILTER (WHERE chunk_no % 97 <> 0) AS BIGINT) AS entities, CAST(sum(p.n) FILTER (WHERE chunk_no % 97 <> 0) AS BIGINT) AS relations FROM c LEFT JOIN p USING (chunk_id)""",
 }
