@@ -28,21 +28,28 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def row_keys(docs: DataFrame) -> DataFrame:
-    """docs with _row: the doc_id, or a hash of the row's id and text where the id is null or has different texts."""
+    """key, text, row: each row in one struct (so no column's name can clash), under its doc_id, or under a hash of id and text
+    where the id is null or has different texts."""
+    packed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     text = F.xxhash64("text")
-    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("x"), F.max(text).alias("y")).where("x <> y")
-    several = cut(several.select("doc_id", F.lit(True).alias("_several")), "several-texts")
+    several = packed.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("x"), F.max(text).alias("y")).where("x <> y")
+    several = cut(several.select("doc_id", F.lit(True).alias("several")), "several-texts")
     own = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).bitwiseOR(F.lit(1 << 62))  # beyond all ids
-    return docs.join(several, "doc_id", "left").withColumn("_row", F.when(F.col("doc_id").isNull() | F.col("_several"), own).otherwise(F.col("doc_id"))).select(*docs.columns, "_row")
+    key = F.when(F.col("doc_id").isNull() | F.col("several"), own).otherwise(F.col("doc_id"))
+    return packed.join(several, "doc_id", "left").select(key.alias("key"), "text", "row")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group; rows without a doc_id go by their text, equal rows are one."""
+    """One document of each near-duplicate group.
+
+    Rows without a doc_id go by their text. Rows of one id and text are one document; of them the row whose JSON is smallest
+    stays. Null and empty texts are near nothing; texts of any length count in whole; other columns go along, whatever their names and types.
+    """
     rows = row_keys(docs)
-    kept = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).where("kept").groupBy(F.col("doc_id").alias("_row")).agg(F.count("*").alias("_n"))
-    left = cut(rows.join(kept, "_row"), "kept-rows")
-    again = left.where("_n > 1").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_first")).select("_first.*")
-    return left.where("_n = 1").select(*docs.columns).unionByName(again)
+    kept = minhash.near_duplicates(rows.select(F.col("key").alias("doc_id"), "text")).where("kept").groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("n"))
+    left = cut(rows.drop("text").join(kept, "key"), "kept-rows")
+    again = left.where("n > 1").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return left.where("n = 1").select("row.*").unionByName(again.select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
