@@ -218,8 +218,9 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     marked = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
     chosen = marked.where("toxic = 1").orderBy(order, "doc_id").limit(max_toxic).unionByName(marked.where("toxic = 0").orderBy(order, "doc_id").limit(max_clean))
-    # at most max_toxic + max_clean rows: small by the bound
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").repartition(docs.sparkSession.sparkContext.defaultParallelism).persist()
+    # at most max_toxic + max_clean rows, small by the bound: of a doc_id with many rows one text counts, the one of the smallest hash
+    one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = one.select("text", "toxic").repartition(docs.sparkSession.sparkContext.defaultParallelism).persist()
     try:
         sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)

@@ -29,8 +29,9 @@ def stage_inputs(spark, tmp_path, docs):
 
 def test_stages_on_odd_rows(spark, odd, tmp_path):
     docs = stage_inputs(spark, tmp_path, odd.where("doc_id <> 5"))
-    for extra in ("lang", "source", "sig", "n_lines", "_gone"):
+    for extra in ("lang", "source", "sig", "n_lines", "_gone", "_n", "_row", "_several", "_first", "key", "row", "n", "several"):
         docs = docs.withColumn(extra, F.lit("x"))
+    docs = docs.withColumn("tags", F.create_map(F.lit("k"), F.lit(1)))
     docs = docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
     rows = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -49,3 +50,16 @@ def test_stages_on_an_empty_table(spark, none, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         docs = cut(stage(spark, docs, str(tmp_path)), name)
         assert docs.count() == 0, name
+
+
+def test_training_takes_one_text_of_a_repeated_document(spark, monkeypatch):
+    """A doc_id with very many rows brings one row into the sample that is held and sent."""
+    from kbspark.llm import toxicity
+
+    rows = [(k, f"you zorgwit number {k}" if k < 20 else f"plain words in document {k}") for k in range(60)] + [(25, f"plain words again {n}") for n in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 20)) for k in range(60)], "doc_id long, toxic int")
+    sizes, count = [], toxicity._word_evidence
+    monkeypatch.setattr(toxicity, "_word_evidence", lambda sample: sizes.append(sample.count()) or count(sample))
+    toxicity.train(docs, labels)
+    assert sizes == [60]
