@@ -104,6 +104,12 @@ def q_chunk_scores(spark, d):
     return graph.graph_search(probes(spark, d), *_parts(spark, d))[0]
 
 
+def q_search(spark, d):
+    """The graph's chunks with what is stored of them (here their ids and items as text)."""
+    chunks = raw(spark, d).select("chunk_id", F.concat_ws(" / ", "chunk_id", "item_name").alias("content"))
+    return graph.graph_search(probes(spark, d), *_parts(spark, d), chunks)[0].select("query_id", "rank", "chunk_id", "score", "content")
+
+
 def q_triples(spark, d):
     return graph.graph_search(probes(spark, d), *_parts(spark, d))[1].select("query_id", "place", "text")
 
@@ -152,7 +158,7 @@ def q_stats(spark, d):
 
 QUERIES = {
     "validate_graph_chunks": q_validate, "clean_entities": q_entities, "clean_relations": q_relations, "merge_graph": q_merge, "merge_graph_relations": q_merge_relations, "entity_records": q_records, "seed_nodes": q_seeds,
-    "one_hop": q_hops, "node_weights": q_weights, "graph_chunk_scores": q_chunk_scores, "triple_text": q_triples, "align_entities": q_align, "align_misses": q_misses, "build_stats": q_stats,
+    "one_hop": q_hops, "node_weights": q_weights, "graph_chunk_scores": q_chunk_scores, "graph_search": q_search, "triple_text": q_triples, "align_entities": q_align, "align_misses": q_misses, "build_stats": q_stats,
 }
 
 _case = lambda col, values: reduce(lambda s, v: s + f" WHEN {v[0]} THEN '{v[1]}'", enumerate(values), f"CASE {col}") + " END"
@@ -212,6 +218,9 @@ arg_min(chunk_id, lpad(chunk_no::VARCHAR, 12, '0') || label) AS chunk_id FROM en
     "node_weights": _SEEDS + " SELECT * FROM weights",
     "graph_chunk_scores": _SEEDS + """, s AS (SELECT query_id, w.item_name, chunk_id, sum(weight) AS score, count(*) AS cnt FROM weights w JOIN mentions m ON m.item_name = w.item_name AND m.name = w.name GROUP BY ALL)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cnt DESC, chunk_id DESC, item_name) AS INTEGER) AS rank, chunk_id, item_name, score, cnt FROM s QUALIFY rank <= 50""",
+    "graph_search": _SEEDS + """, s AS (SELECT query_id, w.item_name, chunk_id, sum(weight) AS score, count(*) AS cnt FROM weights w JOIN mentions m ON m.item_name = w.item_name AND m.name = w.name GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cnt DESC, chunk_id DESC, item_name) AS place FROM s QUALIFY place <= 50), c AS (SELECT DISTINCT chunk_id, chunk_id || ' / ' || item_name AS content FROM r0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place) AS INTEGER) AS rank, chunk_id, score, content FROM k JOIN c USING (chunk_id)""",
     "triple_text": _SEEDS + " SELECT query_id, place, '[' || item_name || '] ' || trim(head) || ' -(' || rel || ')-> ' || trim(tail) AS text FROM hops",
     "align_entities": _E + _ALIGN + """, g AS (SELECT query_id, item_name, entity, min({'a': pos, 'b': -score}) AS at_ FROM aligned GROUP BY ALL)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY at_, item_name, entity) AS INTEGER) AS place, item_name, entity FROM g""",
