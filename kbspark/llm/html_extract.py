@@ -2,22 +2,28 @@
 
 A page is read into blocks: runs of text between block-level tags, with their place in the tree. A
 classifier gives each block a cost for being content or boilerplate; its costs are the capacities to the
-two terminals. Smoothness edges join neighbouring blocks, heavier the more of their tree path they share,
-and blocks two apart under one parent. A maximum flow separates the sides; blocks that the source still
-reaches are the content.
+two terminals. Smoothness edges join neighbouring blocks, heavier under one parent and inside one main element,
+lightest between a side container and what is not in it, and blocks two apart under one parent. A maximum
+flow separates the sides; blocks that the source still reaches are the content. So a list or a lone link
+between an article's paragraphs stays though its look speaks against it, while a long run of links does not.
 
 The classifier is a logistic model of a block's own look (length, links, punctuation, tag), fitted on the
 blocks of at most SAMPLE_PAGES pages, where semantic containers (article and main against nav, aside,
 footer, form and the like) give the labels. The nearest containers' own evidence is added as bounded log
-odds: a class or id name weighs less than an element's meaning, looks and neighbours can outweigh it, and an
-article or main element clears what the names of its wrappers told.
+odds: a class or id name weighs less than an element's meaning, and an article or main element clears what the
+names of its wrappers told. Names that tell of other elements or of a state (no-sidebar, comments-open) tell
+nothing; an element named both ways (a post with share-buttons-top) is left to looks and
+neighbours. A form that holds a page's own parts (an article, a navigation, a first heading) is the page's
+wrapper, not a form.
 
 A block whose terminal capacity exceeds all its edges together must take its own side in every minimum
-cut, so such blocks are settled first; the flow runs over the rest.
+cut, so such blocks are settled first; the flow (by blocking flows, in whole millionths) runs over the rest.
+Edges reach two blocks at most; where a very long page needs more than PHASES blocking flows, the same cut
+is found by a pass over the labels of two neighbours, in linear time.
 
 Cases: null, empty and tag-only pages give the empty text; unclosed and stray tags are repaired as the
 reader goes (controls and embedded objects, which are not read, end with their parent, and without an
-end tag at the next block); a page without semantic containers is judged by looks and neighbours; ties go to
+end tag at the next block); very long pages take time in proportion to their length; a page without semantic containers is judged by looks and neighbours; ties go to
 boilerplate; repeated rows give equal results; an empty table gives no rows; other columns are ignored.
 """
 
@@ -48,7 +54,8 @@ BLOCK = frozenset(
 ENDS_P = BLOCK - {"body", "html", "head", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 ITEM = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",)}
 MAIN = frozenset(("article", "main"))
-SIDE = frozenset(("nav", "aside", "footer", "form", "menu", "dialog", "fieldset", "head"))
+SIDE = frozenset(("nav", "aside", "footer", "menu", "dialog", "fieldset", "head"))
+PAGE_PARTS = frozenset(("article", "main", "nav", "aside", "header", "footer", "h1"))  # a form that holds one is the page's wrapper
 SIDE_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"))
 SIDE_NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promos comment comments commentlist reply replies respond disqus discussion sidebar sidenav aside rail menu menus nav navbar navigation
@@ -58,15 +65,20 @@ SIDE_NAMES = frozenset(
 #: side names in which an article is a comment or a teaser, not the page's own
 SIDE_ARTICLES = frozenset("comment comments commentlist reply replies respond disqus discussion related recommended recommendations".split())
 MAIN_NAMES = frozenset(("article", "content", "story", "post", "entry", "body", "main", "text"))
+OWN_NAMES = frozenset(("article", "story", "post", "entry", "main"))  # beside a side name in one class list, the element is named both ways
 # Log odds of containers.
 IN_MAIN, IN_SIDE, NAMED_SIDE, NAMED_MAIN, HEADER_IN_MAIN = 3.0, -7.0, -5.0, 1.0, -1.0
-NEAR, FAR, SECOND = 1.0, 0.4, 0.3  #: edge capacities: one parent, another parent, two apart
+LOOK = 4.0  #: what a block's look can tell, at most
+#: edge capacities: one parent, one main element, other parents, a side container's border, two apart
+NEAR, TOGETHER, FAR, BORDER, SECOND = 1.5, 2.0, 0.4, 0.2, 0.3
+SCALE = 1_000_000  #: costs and capacities are cut in whole millionths
+PHASES = 64  #: blocking flows on one part of a page before the linear pass
 
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _PART = re.compile(r"[a-z]+")
-_LAYOUT = re.compile(r"(?<!\S)(?:\S*[-_])?(?:no|has|have|with|without|and|hide|non|free)(?:[-_]\S*)?(?!\S)")  # names that tell of other elements
-_UNREAD = re.compile(rf"<(/?)({'|'.join(sorted(UNREAD))})(?=[\s/>])([^>]*)>", re.I)
+_LAYOUT = re.compile(r"(?<!\S)(?:\S*[-_])?(?:no|has|have|with|without|and|hide|non|free|open|opened|closed|enabled|disabled|layout)(?:[-_]\S*)?(?!\S)")  # names of other elements or of a state
+_UNREAD = re.compile(rf"<(/?)({'|'.join(sorted(UNREAD))})(?=[\s/>])([^<>]*)>", re.I)
 
 
 @dataclass
@@ -78,6 +90,9 @@ class Node:
     hint: float
     key: int
     parent: Node | None
+    form: Node | None = None  # the innermost form, itself included
+    wraps: bool = False  # a form around the page's own parts
+    top: Node | None = None  # the outermost main (or so named) element around it, itself included
     block: Node | None = None  # the innermost block element, itself included
 
 
@@ -94,6 +109,9 @@ class Part:
 def _element(tag: str, attributes: str, parent: Node | None, key: int) -> Node:
     side, main, hint = bool(parent and parent.side), bool(parent and parent.main), parent.hint if parent else 0.0
     firm = bool(parent and parent.firm)
+    body, form = False, parent.form if parent else None
+    if form and tag in PAGE_PARTS:
+        form.wraps = True
     if tag in MAIN:
         side = firm or side and main and tag == "article"
         main = True
@@ -108,12 +126,15 @@ def _element(tag: str, attributes: str, parent: Node | None, key: int) -> Node:
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
-                words = set(_PART.findall(_LAYOUT.sub(" ", value)))
-                if not words.isdisjoint(SIDE_NAMES) and tag not in MAIN:
+                tokens = [set(_PART.findall(x)) for x in _LAYOUT.sub(" ", value).split()]
+                named = [x for x in tokens if not x.isdisjoint(SIDE_NAMES)]
+                own = any(not x.isdisjoint(OWN_NAMES) for x in tokens if x not in named)
+                if named and not own and tag not in MAIN:
                     side = True
-                    firm = firm or not words.isdisjoint(SIDE_ARTICLES)
-                elif not words.isdisjoint(MAIN_NAMES):
+                    firm = firm or any(not x.isdisjoint(SIDE_ARTICLES) for x in named)
+                elif not named and any(not x.isdisjoint(MAIN_NAMES) for x in tokens):
                     hint += NAMED_MAIN
+                    body = True
             elif name == "role":
                 firm = firm or value in SIDE_ROLES
                 main = main or value in ("main", "article")
@@ -121,7 +142,10 @@ def _element(tag: str, attributes: str, parent: Node | None, key: int) -> Node:
                 firm = firm or "display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", "")
             elif name == "hidden" or value == "true":
                 firm = True
-    node = Node(tag, side or firm, firm, main, hint, key, parent)
+    node = Node(tag, side or firm, firm, main, hint, key, parent, form)
+    if tag == "form":
+        node.form = node
+    node.top = parent.top if parent and parent.top else node if main or body else None
     node.block = node if tag in BLOCK or not parent else parent.block
     return node
 
@@ -218,7 +242,8 @@ def blocks(html: str) -> list[Part]:
             break
         nxt = html[lt + 1 : lt + 2]
         if html.startswith("<!--", lt):
-            end = html.find("-->", lt + 4)
+            short = next((x for x in ("<!-->", "<!--->") if html.startswith(x, lt)), None)
+            end = lt + len(short) - 3 if short else html.find("-->", lt + 4)
             at = size if end < 0 else end + 3
             continue
         if nxt in ("!", "?"):
@@ -286,7 +311,7 @@ LOOKS = 9
 def looks(p: Part) -> list[float]:
     words = p.text.count(" ") + 1
     link = min(1.0, p.linked / len(p.text))
-    return [1.0, min(6.0, np.log1p(len(p.text))) - 3, link, float(p.text[-1] in ".!?:;\"'»”"), float(p.tag == "p"), float(p.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), float(p.tag == "li"), float(words < 4), float(words > 15)]
+    return [1.0, min(6.0, np.log1p(len(p.text))) - 3, link, float(p.text[-1] in ".!?:;\"'»”"), float(p.tag == "p"), float(p.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), float(p.tag == "li") * link, float(words < 4), float(words > 15)]
 
 
 def fit(pages: list[str]) -> np.ndarray:
@@ -294,9 +319,9 @@ def fit(pages: list[str]) -> np.ndarray:
     x, y = [], []
     for page in pages:
         for p in blocks(page):
-            if p.node.side or p.node.main:
+            if in_side(p.node) or p.node.main:
                 x.append(looks(p))
-                y.append(float(not p.node.side))
+                y.append(float(not in_side(p.node)))
     w = np.zeros(LOOKS)
     if not y or min(y) == max(y):
         return w
@@ -308,26 +333,43 @@ def fit(pages: list[str]) -> np.ndarray:
     return np.clip(w, -3, 3)
 
 
+def in_form(n: Node) -> bool:
+    return bool(n.form and not n.form.wraps)
+
+
+def in_side(n: Node) -> bool:
+    return n.side or in_form(n)
+
+
+def costs(parts: list[Part], weights: np.ndarray) -> list[float]:
+    """Log odds of content of every block: its look, within bounds, and what its containers tell."""
+    look = np.clip(np.array([looks(p) for p in parts]) @ weights, -LOOK, LOOK)
+    held = lambda n: IN_SIDE if n.firm or in_form(n) else NAMED_SIDE if n.side else (IN_MAIN if n.main else 0.0) + n.hint
+    return [float(v) + held(p.node) for v, p in zip(look, parts, strict=True)]
+
+
 def edges(parts: list[Part]) -> list[tuple[int, int, float]]:
     out = []
     for n in range(1, len(parts)):
         a, b = parts[n - 1].node, parts[n].node
         near = (a.parent or a) is (b.parent or b) or a is b
-        out.append((n - 1, n, NEAR if near else FAR))
-        if n > 1 and (parts[n - 2].node.parent or parts[n - 2].node) is (b.parent or b):
+        if in_side(a) != in_side(b):
+            out.append((n - 1, n, BORDER))
+        else:
+            out.append((n - 1, n, TOGETHER if a.top and a.top is b.top else NEAR if near else FAR))
+        if n > 1 and (parts[n - 2].node.parent or parts[n - 2].node) is (b.parent or b) and in_side(parts[n - 2].node) == in_side(b):
             out.append((n - 2, n, SECOND))
     return out
 
 
 def min_cut(cost: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
-    """True for the nodes on the source's side of a minimum cut; cost is log odds of content."""
+    """True for the nodes on the source's side of the minimum cut with the fewest of them; cost is log odds of content."""
     n = len(cost)
-    around: list[dict[int, float]] = [{} for _ in range(n)]
+    around: list[dict[int, int]] = [{} for _ in range(n)]
     for i, j, c in links:
-        around[i][j] = around[i].get(j, 0.0) + c
-        around[j][i] = around[j].get(i, 0.0) + c
+        around[i][j] = around[j][i] = around[i].get(j, 0) + round(c * SCALE)
     label: list[bool | None] = [None] * n
-    rest = list(cost)
+    rest = [round(c * SCALE) for c in cost]
     queue = deque(range(n))
     while queue:  # settled nodes hand their edges to their neighbours' terminals
         i = queue.popleft()
@@ -349,50 +391,88 @@ def min_cut(cost: list[float], links: list[tuple[int, int, float]]) -> list[bool
                     if label[j] is None and j not in seen:
                         seen.add(j)
                         queue.append(j)
-            content = _source_side(part, rest, {i: {j: c for j, c in around[i].items() if label[j] is None} for i in part})
-            for i in part:
-                around[i] = {}
+            held = {i: {j: c for j, c in around[i].items() if label[j] is None} for i in part}
+            narrow = all(abs(i - j) <= 2 for i in part for j in held[i])
+            content = source_side(part, rest, held, PHASES if narrow else None)
+            if content is None:
+                content = narrow_side(part, rest, held)
             for i in part:
                 label[i] = i in content
     return [bool(x) for x in label]
 
 
-def _source_side(part: list[int], rest: list[float], cap: dict[int, dict[int, float]]) -> set[int]:
-    """What the source still reaches after a maximum flow by shortest augmenting paths."""
+def source_side(part: list[int], rest: list[int], held: dict[int, dict[int, int]], phases: int | None = None) -> set[int] | None:
+    """What the source still reaches after a maximum flow by blocking flows; None if it takes more than `phases` of them."""
     s, t = -1, -2
+    cap = {i: dict(c) for i, c in held.items()}
     cap[s], cap[t] = {i: rest[i] for i in part if rest[i] > 0}, {}
     for i in part:
-        cap[i][t] = max(0.0, -rest[i])
-        cap[i].setdefault(s, 0.0)
+        cap[i][t] = max(0, -rest[i])
+        cap[i][s] = 0
+        cap[t][i] = 0
+    done = 0
     while True:
-        before = {s: s}
-        queue = deque([s])
-        while queue and t not in before:
+        level, queue = {s: 0}, deque([s])
+        while queue:
             i = queue.popleft()
             for j, c in cap[i].items():
-                if c > 1e-12 and j not in before:
-                    before[j] = i
+                if c and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if t not in before:
-            return set(before)
-        path, j = [], t
-        while j != s:
-            path.append((before[j], j))
-            j = before[j]
-        flow = min(cap[i][j] for i, j in path)
-        for i, j in path:
-            cap[i][j] -= flow
-            cap[j][i] = cap[j].get(i, 0.0) + flow
+        if t not in level:
+            return set(level)
+        if phases is not None and done >= phases:
+            return None
+        done += 1
+        arcs = {i: iter(cap[i]) for i in level}
+        path = [s]
+        while path:
+            i = path[-1]
+            if i == t:
+                flow = min(cap[a][b] for a, b in zip(path, path[1:]))  # noqa: B905
+                cut = 0
+                for n, (a, b) in enumerate(zip(path, path[1:])):  # noqa: B905
+                    cap[a][b] -= flow
+                    cap[b][a] = cap[b].get(a, 0) + flow
+                    if not cap[a][b] and not cut:
+                        cut = n + 1
+                del path[cut:]  # on from the first place that is full
+                continue
+            step = next((j for j in arcs[i] if cap[i][j] and level.get(j) == level[i] + 1), None)
+            if step is None:
+                path.pop()
+            else:
+                path.append(step)
+
+
+def narrow_side(part: list[int], rest: list[int], held: dict[int, dict[int, int]]) -> set[int]:
+    """The same nodes where edges reach two places at most: least cut value, then fewest nodes, over the labels of two neighbours."""
+    lo, inside = min(part), set(part)
+    best, back = {(0, 0): (0, 0)}, []
+    for i in range(lo, max(part) + 1):
+        one, two, new, came = held.get(i, {}).get(i - 1, 0), held.get(i, {}).get(i - 2, 0), {}, {}
+        for (a, b), (value, size) in best.items():
+            for x in (0, 1) if i in inside else (0,):
+                pays = max(0, -rest[i] if x else rest[i]) if i in inside else 0
+                total = (value + pays + one * (x != b) + two * (x != a), size + x)
+                if (b, x) not in new or total < new[b, x]:
+                    new[b, x], came[b, x] = total, a
+        best = new
+        back.append(came)
+    a, b = min(best, key=best.__getitem__)
+    out = set()
+    for n in range(len(back) - 1, -1, -1):
+        if b:
+            out.add(lo + n)
+        a, b = back[n][a, b], a
+    return out
 
 
 def main_text(html: str, weights: np.ndarray) -> str:
     parts = blocks(html)
     if not parts:
         return ""
-    look = np.array([looks(p) for p in parts]) @ weights
-    held = lambda n: IN_SIDE if n.firm else NAMED_SIDE if n.side else (IN_MAIN if n.main else 0.0) + n.hint
-    cost = [float(v) + held(p.node) for v, p in zip(look, parts, strict=True)]
-    return "\n".join(p.text for p, keep in zip(parts, min_cut(cost, edges(parts)), strict=True) if keep)
+    return "\n".join(p.text for p, keep in zip(parts, min_cut(costs(parts, weights), edges(parts)), strict=True) if keep)
 
 
 def extract(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:

@@ -332,6 +332,67 @@ def test_an_article_clears_names_of_its_wrappers():
         assert html_extract.main_text(page.format(text), w) == "", page
 
 
+def test_whole_articles_stay():
+    w, text = html_extract.fit([]), "<h1>Head</h1><p>First text.</p>"
+    for page in (
+        "<form runat=server><header>Site</header><nav>Menu</nav><article>{}</article><footer>End</footer></form>",
+        "<div class='post comments-open'><article>{}</article></div>",
+        "<div class='related-posts-layout'><article>{}</article></div>",
+        "<!--><article>{}</article>",
+        "<!---><article>{}</article><!-- x -->",
+        "<article>{}<form><p>Mail us.</p></form></article>",
+        "<article>{}<div class='widget post-widget'><p>More.</p></div></article>",
+    ):
+        assert html_extract.main_text(page.format(text), w) == "Head\nFirst text.", page
+    paragraph = "<p>A paragraph of the article, which tells a story in many words and goes on and on to its end.</p>"
+    taught = html_extract.fit([f"<nav><ul><li><a href=x>Home {n}</a></li></ul></nav><article><h1>Head</h1>{paragraph * 3}</article>" for n in range(40)])
+    assert html_extract.main_text(f"<div class='single-post share-buttons-top'>{paragraph * 2}</div>", taught).count("\n") == 1
+
+
+def test_the_cut_keeps_lists_and_lone_links_of_an_article():
+    paragraph = "<p>A paragraph of the article, which tells a story in many words and goes on and on to its end.</p>"
+    page = f"<nav><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul></nav><div class=ad>Buy now.</div><article><h1>Head</h1>{{}}{paragraph}</article>"
+    w = html_extract.fit([page.format(paragraph * n) for n in range(1, 40)])
+    look = lambda x: html_extract.costs(html_extract.blocks(x), w)
+    got = lambda x: html_extract.main_text(page.format(x), w).split("\n")[1:-1]
+    assert got("<ul><li>One</li><li>Two parts</li></ul>") == ["One", "Two parts"]
+    lone = page.format(paragraph + "<ul><li><a href=s>Source</a></li></ul>")
+    assert min(look(lone)[4:]) < 0  # its look speaks against it; its neighbours keep it
+    assert got(paragraph + "<ul><li><a href=s>Source</a></li></ul>")[-1] == "Source"
+    assert "Link 3" not in got(paragraph + "<ul>" + "".join(f"<li><a href=s>Link {n}</a></li>" for n in range(12)) + "</ul>")
+    assert "Buy." not in got(f"{paragraph}<div class=ad><p>Buy.</p></div>{paragraph}")
+
+
+def _narrow(rng, n, values):
+    links = [(i - 1, i, rng.choice(values)) for i in range(1, n)] + [(i - 2, i, rng.choice(values)) for i in range(2, n) if rng.random() < 0.5]
+    return [rng.choice((-1, 1)) * rng.choice(values) for _ in range(n)], links
+
+
+def test_flow_and_linear_pass_are_one_cut(monkeypatch):
+    rng = random.Random(5)
+    for trial in range(300):
+        cost, links = _narrow(rng, rng.randint(2, 40), (0.1, 0.2, 0.3, 0.5) if trial % 2 else [rng.random() for _ in range(9)])
+        monkeypatch.setattr(html_extract, "PHASES", 10**9)
+        flow = html_extract.min_cut(cost, links)
+        monkeypatch.setattr(html_extract, "PHASES", 0)
+        assert html_extract.min_cut(cost, links) == flow
+    monkeypatch.undo()
+
+
+def test_very_long_pages_take_linear_time():
+    import time
+
+    rng, n = random.Random(7), 20_000
+    slope = [0.0001 if i < n // 2 else -0.0001 for i in range(n)], [(i - 1, i, 1.0) for i in range(1, n)]
+    start = time.time()
+    for cost, links in (_narrow(rng, n, (0.1, 0.2, 0.3, 0.5)), slope):
+        html_extract.min_cut(cost, links)
+    assert html_extract.main_text("<button " * 20_000 + "<article><p>Text.</p></article>", html_extract.fit([])) in ("", "Text.")
+    long = "<article>" + "<p>Some text of the page stands here.</p><ul><li><a href=x>Link</a></li></ul>" * n + "</article>"
+    assert html_extract.main_text(long, html_extract.fit([])).count("\n") == 2 * n - 1
+    assert time.time() - start < 60
+
+
 def test_min_cut_is_a_minimum():
     rng = random.Random(2)
     for _ in range(300):
