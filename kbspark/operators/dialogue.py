@@ -6,6 +6,7 @@ matches: query_id, extracted_name, pos (of the name), item_name, score.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -171,16 +172,25 @@ CLARIFIED = "session_id string, turn int, action string, item string, query stri
 
 
 def clarify(turns: DataFrame) -> DataFrame:
-    """CLARIFIED outcomes of turns(session_id, turn, ts, text, options, rewritten), each session's turns in order."""
+    """CLARIFIED outcomes of turns(session_id, turn, ts, text, options, rewritten), each session's turns in order.
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        pending, rows = None, []
-        for t in g.sort_values(["ts", "turn"], kind="stable").to_dict("records"):
-            pending, out = clarify_step(pending, t)
-            rows.append((key[0], t["turn"], out["action"], out["item"], out["query"]))
-        return pd.DataFrame(rows, columns=["session_id", "turn", "action", "item", "query"])
+    Turns are dealt by session and sorted by Spark, which spills, and are read as they come: a task holds one batch and one pending
+    choice, however long a session is. Turns without a session are one session; an empty or null text resolves nothing.
+    """
 
-    return turns.groupBy("session_id").applyInPandas(run, CLARIFIED)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, pending = object(), None
+        for g in frames:
+            rows = []
+            for t in g.to_dict("records"):
+                if t["session_id"] != session:
+                    session, pending = t["session_id"], None
+                pending, out = clarify_step(pending, t)
+                rows.append((session, t["turn"], out["action"], out["item"], out["query"]))
+            yield pd.DataFrame(rows, columns=["session_id", "turn", "action", "item", "query"])
+
+    told = turns.select(F.col("session_id").cast("string").alias("session_id"), "turn", "ts", "text", "options", "rewritten")
+    return told.repartition("session_id").sortWithinPartitions("session_id", "ts", "turn").mapInPandas(run, CLARIFIED)
 
 
 def ttl_step(written: float | None, ts: float, ttl: float) -> tuple[float, bool]:

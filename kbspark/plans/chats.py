@@ -112,6 +112,22 @@ _MATCH = """
 WITH p AS (SELECT CAST(p_partkey % 100 AS BIGINT) AS query_id, CAST(p_partkey % 3 AS INTEGER) AS pos, p_name AS item_name, round(max(0.55::DOUBLE + (p_partkey * 7 % 20)::DOUBLE / 100), 6) AS score FROM part GROUP BY ALL),
 t AS (SELECT query_id, pos, arg_max(item_name, {'s': score, 'n': item_name}) AS top FROM p GROUP BY ALL),
 m AS (SELECT p.*, CASE WHEN query_id % 4 = 0 THEN top ELSE 'unknown' END AS extracted_name FROM p JOIN t USING (query_id, pos))"""
+# The three-state machine turn by turn; every choice is of the same two options here.
+CLARIFY = r"""
+WITH RECURSIVE m AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(turn AS INTEGER) AS turn, turn % 4 = 0 AS offers, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n,
+  coalesce(CASE WHEN turn % 4 = 0 THEN text ELSE list_extract(['2', 'ALPHA-1', 'hm', '取消'], CAST((conv_id + turn) % 4 + 1 AS INTEGER)) END, '') AS text FROM conversations),
+k AS (SELECT *, regexp_replace(lower(trim(text)), '[\s\-_]+', '', 'g') AS key, trim(text) IN ('取消', '算了', '不用了', '不问了') AS cancels FROM m),
+c AS (SELECT *, contains(key, 'alpha1') OR contains('alpha1', key) AS a, contains(key, 'beta2') OR contains('beta2', key) AS b,
+  CASE WHEN regexp_full_match(trim(text), '\d+|第\s*\d+\s*个?|选\s*\d+|\d+\s*号') THEN TRY_CAST(regexp_extract(text, '\d+') AS INTEGER) WHEN replace(text, ' ', '') IN ('第一个', '第一', '一') THEN 1 WHEN replace(text, ' ', '') IN ('第二个', '第二', '二') THEN 2 END AS num FROM k),
+p AS (SELECT *, CASE WHEN num = 1 THEN 'alpha 1' WHEN num = 2 THEN 'beta 2' WHEN key = '' THEN NULL WHEN key = 'alpha1' THEN 'alpha 1' WHEN key = 'beta2' THEN 'beta 2' WHEN a AND NOT b THEN 'alpha 1' WHEN b AND NOT a THEN 'beta 2' END AS picked FROM c),
+w AS (SELECT session_id, turn, n, CASE WHEN offers THEN 'ask' ELSE 'pass' END AS action, NULL::VARCHAR AS item, CASE WHEN NOT offers THEN text END AS query, CASE WHEN offers THEN text END AS asked FROM p WHERE n = 1
+UNION ALL SELECT p.session_id, p.turn, p.n,
+  CASE WHEN w.asked IS NULL THEN CASE WHEN offers THEN 'ask' ELSE 'pass' END WHEN cancels THEN 'cancel' WHEN picked IS NOT NULL THEN 'selected' ELSE 'unresolved' END,
+  CASE WHEN w.asked IS NOT NULL AND NOT cancels THEN picked END,
+  CASE WHEN w.asked IS NULL THEN CASE WHEN NOT offers THEN text END WHEN NOT cancels AND picked IS NOT NULL THEN coalesce(nullif(w.asked, ''), text) END,
+  CASE WHEN w.asked IS NULL THEN CASE WHEN offers THEN text END WHEN cancels OR picked IS NOT NULL THEN NULL ELSE w.asked END
+  FROM w JOIN p ON p.session_id = w.session_id AND p.n = w.n + 1)
+SELECT session_id, turn, action, item, query FROM w"""
 SQL = {
     "score_gap_filter": _MATCH + ", b AS (SELECT query_id, item_name, max(score) AS score FROM m GROUP BY ALL HAVING max(score) >= 0.6), c AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM b) SELECT query_id, item_name, score FROM c WHERE top - score <= 0.1",
     "recent_messages": _M + ", r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS n FROM m QUALIFY n <= 4) SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY turn) AS INTEGER) AS place, turn, role, text FROM r",
@@ -135,4 +151,5 @@ SELECT *, valid AS inserted, round(dense::DOUBLE / total, 6) AS dense_ratio, rou
     "ttl_cache": """WITH RECURSIVE e AS (SELECT event_id, user_id || '/' || event_type AS key, epoch_us(ts) AS s, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
 w AS (SELECT event_id, key, s, n, s AS written, false AS hit FROM e WHERE n = 1 UNION ALL SELECT e.event_id, e.key, e.s, e.n, CASE WHEN e.s - w.written < 86400000000 THEN w.written ELSE e.s END, e.s - w.written < 86400000000 FROM w JOIN e ON e.key = w.key AND e.n = w.n + 1)
 SELECT event_id AS request_id, key, hit FROM w""",
+    "clarify": CLARIFY,
 }

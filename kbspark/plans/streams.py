@@ -96,6 +96,7 @@ QUERIES = {"encode": q_encode, "hyde_topk": q_hyde, "generate": q_generate, "ing
 
 SQL = {
     "ttl_cache_stream": chats.SQL["ttl_cache"],
+    "clarify_stream": chats.CLARIFY,
     "encode": "SELECT doc_id, length(text)::DOUBLE AS first, CAST(length(text) % 10 AS INTEGER) AS token FROM documents",
     "generate": "SELECT doc_id, CASE WHEN starts_with(text, 'A') THEN '' ELSE substring(text, 1, 5) || '!' END AS response FROM documents",
     "ingest_stream": "WITH f AS (SELECT '/in/' || lpad(doc_id::VARCHAR, 12, '0') || '.md' AS path, sha256(text) AS sha256 FROM documents) SELECT f.sha256, min(path) AS path, 'completed' AS status, bool_or(d.text <> '') AS chunked FROM f JOIN documents d ON path = '/in/' || lpad(doc_id::VARCHAR, 12, '0') || '.md' GROUP BY f.sha256",

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,25 @@ def test_clarify_batch_and_stream_agree(spark, tmp_path):
     assert {(r.session_id, r.turn): r.action for r in spark.table("clarified").collect()} == want
 
 
+def test_clarify_against_a_plain_loop(spark):
+    rng, texts = random.Random(4), ["2", "1", "hm", "取消", "", None, "b y", "第二个", "9"]
+    rows = [(rng.choice(["s", "t", "u", None, ""]), n, rng.choice(texts), rng.choice([None, [], ["A x", "B y"], ["C"]]), rng.choice([None, "asked"])) for n in range(400)]
+    start = dt.datetime(2024, 1, 1)
+    turns = spark.createDataFrame([(s, n, start + dt.timedelta(minutes=n), x, o, r, "x") for s, n, x, o, r in rows], "session_id string, turn int, ts timestamp, text string, options array<string>, rewritten string, action string")
+    want, held = [], {}
+    for s, n, x, o, r in rows:
+        held[s], out = dialogue.clarify_step(held.get(s), {"text": x, "options": o, "rewritten": r})
+        want.append((str(s), n, out["action"], out["item"], out["query"]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [(str(r.session_id), r.turn, r.action, r.item, r.query) for r in dialogue.clarify(turns.orderBy(F.rand(1))).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got, key=lambda x: x[1]) == want
+    assert {x[2] for x in want} == {"ask", "pass", "cancel", "selected", "unresolved"}
+    assert dialogue.clarify(turns.where("false")).count() == 0
+
+
 def test_history_overflow_is_charged(spark):
     q = spark.createDataFrame([("q",)], "query_id string")
     docs = spark.createDataFrame([("q", 1, "text", "local", "c", "", "t", 0.5)], "query_id string, rank int, content string, source string, chunk_id string, url string, title string, score double")
