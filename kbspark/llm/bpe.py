@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.llm.charset import LATER, WORD_SPLIT, byte_alphabet
-from kbspark.llm.common import cut, map_arrow, slices, texts
+from kbspark.llm.common import cut, give_back, hold, map_arrow, slices, texts
 
 LEXICON_WORDS = 60_000
 KEPT_WORDS = 200_000
@@ -229,10 +229,17 @@ def _encoder(path: str, key: str, broadcast) -> WordEncoder:
     return WordEncoder(path, broadcast.value)
 
 
+def forget() -> None:
+    """Drop what a worker remembers for this operator."""
+    _encoder.cache_clear()
+    vocabulary.cache_clear()
+
+
 def word_counts(docs: DataFrame, path: str) -> DataFrame:
     """word, n: how often each pre-token occurs in all texts (counted in each task before the shuffle)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("bpe", forget)
         v, counts = vocabulary(path), Counter()
 
         def out() -> pa.RecordBatch:
@@ -246,6 +253,8 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
                 counts.clear()
         if counts:
             yield out()
+        b = counts = None
+        give_back()
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -282,6 +291,7 @@ def _encoded(docs: DataFrame, path: str, lexicon_words: int, schema: str, digest
     key = hashlib.sha256(data).hexdigest()
 
     def run(b: pa.RecordBatch) -> dict:
+        hold("bpe", forget)
         found = [digest(*x) for x in _encoder(path, key, lexicon).encode_many(texts(b))]
         return {"doc_id": b.column("doc_id")} | {n: [x[k] for x in found] for k, n in enumerate(names)}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -91,6 +92,25 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+_holder: dict = {"name": None, "forget": None}
+
+
+def hold(name: str, forget: Callable[[], None]) -> None:
+    """Called in a worker by an operator that remembers things there from one task to the next: what another operator
+    left in this worker goes, so that a worker that serves many stages holds one operator's memory at a time."""
+    if _holder["name"] != name:
+        if _holder["forget"]:
+            _holder["forget"]()
+        _holder.update(name=name, forget=forget)
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system: workers outlive their tasks, and allocators keep freed pages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema, rows: int = 512) -> DataFrame:
     """mapInArrow with a function from a small batch to columns; the schema is a Spark DDL string or type."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -103,6 +123,8 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema, rows:
             out = fn(b)
             if out is not None:
                 yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        b = out = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -138,6 +160,8 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[list[tuple]], list[
             out += fn(group)
         if out:
             yield batch(out)
+        b = row = group = out = None
+        give_back()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import map_arrow, text_bytes, texts
+from kbspark.llm.common import hold, map_arrow, text_bytes, texts
 from kbspark.llm.shingles import shingle_hashes
 
 MATCH = 5
@@ -181,6 +181,12 @@ def _index(key: str, send, match: int) -> Index:
     return Index(send.value, match)
 
 
+def forget() -> None:
+    """Drop what a worker remembers for this operator."""
+    _index.cache_clear()
+    _hashes.clear()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, match: int = MATCH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A row (FOUND) for each document and benchmark item that it covers."""
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
@@ -189,6 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     send, key = docs.sparkSession.sparkContext.broadcast(sorted((r["item_id"], r["text"]) for r in items.collect())), uuid.uuid4().hex
 
     def run(b: pa.RecordBatch) -> dict:
+        hold("decontamination", forget)
         index = _index(key, send, match)
         return _result(b.column("doc_id").to_pylist(), [index.search(tokens(t), coverage) for t in texts(b)])
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import map_arrow, texts, tidy
+from kbspark.llm.common import hold, map_arrow, texts, tidy
 
 SPAN, DECAY, WINDOW = 8, 0.7, 24
 LETTERS = {c: n for n, c in enumerate("abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýß", 1)}
@@ -143,7 +143,8 @@ _kept: dict = {"model": None, "margins": {}}
 
 
 def text_margins(model: Model, key: str, many: list[str]) -> list[float]:
-    """The worst word's margin of each text; words are remembered while a worker lives."""
+    """The worst word's margin of each text; words are remembered while a worker serves this operator."""
+    hold("toxicity", lambda: _kept.update(model=None, margins={}))
     if _kept["model"] != key:
         _kept.update(model=key, margins={})
     sets = [instances(t) for t in many]
