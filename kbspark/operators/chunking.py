@@ -1,7 +1,7 @@
 """Documents to chunks: sections, structure-aware splitting, merging, numbering, item context.
 
-Sections, numbering, assembly and item context are plain DataFrame work. The text grammar of long sections
-(blocks, packing, merging) is a helper that works on one document row at a time, without a shuffle.
+Sections, numbering, assembly and item context are plain DataFrame work. The text grammar of long sections (blocks,
+packing) is a helper that sees one long body at a time; short sections merge in a pass over dealt and sorted rows.
 
 Sections: doc_id, section_no, title, body, file_title, parent_title, part (null: not split or merged).
 """
@@ -9,13 +9,16 @@ Sections: doc_id, section_no, title, body, file_title, parent_title, part (null:
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
+from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.functions.tables import fewest_dashes, linearize_html, linearize_pipes
+from kbspark.functions.tables import fewest_dashes, linearize_html, linearize_html_tables, linearize_md_tables, linearize_pipes
 from kbspark.functions.text import normalize_newlines
 
 # Heading form, fence marks, separators in the order they are tried, and words of image details.
@@ -30,7 +33,6 @@ PRIORITY_WORDS = (
     "product", "model", "specification", "specifications", "overview", "introduction", "name", "brand", "series", "version", "service",
 )
 SECTIONS = "doc_id string, section_no int, title string, body string, file_title string, parent_title string, part int"
-CHUNKS = "doc_id string, chunk_no int, chunk_id string, title string, file_title string, parent_title string, content string, part int"
 
 
 def split_sections(docs: DataFrame) -> DataFrame:
@@ -67,7 +69,7 @@ def number_parts(sections: DataFrame) -> DataFrame:
 
 
 def assemble(sections: DataFrame) -> DataFrame:
-    """CHUNKS rows: title, blank line, body; ids from the document and the chunk's place."""
+    """Chunks: title, blank line, body; ids from the document and the chunk's place."""
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("section_no")) - 1
     return sections.withColumn("chunk_no", place).select(
         "doc_id", "chunk_no", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string")).alias("chunk_id"), "title", "file_title", "parent_title", F.concat("title", F.lit("\n\n"), "body").alias("content"), "part"
@@ -169,85 +171,85 @@ def pack_body(body: str, size: int) -> list[str]:
     return texts
 
 
-def split_long(section: dict, max_len: int) -> list[dict]:
-    """A section over the limit as parts '-1', '-2', ...; the title counts with at most TITLE_CUT characters."""
-    title = section["title"][:TITLE_CUT]
-    room = max_len - len(title) - 2
-    if len(section["body"]) <= room or room <= 0:
-        return [section]
-    texts = pack_body(section["body"], room)
-    return [section] if len(texts) <= 1 else [section | {"title": f"{title}-{n}", "body": t, "part": n} for n, t in enumerate(texts, 1)]
-
-
-def merge_short(sections: list[dict], min_len: int, max_len: int) -> list[dict]:
-    """A body shorter than min_len takes in its next neighbour of the same parent while the whole fits; the parent's title then stands for both."""
-    out: list[dict] = []
-    for s in sections:
-        if out and out[-1]["parent_title"] == s["parent_title"] and len(out[-1]["body"]) < min_len:
-            body = out[-1]["body"].rstrip() + "\n\n" + s["body"].lstrip()
-            if len(s["parent_title"]) + 2 + len(body) <= max_len:
-                out[-1] = out[-1] | {"title": s["parent_title"], "body": body, "part": 0}
-                continue
-        out.append(s)
-    return out
+def split_long(sections: DataFrame, max_len: int) -> DataFrame:
+    """Sections with n: one over the limit as parts '-1', '-2', ... in the order of n; the title counts with at most TITLE_CUT characters.
 
+    Only bodies over the limit reach the packing helper; one that packs into a single text stays as it is.
+    """
 
-def sections_of(text: str, file_title: str) -> list[dict]:
-    """The sections of one document (the row-local form of split_sections)."""
-    out, open_titles = [], {}
-    title, level, body, fenced = "", 0, [], False
+    @F.pandas_udf("array<string>")
+    def packed(body: pd.Series, room: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else pack_body(b, int(n)) for b, n in zip(body, room, strict=True)], dtype=object)
+
+    title = F.substring("title", 1, TITLE_CUT)
+    room = F.lit(max_len) - F.length(title) - 2
+    rows = sections.withColumn("_texts", packed(F.when((F.length("body") > room) & (room > 0), F.col("body")), room))
+    rows = rows.withColumn("_texts", F.when(F.size("_texts") > 1, F.col("_texts")))
+    rows = rows.select("*", F.posexplode(F.coalesce("_texts", F.array("body"))).alias("n", "_body"))
+    part = F.when(F.col("_texts").isNotNull(), F.col("n") + 1)
+    name = F.when(part.isNull(), F.col("title")).otherwise(F.concat(title, F.lit("-"), part.cast("string")))
+    return rows.select("doc_id", "section_no", "n", name.alias("title"), F.col("_body").alias("body"), "file_title", "parent_title", part.cast("int").alias("part"))
+
+
+class Section(NamedTuple):
+    doc_id: str
+    section_no: int
+    title: str
+    body: str
+    file_title: str
+    parent_title: str
+    part: int | None
+
+
+def merged(rows: Iterable[Section], min_len: int, max_len: int) -> Iterator[Section]:
+    """Ordered rows, numbered anew in each document: a body shorter than min_len takes in its next neighbour of the same
+    parent while the whole fits; the parent's title then stands for both. One row is held at a time."""
+    held, no = None, 0
+    for s in rows:
+        if held and (held.doc_id, held.parent_title) == (s.doc_id, s.parent_title) and len(held.body) < min_len:
+            body = held.body.rstrip() + "\n\n" + s.body.lstrip()
+            if len(s.parent_title) + 2 + len(body) <= max_len:
+                held = held._replace(title=s.parent_title, body=body, part=0)
+                continue
+        if held:
+            yield held
+        no = no + 1 if held and held.doc_id == s.doc_id else 0
+        held = s._replace(section_no=no)
+    if held:
+        yield held
 
-    def end() -> None:
-        joined = "\n".join(body)
-        if title or joined:
-            above = [open_titles[k] for k in sorted(open_titles) if k < level]
-            out.append({"title": title or file_title, "body": joined, "file_title": file_title, "parent_title": above[-1] if above else title or file_title, "part": None})
-
-    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
-        fenced ^= line.strip().startswith(FENCES)
-        m = None if fenced else re.match(HEADING, line)
-        if not m:
-            body.append(line)
-            continue
-        end()
-        title, level, body = line, len(m[1]), []
-        open_titles = {k: t for k, t in open_titles.items() if k < level} | {level: line}
-    end()
-    return out
 
+def merge_short(sections: DataFrame, min_len: int, max_len: int) -> DataFrame:
+    """SECTIONS of split_long's rows: short neighbours merged, by a pass over rows dealt by document and sorted in it."""
 
-def chunks_of(text: str, file_title: str, max_len: int, min_len: int, linearize: str) -> list[dict]:
-    sections = sections_of(text, file_title)
-    if linearize == "always":
-        sections = [s | {"body": linearize_pipes(linearize_html(s["body"]))} for s in sections]
-    merged = merge_short([p for s in sections for p in split_long(s, max_len)], min_len, max_len)
-    count: dict[str, int] = {}
-    for s in merged:
-        if s["part"] is not None:
-            s["part"] = count[s["parent_title"]] = count.get(s["parent_title"], 0) + 1
-            s["title"] += f"- {s['part']}"
-    return merged
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(c, pa.int32() if c in ("section_no", "part") else pa.string()) for c in Section._fields])
+        rows = (Section(*r) for b in batches for r in zip(*(b.column(c).to_pylist() for c in Section._fields), strict=True))
+        found = merged(rows, min_len, max_len)
+        while some := list(islice(found, 1024)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
+    return sections.repartition("doc_id").sortWithinPartitions("doc_id", "section_no", "n").mapInArrow(run, SECTIONS)
 
 
 def chunk_documents(docs: DataFrame, max_len: int = 2000, min_len: int = 500, linearize: str = "long") -> DataFrame:
-    """CHUNKS of docs(doc_id, file_title, md_content): sections, long ones split, short ones merged, parts numbered.
+    """Chunks (doc_id, chunk_no, chunk_id, title, file_title, parent_title, content, part) of docs(doc_id, file_title, md_content): sections, long ones split, short ones merged, parts numbered.
 
     `linearize`: "long" rewrites HTML tables only in sections that are split, "always" rewrites all tables.
-    Null text gives no chunks.
+    Null and empty texts give no chunks, a null file title is the empty one. Equal rows count once; different texts
+    of one doc_id are chunked apart, each from number 0. However long a document is, a task holds one section of it at a time
+    beyond the cutting at headings.
     """
     if not max_len > min_len > 0 or linearize not in ("long", "always"):
         raise ValueError("needs max_len > min_len > 0 and linearize 'long' or 'always'")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for doc_id, file_title, text in zip(f["doc_id"], f["file_title"], f["md_content"], strict=True):
-                for n, s in enumerate(chunks_of(text, file_title or "", max_len, min_len, linearize) if text else []):
-                    rows.append((doc_id, n, f"{doc_id}-{n}", s["title"], s["file_title"], s["parent_title"], f"{s['title']}\n\n{s['body']}", s["part"]))
-            out = pd.DataFrame(rows, columns=["doc_id", "chunk_no", "chunk_id", "title", "file_title", "parent_title", "content", "part"])
-            yield out.astype({"part": "Int32", "chunk_no": "int32"})
-
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "file_title", "md_content").mapInPandas(run, CHUNKS)
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("file_title", F.lit("")).alias("file_title"), "md_content").where("md_content <> ''")
+    key = F.to_json(F.struct("doc_id", F.xxhash64("file_title", "md_content").alias("text")))  # a text of a document
+    sections = split_sections(rows.withColumn("doc_id", key).dropDuplicates(["doc_id"]))
+    if linearize == "always":
+        sections = sections.withColumn("body", linearize_md_tables(linearize_html_tables("body")))
+    whole = merge_short(split_long(sections, max_len), min_len, max_len).repartition("doc_id")  # for the numbers of both kinds
+    chunks = assemble(number_parts(whole)).withColumn("doc_id", F.get_json_object("doc_id", "$.doc_id"))
+    return chunks.withColumn("chunk_id", F.concat_ws("-", "doc_id", F.col("chunk_no").cast("string")))
 
 
 def _near(lines: list[str], limit: int, last_first: bool) -> str:

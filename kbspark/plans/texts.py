@@ -97,6 +97,11 @@ def q_chunks(spark, d):
     return chunking.chunk_documents(markdown(spark, d)).select("doc_id", "chunk_no", "chunk_id", "title", "parent_title", "part", F.length("content").cast("long").alias("n"))
 
 
+def q_merged(spark, d):
+    """Chunking with a limit that no section of these tables reaches: cutting, merging and numbering alone."""
+    return chunking.chunk_documents(markdown(spark, d), 10_000_000, 500).select("doc_id", "chunk_no", "chunk_id", "title", "parent_title", "part", F.md5("content").alias("content"))
+
+
 def q_tables(spark, d):
     """An HTML table for each brand, one row for each part, as bullets."""
     cell = lambda c: F.concat(F.lit("<td>"), F.col(c).cast("string"), F.lit("</td>"))
@@ -131,7 +136,7 @@ def q_enrich(spark, d):
 
 QUERIES = {
     "canonical_key": q_keys, "cache_key": q_cache, "strip_item_names": q_strip, "clean_names": q_names, "parse_selection": q_selection, "extract_image_urls": q_urls, "parse_image_info": q_image_info, "split_sections": q_sections,
-    "number_parts_assemble": q_assemble, "item_context": q_context, "fill_item_name": q_fill, "chunk_documents": q_chunks, "linearize_tables": q_tables, "linearize_md_tables": q_md_tables, "image_contexts": q_image_contexts, "enrich_images": q_enrich,
+    "number_parts_assemble": q_assemble, "item_context": q_context, "fill_item_name": q_fill, "chunk_documents": q_chunks, "chunk_documents_merged": q_merged, "linearize_tables": q_tables, "linearize_md_tables": q_md_tables, "image_contexts": q_image_contexts, "enrich_images": q_enrich,
 }
 
 _SECTIONS = """
@@ -148,6 +153,16 @@ _CHUNKS = _SECTIONS + """,
 num AS (SELECT *, CASE WHEN section_no % 3 > 0 THEN CAST(row_number() OVER (PARTITION BY doc_id, parent_title, section_no % 3 > 0 ORDER BY section_no) AS INTEGER) END AS part FROM sec),
 chunks AS (SELECT doc_id, file_title, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section_no) - 1 AS INTEGER) AS chunk_no, CASE WHEN part IS NULL THEN title ELSE title || '- ' || part END AS title, parent_title, body, part FROM num),
 ch AS (SELECT *, doc_id || '-' || chunk_no AS chunk_id, title || chr(10) || chr(10) || body AS content FROM chunks)"""
+_JOINS = "o.parent_title = f.parent_title AND length(f.body) < 500"
+_MERGED = _SECTIONS.replace("WITH a AS", "WITH RECURSIVE a AS", 1) + f""",
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section_no) AS i FROM sec),
+folded AS (SELECT doc_id, i, 0 AS chunk_no, title, parent_title, body, false AS joined FROM o WHERE i = 1 UNION ALL
+  SELECT o.doc_id, o.i, f.chunk_no + CASE WHEN {_JOINS} THEN 0 ELSE 1 END, CASE WHEN {_JOINS} THEN o.parent_title ELSE o.title END, o.parent_title,
+    CASE WHEN {_JOINS} THEN rtrim(f.body, E' \\t\\r\\n') || E'\\n\\n' || ltrim(o.body, E' \\t\\r\\n') ELSE o.body END, {_JOINS} FROM folded f JOIN o ON o.doc_id = f.doc_id AND o.i = f.i + 1),
+m AS (SELECT doc_id, chunk_no, arg_max(title, i) AS title, arg_max(parent_title, i) AS parent_title, arg_max(body, i) AS body, arg_max(joined, i) AS joined FROM folded GROUP BY ALL),
+num AS (SELECT *, CASE WHEN joined THEN CAST(row_number() OVER (PARTITION BY doc_id, parent_title, joined ORDER BY chunk_no) AS INTEGER) END AS part FROM m),
+ch AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, doc_id || '-' || chunk_no AS chunk_id, CASE WHEN joined THEN title || '- ' || part ELSE title END AS title, parent_title, part, body FROM num)
+SELECT doc_id, chunk_no, chunk_id, title, parent_title, part, md5(title || E'\\n\\n' || body) AS content FROM ch"""
 _HIT = " OR ".join(f"contains(t, '{w}')" for w in chunking.PRIORITY_WORDS)
 _BULLETS = "SELECT p_brand, string_agg('- 【' || p_partkey || '】(对应key)：' || {} || '。', chr(10) ORDER BY p_partkey) AS text FROM part GROUP BY p_brand"
 SQL = {
@@ -160,6 +175,7 @@ SQL = {
     "parse_image_info": r"""WITH a AS (SELECT doc_id, trim(regexp_replace(text, '[\s"\\]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'photo' ELSE 'unknown' END AS image_type, trim(substring(t, 1, 30)) AS caption, length(t) AS n FROM a""",
     "split_sections": _SECTIONS + " SELECT doc_id, section_no, level, title, parent_title, length(body) AS n, md5(body) AS body FROM sec",
     "number_parts_assemble": _CHUNKS + " SELECT doc_id, chunk_no, chunk_id, title, parent_title, part, md5(content) AS content FROM ch",
+    "chunk_documents_merged": _MERGED,
     "item_context": _CHUNKS + f""", k AS (SELECT *, {_HIT} AS hit FROM (SELECT *, lower(title || ' ' || parent_title) AS t FROM ch)),
 q AS (SELECT doc_id, '【切片】- ' || (chunk_no + 1) || ' - ' || trim(content) AS piece, row_number() OVER (PARTITION BY doc_id ORDER BY (NOT hit)::INT, chunk_no) AS i FROM k WHERE (hit OR chunk_no < 3) AND trim(content) <> ''),
 r AS (SELECT *, coalesce(sum(length(piece) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM q)
