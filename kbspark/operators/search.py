@@ -14,6 +14,7 @@ from kbspark.operators import impact
 from kbspark.sources.shared import keep
 
 GROUP_ROWS = 4096  #: chunks of one item in one block of the blocked search
+STRIPE = 256  #: queries of a block whose scores are in memory at once
 
 
 def split_valid(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,43 +62,73 @@ def cosine(a, b) -> Column:
 
 
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, digits: int | None = None) -> DataFrame:
-    """Exact cosine search of queries(query_id, item_name, dense) over chunks(chunk_id, item_name, dense)."""
-    pairs = chunks.select("chunk_id", "item_name", F.col("dense").alias("_c")).join(queries.select("query_id", "item_name", F.col("dense").alias("_q")), "item_name")
+    """Exact cosine search of queries(query_id, item_name, dense) over chunks(chunk_id, item_name, dense).
+
+    Block products find each query's k best and all that come within their rounding error; `cosine` then scores and ranks these. Of equal
+    vectors in one item the k smallest chunk_ids are looked at, since they score the same.
+    """
+    same = Window.partitionBy("item_name", "dense").orderBy("chunk_id")
+    first = chunks.select("chunk_id", "item_name", "dense").withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k).drop("_n")
+    first, asked = keep(first, "chunks"), keep(queries.select("query_id", "item_name", "dense"), "asked")
+    whole = lambda t: t.withColumn("dense", F.when(~F.exists("dense", F.isnull), F.col("dense")))
+    near = _near(whole(asked), whole(first), k, digits, True).select("query_id", "item_name", "chunk_id").distinct()
+    pairs = near.join(first.withColumnRenamed("dense", "_c"), ["item_name", "chunk_id"]).join(asked.withColumnRenamed("dense", "_q"), ["item_name", "query_id"])
     score = cosine("_q", "_c")
     return top_k(pairs.select("query_id", "chunk_id", (F.round(score, digits) if digits else score).alias("score")), k).select("query_id", "rank", "chunk_id", "score")
 
 
 def dense_topk_blocked(queries: DataFrame, chunks: DataFrame, k: int = 5, digits: int | None = None) -> DataFrame:
-    """The same by block products: an item's chunks lie in salted blocks of bounded size, its queries go to each block, and each block keeps k."""
+    """The same by block products alone: an item's chunks lie in salted blocks of bounded size, its queries go to each block, and each block keeps k."""
+    return top_k(_near(queries, chunks, k, digits, False), k).select("query_id", "rank", "chunk_id", "score")
+
+
+def _near(queries: DataFrame, chunks: DataFrame, k: int, digits: int | None, ties: bool) -> DataFrame:
+    """query_id, item_name, chunk_id, score: each block's k best of each query; with `ties` also those that score as the k-th but for rounding."""
+    kinds = dict(chunks.dtypes)["chunk_id"], dict(queries.dtypes)["query_id"]
+    number = kinds[0] in ("tinyint", "smallint", "int", "bigint")
     sizes = chunks.groupBy("item_name").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("_n"))
     asked = queries.groupBy("item_name").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("_m"))
     dealt = sizes.join(asked, "item_name")
     c = chunks.select(F.col("chunk_id").cast("string").alias("id"), "item_name", "dense").join(dealt, "item_name").select("id", "item_name", "dense", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("j"), F.lit(False).alias("asks"))
     q = queries.select(F.col("query_id").cast("string").alias("id"), "item_name", "dense").join(dealt, "item_name").select("id", "item_name", "dense", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("i"), F.pmod(F.xxhash64("id"), F.col("_m")).cast("int").alias("j"), F.lit(True).alias("asks"))
+    margin = (1.01 * 10.0**-digits if digits else 0.0) + 1e-9
 
-    def block(_key, g):
+    def block(key, g):
         import pandas as pd
 
         x, y = g[~g["asks"]], g[g["asks"]]
-        out = pd.DataFrame({"query_id": [], "chunk_id": [], "score": []}).astype({"query_id": str, "chunk_id": str, "score": float})
+        out = pd.DataFrame({"query_id": [], "item_name": [], "chunk_id": [], "score": []}).astype({"query_id": str, "chunk_id": str, "score": float})
         if not len(x) or not len(y):
             return out
-        unit = lambda v: (m := np.stack(v.to_numpy()).astype(float)) / np.maximum(np.sqrt((m * m).sum(axis=1)), 1e-300)[:, None]
-        s = unit(y["dense"]) @ unit(x["dense"]).T
-        if digits:
-            s = np.round(s, digits)
-        ids = x["id"].to_numpy()
-        best = np.argsort(-s, axis=1, kind="stable")[:, : k + 64] if s.shape[1] > k + 64 else np.argsort(-s, axis=1, kind="stable")
-        rows = []
-        for n, query in enumerate(y["id"]):
-            cut = sorted(((-s[n, m], ids[m]) for m in best[n]))[:k] if s.shape[1] <= k + 64 or s[n, best[n][-1]] < s[n, best[n][k - 1]] else sorted(zip(-s[n], ids, strict=True))[:k]
-            rows += [(query, i, -v) for v, i in cut]
+
+        def unit(vectors, width):  # vectors that are null or of another width score 0
+            m = np.stack([v if v is not None and len(v) == width else np.zeros(width) for v in vectors]).astype(float)
+            norm = np.sqrt((m * m).sum(axis=1))[:, None]
+            return np.divide(m, norm, out=np.zeros_like(m), where=norm != 0)
+
+        y = y.assign(width=[0 if v is None else len(v) for v in y["dense"]]).sort_values("width")
+        ids, rows, made = (x["id"].map(int) if number else x["id"]).to_numpy(), [], (-1, None)  # ties go by the ids' own order
+        for at in (n for _, w in y.reset_index(drop=True).groupby("width") for n in range(w.index[0], w.index[-1] + 1, STRIPE)):
+            width = y["width"].iloc[at]
+            part = y.iloc[at : at + STRIPE]
+            part = part[part["width"] == width]
+            if made[0] != width:
+                made = width, unit(x["dense"], width).T
+            own = unit(part["dense"], width)
+            s = own @ made[1]
+            s[np.isnan(s)] = np.inf  # Spark's order has them first
+            if digits and not ties:
+                s = np.round(s, digits)
+            # The k-th best by partition; what reaches it is few, or equal to it.
+            least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+            for query, u, line, low in zip(part["id"], own, s, least, strict=True):
+                found = np.flatnonzero(line >= (low - margin if ties else low))
+                cut = sorted(zip(-line[found], ids[found], strict=True))
+                rows += [(query, key[0], str(i), -v) for v, i in (cut if ties and u.any() else cut[:k])]
         return pd.DataFrame(rows, columns=out.columns)
 
-    found = c.unionByName(q).groupBy("item_name", "i", "j").applyInPandas(block, "query_id string, chunk_id string, score double")
-    kinds = dict(chunks.dtypes)["chunk_id"], dict(queries.dtypes)["query_id"]
-    found = found.select(F.col("query_id").cast(kinds[1]).alias("query_id"), F.col("chunk_id").cast(kinds[0]).alias("chunk_id"), "score")
-    return top_k(found, k).select("query_id", "rank", "chunk_id", "score")
+    found = c.unionByName(q).groupBy("item_name", "i", "j").applyInPandas(block, f"query_id string, item_name {dict(chunks.dtypes)['item_name']}, chunk_id string, score double")
+    return found.select(F.col("query_id").cast(kinds[1]).alias("query_id"), "item_name", F.col("chunk_id").cast(kinds[0]).alias("chunk_id"), "score")
 
 
 def sparse_topk(query_postings: DataFrame, chunk_postings: DataFrame, k: int = 5, by_item: bool = True) -> DataFrame:
