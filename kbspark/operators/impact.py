@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from kbspark.sources.shared import keep
 
-SENT_ROWS = 1_000_000  #: rows of a few numbers that are sent to the executors; more are joined by a shuffle
+SENT_ROWS = 200_000  #: rows of a few keys and numbers that are sent to the executors (all pass through the driver); more are joined by a shuffle
 FIRST = 32  #: postings for each of the k chunks sought that are read before there is a threshold
 SLACK = 1e-9  #: for sums of doubles in another order
 
@@ -67,6 +67,11 @@ def search(query_postings: DataFrame, index: Index, k: int = 5) -> DataFrame:
 
     query_postings is read several times: give a table.
     """
+    return _best(_scores(sent(candidates(query_postings, index, k)), index), k).select("query_id", "rank", "chunk_id", "score")
+
+
+def candidates(query_postings: DataFrame, index: Index, k: int = 5) -> DataFrame:
+    """query_id, chunk_id, keys, _q: every chunk that may be among the k best, or equal to the k-th but for rounding, with all terms of its question."""
     keys, group = index.keys, ["query_id", *index.keys[:-1]]  # a chunk has one item, so bounds are kept for each item of a question
     terms = query_postings.select("query_id", *keys, F.col("weight").alias("_q")).dropna()
     n_terms = terms.count()
@@ -96,5 +101,4 @@ def search(query_postings: DataFrame, index: Index, k: int = 5) -> DataFrame:
     over = F.sum((F.col("_q") * F.col("weight")).cast("double") - F.col("unread")) + F.first("rest")
     seen = index.postings.join(sent(chosen), [*keys, "level"]).groupBy("query_id", "chunk_id").agg(over.alias("most"), F.first("least").alias("least"))
     able = seen.where(F.col("least").isNull() | (F.col("most") * (1 + SLACK) + SLACK >= F.col("least"))).select("query_id", "chunk_id")
-    wanted = keep(able.join(sent(terms, n_terms), "query_id"), "wanted")
-    return _best(_scores(sent(wanted), index), k).select("query_id", "rank", "chunk_id", "score")
+    return keep(able.join(sent(terms, n_terms), "query_id"), "wanted")

@@ -113,10 +113,24 @@ def q_sparse(spark, d):
     return search.sparse_topk(*postings(spark, d), k=5, by_item=False)
 
 
+def counted(wanted: DataFrame, kept: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """query_id, chunk_id, tf, shared, rare of the wanted(query_id, chunk_id) that share a token."""
+    q, c = kept
+    met = wanted.join(q.withColumnRenamed("weight", "w"), "query_id").join(c, ["token", "chunk_id"])
+    return met.groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("weight")).alias("tf"), F.count("*").alias("shared"), F.count_if(F.col("df") <= RARE).alias("rare"))
+
+
 def q_hybrid(spark, d):
-    """Dense scores of the questions' gold-like neighbours are stood in by overlap shares in [0, 1]."""
-    p = pairs(spark, d)
-    size = postings(spark, d)[0].groupBy("query_id").agg(F.count("*").alias("n"))
+    """Dense scores of the questions' gold-like neighbours are stood in by overlap shares in [0, 1].
+
+    A document without a rare token of the question is among the best only if its overlap is, so the best by overlap and all with a rare token do.
+    """
+    kept = q, c = kept_postings(spark, d)
+    one = lambda t: t.withColumn("weight", F.lit(1))
+    most = impact.search(one(q), impact.impact_index(one(c), False, write=False), 5)
+    rare = q.where(F.col("df") <= RARE).select("query_id", "token").join(c, "token")
+    p = keep(counted(most.select("query_id", "chunk_id").unionByName(rare.select("query_id", "chunk_id")).distinct(), kept), "pairs")
+    size = q.groupBy("query_id").agg(F.count("*").alias("n"))
     share = p.join(size, "query_id").select("query_id", "chunk_id", (F.col("shared") / F.col("n")).alias("score"))
     out = search.hybrid_topk(share, p.select("query_id", "chunk_id", F.col("rare").alias("score")), (0.4, 0.6), k=5)
     return out.withColumn("score", F.round("score", 6))
@@ -200,12 +214,15 @@ def q_prefix(spark, d):
 
 def q_ablation(spark, d):
     """Modes A to G: A ranks by the cosine of the token vectors (squared, which keeps the order), B by their product."""
-    p = keep(pairs(spark, d), "pairs")
-    h = keep(hits(spark, d), "hits")
-    q, c = (t.groupBy(k).agg(F.sum(F.col("weight") * F.col("weight")).cast("double").alias(n)) for t, k, n in zip(postings(spark, d), ("query_id", "chunk_id"), ("qn", "cn"), strict=True))
-    cosine = p.where("tf > 0").join(q, "query_id").join(c, "chunk_id").select("query_id", "chunk_id", (F.col("tf").cast("double") * F.col("tf") / (F.col("qn") * F.col("cn"))).alias("score"))
+    kept = q, c = kept_postings(spark, d)
+    h = keep(hits(spark, d, kept), "hits")
+    qn, cn = (t.groupBy(k).agg(F.sum(F.col("weight") * F.col("weight")).cast("double").alias(n)) for t, k, n in ((q, "query_id", "qn"), (postings(spark, d)[1], "chunk_id", "cn")))
+    cn = keep(cn, "norms")
+    scaled = keep(c.join(cn, "chunk_id").withColumn("weight", F.col("weight") / F.sqrt("cn")), "scaled")
+    near = impact.candidates(q, impact.impact_index(scaled, False, write=False), K).select("query_id", "chunk_id").distinct()
+    cosine = counted(near, kept).join(qn, "query_id").join(cn, "chunk_id").select("query_id", "chunk_id", (F.col("tf").cast("double") * F.col("tf") / (F.col("qn") * F.col("cn"))).alias("score"))
     dense = search.top_k(cosine, K).select("query_id", F.lit("dense").alias("source"), "rank", "chunk_id", "score")
-    p = p.select("query_id", "chunk_id", (F.col("tf") + F.col("rare")).cast("double").alias("score"))
+    p = counted(h.select("query_id", "chunk_id").distinct(), kept).select("query_id", "chunk_id", (F.col("tf") + F.col("rare")).cast("double").alias("score"))
     return fusion.ablation_runs(h.unionByName(dense), p)
 
 
