@@ -4,8 +4,9 @@ A token's postings are grouped by impact level (quarter octaves of the absolute
 number of postings and largest weight. Reading a token's levels from the top lowers what a chunk that has not been seen
 can still score. For each question the levels of all its tokens are put in one order, by how much a level lowers that
 bound for each posting read. A first few levels give some chunks, whose full scores give a threshold that the k-th score reaches at
-least; then levels are read until no unseen chunk can reach it, seen chunks whose own bound stays below it go, and only
-the rest are scored in full. Common tokens with small weights are thus never read unless they can matter, and however
+least; then levels are read until no unseen chunk can reach it, seen chunks whose own bound stays below it go. Of the rest, those with
+the largest bounds are scored in full for a second, closer threshold, and only what still can be among the k best is scored in full.
+Where all weights are whole numbers, sums are exact, and a chunk that at best ties with the k-th and comes after it goes too. Common tokens with small weights are thus never read unless they can matter, and however
 long a token's list is, its rows are met by (token, level), never by token alone.
 
 Bounds take absolute weights, so any weights are right. Where fewer than k chunks are found, or the k-th score is not
@@ -18,6 +19,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kbspark.sources.shared import keep
 
@@ -71,7 +73,8 @@ def search(query_postings: DataFrame, index: Index, k: int = 5) -> DataFrame:
 
 
 def candidates(query_postings: DataFrame, index: Index, k: int = 5) -> DataFrame:
-    """query_id, chunk_id, keys, _q: every chunk that may be among the k best, or equal to the k-th but for rounding, with all terms of its question."""
+    """query_id, chunk_id, keys, _q: every chunk that may be among the k best (of weights that are no whole numbers: or equal to the k-th but for rounding), with all terms of its question."""
+    whole_numbers = all(isinstance(df.schema["weight"].dataType, T.IntegralType) for df in (query_postings, index.postings))
     keys, group = index.keys, ["query_id", *index.keys[:-1]]  # a chunk has one item, so bounds are kept for each item of a question
     terms = query_postings.select("query_id", *keys, F.col("weight").alias("_q")).dropna()
     n_terms = terms.count()
@@ -100,5 +103,13 @@ def candidates(query_postings: DataFrame, index: Index, k: int = 5) -> DataFrame
     # A chunk's bound: what it was seen to score, and the unread rest of the tokens in which it was not seen.
     over = F.sum((F.col("_q") * F.col("weight")).cast("double") - F.col("unread")) + F.first("rest")
     seen = index.postings.join(sent(chosen), [*keys, "level"]).groupBy("query_id", "chunk_id").agg(over.alias("most"), F.first("least").alias("least"))
-    able = seen.where(F.col("least").isNull() | (F.col("most") * (1 + SLACK) + SLACK >= F.col("least"))).select("query_id", "chunk_id")
+    able = keep(seen.where(F.col("least").isNull() | (F.col("most") * (1 + SLACK) + SLACK >= F.col("least"))).select("query_id", "chunk_id", "most"), "able")
+    likely = _best(able.withColumnRenamed("most", "score"), 2 * k).select("query_id", "chunk_id")
+    close = _best(_scores(sent(likely.join(sent(terms, n_terms), "query_id"), 2 * k * n_terms), index), k).where(F.col("rank") == k)
+    close = close.select("query_id", F.col("score").cast("double").alias("kth"), F.col("chunk_id").alias("at"))
+    if whole_numbers:
+        may = (F.col("most") > F.col("kth")) | ((F.col("most") == F.col("kth")) & (F.col("chunk_id") <= F.col("at")))
+    else:
+        may = F.col("most") + SLACK * F.abs("most") + SLACK >= F.col("kth") - SLACK * F.abs("kth")
+    able = able.join(sent(close, n_terms), "query_id", "left").where(F.col("kth").isNull() | may).select("query_id", "chunk_id")
     return keep(able.join(sent(terms, n_terms), "query_id"), "wanted")

@@ -63,3 +63,14 @@ def test_one_index_serves_many_searches(spark):
     index = impact.impact_index(c)
     for part in (q.where("query_id < 9"), q.where("query_id >= 9")):
         assert rows(impact.search(part, index, 4)) == rows(plain(part, c, 4, True))
+
+
+def test_chunks_that_tie_behind_the_kth_are_not_scored(spark, monkeypatch):
+    """All weights are one, and most chunks tie: what is scored in full stays near the k best, not near the ties."""
+    c = spark.range(3000).selectExpr("id AS chunk_id", "explode(array('a', 'b', concat('r', id % 7))) AS token", "1 AS weight")
+    q = spark.range(20).selectExpr("id AS query_id", "explode(array('a', 'b', 'c')) AS token", "1 AS weight")
+    monkeypatch.setattr(impact, "FIRST", 4)
+    met, scores = [], impact._scores
+    monkeypatch.setattr(impact, "_scores", lambda wanted, *a: met.append(wanted.select("query_id", "chunk_id").distinct().count()) or scores(wanted, *a))
+    assert rows(search.sparse_topk(q, c, 5, False)) == rows(plain(q, c, 5, False))
+    assert sum(met) < 20 * 3000 / 50
