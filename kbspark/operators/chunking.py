@@ -27,6 +27,7 @@ FENCES = ("```", "~~~")
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", ".", "!", "?", ";", " ", "")
 DETAIL = ("图片类型：", "图片详细内容：")
 TITLE_CUT = 50
+PACKED = 128  #: rows of a batch that are Python objects at a time
 # Words in headings that promise the item's name.
 PRIORITY_WORDS = (
     "产品", "商品", "型号", "规格", "参数", "简介", "概述", "名称", "设备", "品牌", "系列", "版本", "服务", "方案", "对象", "介绍",
@@ -171,15 +172,24 @@ def pack_body(body: str, size: int) -> list[str]:
     return texts
 
 
+def pack_bodies(body: pa.Array, room: pa.Array) -> pa.Array:
+    """pack_body of each body (null: null). A batch's texts stay in Arrow buffers; only PACKED rows of it are Python objects at a time."""
+    done = []
+    for at in range(0, len(body), PACKED):
+        some = zip(body.slice(at, PACKED).to_pylist(), room.slice(at, PACKED).to_pylist(), strict=True)
+        done.append(pa.array([None if b is None else pack_body(b, n) for b, n in some], pa.list_(pa.string())))
+    return pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.string()))
+
+
 def split_long(sections: DataFrame, max_len: int) -> DataFrame:
     """Sections with n: one over the limit as parts '-1', '-2', ... in the order of n; the title counts with at most TITLE_CUT characters.
 
     Only bodies over the limit reach the packing helper; one that packs into a single text stays as it is.
     """
 
-    @F.pandas_udf("array<string>")
-    def packed(body: pd.Series, room: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else pack_body(b, int(n)) for b, n in zip(body, room, strict=True)], dtype=object)
+    @F.arrow_udf("array<string>")
+    def packed(body: pa.Array, room: pa.Array) -> pa.Array:
+        return pack_bodies(body, room)
 
     title = F.substring("title", 1, TITLE_CUT)
     room = F.lit(max_len) - F.length(title) - 2
@@ -224,9 +234,10 @@ def merge_short(sections: DataFrame, min_len: int, max_len: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(c, pa.int32() if c in ("section_no", "part") else pa.string()) for c in Section._fields])
-        rows = (Section(*r) for b in batches for r in zip(*(b.column(c).to_pylist() for c in Section._fields), strict=True))
+        parts = (b.slice(at, PACKED) for b in batches for at in range(0, b.num_rows, PACKED))
+        rows = (Section(*r) for b in parts for r in zip(*(b.column(c).to_pylist() for c in Section._fields), strict=True))
         found = merged(rows, min_len, max_len)
-        while some := list(islice(found, 1024)):
+        while some := list(islice(found, PACKED)):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
 
     return sections.repartition("doc_id").sortWithinPartitions("doc_id", "section_no", "n").mapInArrow(run, SECTIONS)

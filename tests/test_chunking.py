@@ -133,3 +133,19 @@ def test_item_context_is_cut_at_the_budget(spark):
     text = chunking.item_context(chunks, 2, 100).first()["context"]
     assert text.startswith("【切片】- 5 - c") and len(text) == 100 and "- 1 -" in text
     assert chunking.fill_item_name(chunks.withColumn("file_title", F.lit("F")), spark.createDataFrame([("1", " unknown ")], "doc_id string, item_name string")).first()["item_name"] == "F"
+
+
+def test_packing_holds_few_texts_of_a_batch_at_a_time(monkeypatch):
+    import gc
+
+    import pyarrow as pa
+
+    class Text(str):
+        pass
+
+    most = []
+    monkeypatch.setattr(chunking, "PACKED", 4)
+    monkeypatch.setattr(chunking, "pack_body", lambda b, n: most.append(sum(isinstance(x, list) and len(x) == 1 and isinstance(x[0], Text) for x in gc.get_objects())) or [Text(b[:n])])
+    got = chunking.pack_bodies(pa.array([None if n % 5 == 0 else f"{n:03d} word" for n in range(50)]), pa.array([3] * 50, pa.int32()))
+    assert got.to_pylist() == [None if n % 5 == 0 else [f"{n:03d}"] for n in range(50)] and max(most) <= 4
+    assert chunking.pack_bodies(pa.array([], pa.string()), pa.array([], pa.int32())).to_pylist() == []
