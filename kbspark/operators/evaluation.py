@@ -115,10 +115,11 @@ def _check(runs: DataFrame, a: str, b: str, test) -> DataFrame:
     return rows.agg(F.coalesce(F.bool_and(ok), F.lit(True)).alias("ok"), F.count_if(~ok).alias("failed"))
 
 
-def build_stats(results: DataFrame) -> DataFrame:
-    """One row of results(chunk_id, entities, relations, error): processed, failed, sums and the first errors."""
+def build_stats(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stats, errors) of results(chunk_id, entities, relations, error): one row of total, processed, failed and sums, and the build_errors of all that failed."""
     bad = F.col("error").isNotNull()
-    return results.agg(F.count_if(~bad).alias("processed"), F.count_if(bad).alias("failed"), F.coalesce(F.sum("entities"), F.lit(0)).alias("entities"), F.coalesce(F.sum("relations"), F.lit(0)).alias("relations"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("entities", "relations")]
+    return results.agg(F.count("*").alias("total"), F.count_if(~bad).alias("processed"), F.count_if(bad).alias("failed"), *sums), build_errors(results)
 
 
 def build_errors(results: DataFrame) -> DataFrame:

@@ -89,6 +89,14 @@ def test_build_errors(spark):
     assert sorted(map(tuple, ev.build_errors(results).collect())) == [(2, "bad JSON"), (3, "")]
 
 
+def test_build_stats_with_all_errors(spark):
+    rows = [(n, n, 2 * n, None if n % 3 else f"bad {n}") for n in range(1, 301)]
+    stats, errors = ev.build_stats(spark.createDataFrame(rows, "chunk_id long, entities long, relations long, error string"))
+    assert stats.first().asDict() == {"total": 300, "processed": 200, "failed": 100, "entities": 45150, "relations": 90300}
+    assert sorted(map(tuple, errors.collect())) == [(n, f"bad {n}") for n in range(3, 301, 3)]
+    assert ev.build_stats(errors.where("false").selectExpr("chunk_id", "0L entities", "0L relations", "error"))[0].first().asDict() == dict.fromkeys(("total", "processed", "failed", "entities", "relations"), 0)
+
+
 def test_ablation_modes(spark):
     lists = {"dense": [1, 2], "vector": [2, 1], "hyde": [2, 3], "graph": [4]}
     hits = spark.createDataFrame([("q", s, n, str(c), 0.0) for s, ids in lists.items() for n, c in enumerate(ids, 1)], "query_id string, source string, rank int, chunk_id string, score double")
